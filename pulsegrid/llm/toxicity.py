@@ -29,6 +29,8 @@ BUCKETS, DIM, FILTERS, WIDTHS, TOP = 1 << 18, 8, 8, (1, 2, 3), 3
 PREFIXES = range(3, 8)
 LANG_BUCKETS = 1 << 16
 EPOCHS, BATCH, RATE, SEED = 8, 48, 0.02, 7
+#: Texts spread out as code points at a time.
+PART = 100
 
 
 @dataclass
@@ -52,6 +54,20 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return ids, (whole >> np.uint64(40)).astype(np.int64) & (LANG_BUCKETS - 1)
 
 
+def features_in_parts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of the table, language buckets, first word of each document); a few texts at a time are spread out as code points."""
+    ids, lang, first = [], [], [np.zeros(1, np.int64)]
+    for i in range(0, len(texts), PART):
+        w = cut(texts[i : i + PART], word_table())
+        a, b = features(w)
+        ids.append(a)
+        lang.append(b.astype(np.int32))
+        first.append(w.first_of_doc()[1:] + first[-1][-1])
+    if not ids:
+        return np.zeros((0, 1 + len(PREFIXES)), np.int32), np.zeros(0, np.int32), first[0]
+    return np.concatenate(ids), np.concatenate(lang), np.concatenate(first)
+
+
 def embed(net: Net, ids: np.ndarray) -> np.ndarray:
     v = net.table[ids[:, 0]]
     for j in range(1, ids.shape[1]):
@@ -95,19 +111,16 @@ def train(texts: list[str | None], toxic: np.ndarray, langs: list[str | None]) -
     rng = np.random.default_rng(SEED)
     y = toxic.astype(np.float32)
     n = len(y)
-    w = cut(texts, word_table())
-    ids, lang_ids = features(w)
-    first = w.first_of_doc()
+    ids, lang_ids, first = features_in_parts(texts)
+    owner_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
     tune = np.arange(n) % 4 == 3 if n >= 40 else np.zeros(n, bool)
     fit = np.flatnonzero(~tune)
 
     # Log odds of each bucket: documents that hold it, among toxic and among clean ones.
-    doc = np.repeat(w.doc, ids.shape[1])
-    seen = np.unique(doc.astype(np.int64) * (BUCKETS + 1) + ids.ravel())
-    seen_doc, bucket = seen // (BUCKETS + 1), seen % (BUCKETS + 1)
-    inside = ~tune[seen_doc]
-    pos = np.bincount(bucket[inside], weights=y[seen_doc[inside]], minlength=BUCKETS + 1)
-    neg = np.bincount(bucket[inside], weights=1 - y[seen_doc[inside]], minlength=BUCKETS + 1)
+    pos, neg = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    for d in fit:
+        held = np.unique(ids[first[d] : first[d + 1]])
+        (pos if y[d] else neg)[held] += 1
     p, q = max(1.0, float(y[fit].sum())), max(1.0, float((1 - y[fit]).sum()))
     odds = np.log((pos + 0.5) / (p + 1)) - np.log((neg + 0.5) / (q + 1))
     odds[pos < 2] = np.minimum(odds[pos < 2], 0)
@@ -124,7 +137,7 @@ def train(texts: list[str | None], toxic: np.ndarray, langs: list[str | None]) -
     count = np.zeros((LANG_BUCKETS, len(names)))
     label = np.array([names.index(x) if x is not None else -1 for x in langs] or [0])
     for k in range(len(names)):
-        count[:, k] = np.bincount(lang_ids[label[w.doc] == k], minlength=LANG_BUCKETS)
+        count[:, k] = np.bincount(lang_ids[label[owner_of] == k], minlength=LANG_BUCKETS)
     net.langs = names
     net.lang_table = (np.log(count + 0.1) - np.log((count + 0.1).sum(axis=0))).astype(np.float32)
     net.cut = np.full(len(names), 0.5)
@@ -188,7 +201,10 @@ def train(texts: list[str | None], toxic: np.ndarray, langs: list[str | None]) -
                 net.table[BUCKETS] = 0
     # Cuts: the best balance of misses and false alarms among clean rows, on the rows kept aside.
     check = np.flatnonzero(tune) if tune.any() and 0 < y[tune].sum() < tune.sum() else np.arange(n)
-    p, guess = predict_raw(net, w, ids, lang_ids)
+    p, guess = np.zeros(n), np.zeros(n, np.int64)
+    for i in range(0, n, PART):
+        at = first[i : i + PART + 1]
+        p[i : i + PART], guess[i : i + PART] = predict_raw(net, ids[at[0] : at[-1]], lang_ids[at[0] : at[-1]], at - at[0])
     whole = best_cut(p[check], y[check])
     for k in range(len(names)):
         own = check[guess[check] == k]
@@ -207,10 +223,10 @@ def best_cut(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((high + low) / 2, 0.02, 0.98))
 
 
-def predict_raw(net: Net, w: Words, ids: np.ndarray, lang_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = w.first_of_doc()
+def predict_raw(net: Net, ids: np.ndarray, lang_ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(raw probability, guessed language) of each document."""
     x, _ = forward(net, embed(net, ids), first)
-    votes = np.zeros((w.n_docs, len(net.langs)))
+    votes = np.zeros((len(first) - 1, len(net.langs)))
     has = np.diff(first) > 0
     if has.any():
         votes[has] = np.add.reduceat(net.lang_table[lang_ids], first[:-1][has])
@@ -219,8 +235,7 @@ def predict_raw(net: Net, w: Words, ids: np.ndarray, lang_ids: np.ndarray) -> tu
 
 def scores(net: Net, texts: list[str | None]) -> np.ndarray:
     """0 to 1; 0.5 is the cut of the text's language."""
-    w = cut(texts, word_table())
-    p, guess = predict_raw(net, w, *features(w))
+    p, guess = predict_raw(net, *features_in_parts(texts))
     c = net.cut[guess]
     return np.clip(np.where(p < c, 0.5 * p / c, 0.5 + 0.5 * (p - c) / (1 - c)), 0, 1)
 

@@ -163,9 +163,8 @@ def test_toxicity_on_held_out_rows(spark):
 def test_toxicity_forward_equals_loops():
     net = toxicity.train([f"w{i} bad{i % 3} x" if i % 2 else f"good w{i}" for i in range(60)], np.arange(60) % 2 == 1, ["en"] * 60)
     texts = ["w1 bad0 x y z bad1", "", "good", None]
-    w = toxicity.cut(texts, toxicity.word_table())
-    ids, _ = toxicity.features(w)
-    v, first = toxicity.embed(net, ids), w.first_of_doc()
+    ids, _, first = toxicity.features_in_parts(texts)
+    v = toxicity.embed(net, ids)
     got, _ = toxicity.forward(net, v, first)
     for d in range(len(texts)):
         x, want = v[first[d] : first[d + 1]], []
