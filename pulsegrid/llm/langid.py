@@ -19,6 +19,8 @@ from pulsegrid.llm.textcode import Words, cut, letter_table, word_hash
 
 #: Expected documents of each language in the learning sample.
 PER_LANG = 600
+#: Texts of the sample spread out as code points at a time.
+PART = 100
 BUCKETS, NGRAMS, SWITCH, CLIP = 1 << 16, (1, 2, 3), 6.0, 8.0
 
 # First and last code point of the letters of common scripts (Unicode blocks).
@@ -83,17 +85,17 @@ def gram_buckets(w: Words) -> tuple[np.ndarray, np.ndarray]:
 def fit(texts: list[str | None], langs: list[str]) -> LangModel:
     names = sorted(set(langs))
     label = np.array([names.index(x) for x in langs], np.int64)
-    w = cut(texts, letter_table())
-    count = np.full((BUCKETS, max(1, len(names))), 0.5)
-    scripts = np.zeros((len(SCRIPTS) + 1, max(1, len(names))), bool)
-    if len(w.start):
-        bucket, who = gram_buckets(w)
-        of = label[w.doc[who]]
-        script, share = script_of(w.code[w.start]), np.zeros((len(SCRIPTS) + 1, len(names)))
-        for k in range(len(names)):
-            count[:, k] += np.bincount(bucket[of == k], minlength=BUCKETS)
-            share[:, k] = np.bincount(script[label[w.doc] == k], minlength=len(SCRIPTS) + 1)
-        scripts = share > 0.01 * share.sum(axis=0)
+    k = max(1, len(names))
+    count = np.full((BUCKETS, k), 0.5)
+    share = np.zeros((len(SCRIPTS) + 1, k))
+    for i in range(0, len(texts), PART):
+        w = cut(texts[i : i + PART], letter_table())
+        if len(w.start):
+            bucket, who = gram_buckets(w)
+            own = label[i : i + PART][w.doc]
+            count += np.bincount(bucket * k + own[who], minlength=BUCKETS * k).reshape(-1, k)
+            share += np.bincount(script_of(w.code[w.start]) * k + own, minlength=(len(SCRIPTS) + 1) * k).reshape(-1, k)
+    scripts = share > 0.01 * share.sum(axis=0)
     table = np.log(count / count.sum(axis=0))
     return LangModel(names, (table - table.mean(axis=1, keepdims=True)).astype(np.float32), scripts)
 
