@@ -829,6 +829,200 @@ def lopo_zscore_quality(spark, d):
     return rounded(c.join(m, "c_nationkey").select("c_custkey", ((F.col("c_acctbal") - F.col("mean_c_acctbal")) / M.zero_null(F.col("std_c_acctbal"))).alias("z")))
 
 
+# Kernels behind Arrow functions, on windows of 64 samples
+
+
+def kernel_rows(spark: SparkSession, d: str, column: Column) -> DataFrame:
+    return samples(spark, d).select("vec_id", column.alias("f")).select("vec_id", "f.*")
+
+
+DB4 = "[" + ", ".join(f"{v!r}e0" for v in (-0.010597401785069032, 0.0328830116668852, 0.030841381835560764, -0.18703481171909309, -0.027983769416859854, 0.6308807679298589, 0.7148465705529157, 0.2303778133088965)) + "]"
+
+
+@query(f"""WITH {LONG_SQL}, u AS (SELECT s.vec_id, n, (v - lo) / (hi - lo) AS v FROM s JOIN (SELECT vec_id, min(v) AS lo, max(v) AS hi FROM s GROUP BY vec_id) USING (vec_id)), t AS (SELECT unnest(range(8)) AS k),
+    l1 AS (SELECT a.vec_id, a.n, sum(b.v * {DB4}[8 - k]) AS c, sum(b.v * {DB4}[k + 1] * (CASE WHEN k % 2 = 0 THEN -1 ELSE 1 END)) AS d FROM u a, t JOIN u b ON b.vec_id = a.vec_id AND b.n = (a.n + k - 4 + 64) % 64 GROUP BY a.vec_id, a.n),
+    l2 AS (SELECT a.vec_id, a.n, sum(b.c * {DB4}[8 - k]) AS c, sum(b.c * {DB4}[k + 1] * (CASE WHEN k % 2 = 0 THEN -1 ELSE 1 END)) AS d FROM l1 a, t JOIN l1 b ON b.vec_id = a.vec_id AND b.n = (a.n + 2 * (k - 4) + 64) % 64 GROUP BY a.vec_id, a.n),
+    p AS (SELECT vec_id, max(pow(d - m, 2)) / avg(pow(d - m, 2)) AS p FROM (SELECT *, avg(d) OVER (PARTITION BY vec_id) AS m FROM l1) GROUP BY vec_id), q AS (SELECT vec_id, max(pow(d - m, 2)) / avg(pow(d - m, 2)) AS q FROM (SELECT *, avg(d) OVER (PARTITION BY vec_id) AS m FROM l2) GROUP BY vec_id)
+    SELECT vec_id, round(p, 6) AS "PAPR_d1", round(q, 6) AS "PAPR_d2" FROM p JOIN q USING (vec_id)""")
+def swt_db4_papr(spark, d):
+    from pulsegrid.functions.udfs import bcg_features
+
+    return rounded(kernel_rows(spark, d, bcg_features(64)(F.col("x"))).select("vec_id", "PAPR_d1", "PAPR_d2"))
+
+
+@query()
+def bcg_block(spark, d):
+    from pulsegrid.functions.udfs import bcg_features
+
+    return rounded(kernel_rows(spark, d, bcg_features(64)(F.col("x"))))
+
+
+@query()
+def sqi_block(spark, d):
+    """kSQI, sSQI, pSQI, bSQI, tSQI and the composite."""
+    from pulsegrid.functions.udfs import sqi
+
+    return rounded(kernel_rows(spark, d, sqi(64, "ppg")(F.col("x"))))
+
+
+@query()
+def signal_block(spark, d):
+    """All features of a signal with a prominence detector behind HRV and AF features."""
+    from pulsegrid.functions.udfs import signal_features
+
+    return rounded(kernel_rows(spark, d, signal_features(64, "prominence")(F.col("x"))))
+
+
+@query()
+def peaks_distance_prominence(spark, d):
+    from pulsegrid.functions.udfs import peaks
+
+    return samples(spark, d).select("vec_id", peaks("prominence", 64)(F.col("x")).alias("p")).select("vec_id", F.size("p").alias("n_peaks"), F.array_join("p", ",").alias("at"))
+
+
+@query()
+def window_scalars(spark, d):
+    """tSQI, corSQI, peak SNR, RR plausibility, beat count, acceptability."""
+    from pulsegrid.functions.udfs import scalar
+
+    names = ("t_sqi", "cor_sqi", "peak_snr", "rr_plausibility", "beat_count_ok", "acceptable", "sample_entropy")
+    return rounded(samples(spark, d).select("vec_id", *[scalar(n, 64)(F.col("x")).alias(n) for n in names]))
+
+
+@query()
+def band_pass_filter(spark, d):
+    """Deviation before and after a zero-phase band-pass of 2 to 10 Hz at 64 Hz."""
+    from pulsegrid.functions.udfs import band_passed
+
+    y = samples(spark, d).select("vec_id", S.moments(F.col("x"))["m2"].alias("before"), band_passed(2.0, 10.0, 64.0)(F.col("x")).alias("y"))
+    return rounded(y.select("vec_id", F.sqrt("before").alias("std_before"), F.sqrt(S.moments(F.col("y"))["m2"]).alias("std_after")))
+
+
+# Packets: frames made from events by a fixture, decoded by the source
+
+
+def event_blobs(spark: SparkSession, d: str, realtime: bool) -> DataFrame:
+    """One blob for each user: a frame for each event, escaped, with delimiters or fixed in size. Real-time frames hold no bytes to escape, as these
+    would move the later ones."""
+    import struct
+
+    import pandas as pd
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = bytearray()
+        for i in pdf["event_id"].sort_values():
+            b = bytearray(81 if realtime else 77)
+            b[0:8] = struct.pack("<Q", 1 + i % 100 if realtime else 1_000_000 + i)
+            b[8:24] = struct.pack("<4i", *([i % 100] * 4 if realtime else [(i * 7919 * k) % 2**31 - 2**30 for k in range(1, 5)]))
+            b[28:30] = struct.pack("<H", i % 100 if realtime else i % 65536)
+            b[48:54] = struct.pack("<3h", *([i % 100] * 3 if realtime else [i % 30000, -(i % 30000), 5]))
+            b[72:74] = struct.pack("<H", i % 100)
+            raw = bytes(b)
+            out += raw if realtime else b"\x7e" + raw.replace(b"\x7d", b"\x7d\x5d").replace(b"\x7e", b"\x7d\x5e")
+        return pd.DataFrame({"path": [str(pdf["user_id"].iloc[0])], "content": [bytes(out)]})
+
+    return events(spark, d).select("user_id", "event_id").groupBy("user_id").applyInPandas(build, "path string, content binary")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS path, round(1000000 + event_id + (event_id % 100) / 1000e0, 6) AS time, round(((event_id * 7919) % 2147483648 - 1073741824) / 16777216e0 * 4800, 6) AS ecg1,
+    CAST(event_id % 65536 AS DOUBLE) AS ppg1, CAST(event_id % 30000 AS INTEGER) AS x, CAST(-(event_id % 30000) AS INTEGER) AS y FROM events""")
+def packet_decode(spark, d):
+    from pulsegrid.sources.packets import decoded
+
+    p = decoded(event_blobs(spark, d, False))
+    return rounded(p.select("path", "time", "ecg1", "ppg1", F.col("scg1.x").cast("int").alias("x"), F.col("scg1.y").cast("int").alias("y")))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS path, round(1 + event_id % 100 + (event_id % 100) / 1000e0, 6) AS time, CAST(event_id % 100 AS DOUBLE) AS ppg1, CAST(event_id % 100 AS INTEGER) AS z FROM events""")
+def packet_decode_rt(spark, d):
+    from pulsegrid.sources.packets import read_realtime
+
+    p = read_realtime(event_blobs(spark, d, True))
+    return rounded(p.select("path", "time", "ppg1", F.col("scg1").cast("int").alias("z")))
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id FROM events) SELECT user_id AS patient, CASE WHEN user_id % 4 = 0 THEN 'alignment.json' WHEN user_id % 4 = 1 THEN 'polarity.json' WHEN user_id % 4 = 2 THEN 'offsets.json' ELSE 'offsets.txt' END AS source,
+    CAST(CASE user_id % 4 WHEN 0 THEN user_id % 50 WHEN 3 THEN user_id % 30 ELSE 0 END AS INTEGER) AS initial_offset, CAST(CASE user_id % 4 WHEN 0 THEN user_id % 70 WHEN 2 THEN user_id % 90 WHEN 3 THEN user_id % 40 ELSE 0 END AS INTEGER) AS final_offset,
+    user_id % 4 IN (0, 1) AND user_id % 3 = 0 AS flip_cecg, round(CASE WHEN user_id % 4 = 2 THEN user_id % 256 / 128e0 ELSE 0 END, 6) AS trim_start_s FROM u""")
+def alignment_config(spark, d):
+    """Settings files of four kinds, a corrupt one of higher priority among them, resolved for each user."""
+    from pulsegrid.sources.alignment import resolve
+
+    u = events(spark, d).select("user_id").distinct()
+    k, t = F.col("user_id") % 4, lambda n: (F.col("user_id") % n).cast("string")
+    flip = F.when(F.col("user_id") % 3 == 0, F.lit("true")).otherwise(F.lit("false"))
+    sign = F.when(F.col("user_id") % 3 == 0, F.lit("-1")).otherwise(F.lit("1"))
+    a = F.concat(F.lit('{"invert": {"cecg": '), flip, F.lit('}, "initial_offset": '), t(50), F.lit(', "final_offset": '), t(70), F.lit("}"))
+    b = F.concat(F.lit('{"cecg": '), sign, F.lit("}"))
+    c = F.concat(F.lit('{"global": {"start_sample": '), t(256), F.lit(', "time_offset_samples": '), t(90), F.lit("}}"))
+    e = F.concat(t(30), F.lit("\n"), t(40), F.lit("\n"))
+    own = F.when(k == 0, F.struct(F.lit("alignment.json").alias("name"), a.alias("content"))).when(k == 1, F.struct(F.lit("polarity.json").alias("name"), b.alias("content"))).when(k == 2, F.struct(F.lit("offsets.json").alias("name"), c.alias("content"))).otherwise(F.struct(F.lit("offsets.txt").alias("name"), e.alias("content")))
+    bad = F.when(k != 0, F.struct(F.lit("alignment.json").alias("name"), F.lit("{broken").alias("content")))
+    files = u.select(F.col("user_id").alias("patient"), F.explode(F.array_compact(F.array(own, bad))).alias("f")).select("patient", "f.*")
+    s = resolve(files)
+    return rounded(s.select("patient", "source", "initial_offset", "final_offset", F.col("invert")["cecg"].alias("flip_cecg"), "trim_start_s"))
+
+
+# Learning: five folds of patients
+
+
+def folded(spark: SparkSession, d: str) -> DataFrame:
+    """Experts' table with complete qualities and one of five folds for each patient."""
+    return with_quality(spark, d).withColumn("fold", F.col("patient") % 5)
+
+
+EX3 = ("cecg", "ppg", "bcg")
+
+
+def moe(kind: str, **options) -> Query:
+    def run(spark, d):
+        from pulsegrid.learn.folds import evaluate_moe
+
+        return rounded(evaluate_moe(folded(spark, d), EX3, QUAL, kind, options, fold="fold"))
+
+    return run
+
+
+for _name, _kind, _options in (
+    ("gating_net", "net", {"epochs": 100}),
+    ("reliability_gate", "reliability", {"epochs": 100}),
+    ("error_gate", "ridge", {"map": "decay", "e0": 0.5, "tau": 1.0}),
+    ("class_gate", "class_lr", {}),
+    ("errpred_fusion", "errpred", {"hidden": (16,)}),
+    ("stacked_meta", "stack_lr", {"discordance": True}),
+    ("unsup_pca_gate", "unsup_pca", {"groups": [[0], [1], [2]], "anchors": [0, 1, 2]}),
+    ("gmm_gate", "unsup_gmm", {"groups": [[0], [1], [2]], "anchors": [0, 1, 2]}),
+):
+    QUERIES[_name] = moe(_kind, **_options)
+
+
+@query()
+def lopo_logreg(spark, d):
+    from pulsegrid.learn.folds import lopo_predictions
+
+    return rounded(lopo_predictions(folded(spark, d), list(QUAL), "y", "LR", "fold"))
+
+
+@query()
+def isotonic_fit(spark, d):
+    from pulsegrid.learn.folds import lopo_predictions
+
+    return rounded(lopo_predictions(folded(spark, d), ["p_cecg"], "y", "LR+cal", "fold"))
+
+
+@query()
+def nested_patient_threshold(spark, d):
+    from pulsegrid.learn.folds import nested_evaluation
+
+    return rounded(nested_evaluation(folded(spark, d), ["p_cecg", "p_ppg"], "y", mode="patient_nested", fold="fold"))
+
+
+@query()
+def bootstrap_ci(spark, d):
+    x = folded(spark, d).withColumn("p", (F.col("p_cecg") + F.col("p_ppg") + F.col("p_bcg")) / 3)
+    return rounded(M.bootstrap(x, "p", "y", "patient", draws=200, seed=1))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events to RR series, HRV and rhythm rule, fusion of three experts by softmax weights, and each user's K-of-M alarm."""
     rr = rr_table(spark, sf_dir)
@@ -846,3 +1040,11 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return ORACLES
+
+
+#: Queries that SQL can't express: iterations and learnt models. Tests hold them against kernels.
+WITHOUT_TWIN = {
+    "rr_cosen", "bcg_block", "sqi_block", "signal_block", "peaks_distance_prominence", "window_scalars", "band_pass_filter",
+    "gating_net", "reliability_gate", "error_gate", "class_gate", "errpred_fusion", "stacked_meta", "unsup_pca_gate", "gmm_gate",
+    "lopo_logreg", "isotonic_fit", "nested_patient_threshold", "bootstrap_ci",
+}
