@@ -55,14 +55,19 @@ def cecg_band(x: np.ndarray, fs: float, seconds: float = 20, quantile: float = 0
 
 
 def rolling_mean_beats(x: np.ndarray, fs: float, low: float = 30, high: float = 220) -> np.ndarray:
-    """One peak in each region above a raised 0.75 s mean; of the raises the one with the least RR spread at a plausible
-    rate. Beats whose RR leaves mean +- max(30 %, 300 ms) go, and 10-beat stretches with more than three of these."""
+    """One peak in each region above a raised 0.75 s mean, of peaks under 60 / high seconds apart the higher; of the raises the one
+    with the least RR spread at a plausible rate. Beats whose RR leaves mean +- max(30 %, 300 ms) go, and 10-beat stretches with more than three of these."""
     best, spread = np.zeros(0, np.int64), np.inf
     scaled = (x - np.min(x)) / (np.ptp(x) or 1) * 1024
     mean = moving_mean(scaled, max(3, int(0.75 * fs)))
     for raise_by in (5, 10, 15, 20, 25, 30, 40, 50, 60, 70, 80, 90, 100, 110, 120, 150, 200, 300):
         above = np.flatnonzero(np.diff(np.concatenate([[0], scaled > mean + mean.mean() * raise_by / 100, [0]]).astype(int)))
         peaks = np.array([a + int(np.argmax(scaled[a:b])) for a, b in zip(above[::2], above[1::2], strict=True)], np.int64)
+        for i in np.argsort(scaled[peaks], kind="stable"):
+            near = np.abs(peaks - peaks[i]) < 60 / high * fs
+            if (scaled[peaks[near]] > scaled[peaks[i]]).any():
+                peaks[i] = -(10**9) - i * 10**6
+        peaks = peaks[peaks >= 0]
         if len(peaks) > 2:
             rr = np.diff(peaks) / fs * 1000
             if low <= 60 * len(peaks) / (len(x) / fs) <= high and 0.1 < rr.std() < spread:

@@ -829,6 +829,92 @@ def lopo_zscore_quality(spark, d):
     return rounded(c.join(m, "c_nationkey").select("c_custkey", ((F.col("c_acctbal") - F.col("mean_c_acctbal")) / M.zero_null(F.col("std_c_acctbal"))).alias("z")))
 
 
+# Reports
+
+
+def auc_sql(keys: str, score: str = "v", label: str = "ok", source: str = "l") -> str:
+    return f"""(SELECT {keys}, (sum(r) FILTER (ok = 1) - count(*) FILTER (ok = 1) * (count(*) FILTER (ok = 1) + 1) / 2e0) / nullif(count(*) FILTER (ok = 1) * count(*) FILTER (ok <> 1), 0) AS auc, count(*) FILTER (ok = 1) AS n_pos, count(*) FILTER (ok <> 1) AS n_neg
+        FROM (SELECT {keys}, {label} AS ok, rank() OVER (PARTITION BY {keys} ORDER BY {score}) + (count(*) OVER (PARTITION BY {keys}, {score}) - 1) / 2e0 AS r FROM {source} WHERE {score} IS NOT NULL) GROUP BY {keys})"""
+
+
+@query(f"""WITH {X_SQL}, w AS (SELECT *, coalesce(q_cecg <= (SELECT quantile_cont(q_cecg, 0.1) FROM ex), false) AS bad FROM ex),
+    l AS (SELECT bad, unnest(['q_cecg', 'q_ppg', 'q_bcg']) AS feature, unnest([q_cecg, q_ppg, q_bcg]) AS v, unnest([CAST(CAST(p_cecg >= 0.5 AS INTEGER) = y AS INTEGER), CAST(CAST(p_ppg >= 0.5 AS INTEGER) = y AS INTEGER), CAST(CAST(p_bcg >= 0.5 AS INTEGER) = y AS INTEGER)]) AS ok, unnest([1 - abs(p_cecg - y), 1 - abs(p_ppg - y), 1 - abs(p_bcg - y)]) AS near FROM w),
+    r AS (SELECT feature, count(*) AS n, covar_pop(v, near) / (stddev_pop(v) * stddev_pop(near)) AS rho FROM l WHERE v IS NOT NULL GROUP BY feature), b AS (SELECT * FROM l WHERE bad)
+    SELECT feature, n, round(rho, 6) AS rho, round(a.auc, 6) AS auc, round(c.auc, 6) AS auc_bad FROM r JOIN {auc_sql("feature")} a USING (feature) LEFT JOIN {auc_sql("feature", source="b")} c USING (feature)""")
+def quality_scores(spark, d):
+    from pulsegrid.operators.reports import quality_scores as report
+
+    x = experts(spark, d)
+    cut = M.quantiles(x, "q_cecg", [0.1]).select(F.col("value").alias("cut"))
+    return rounded(report(x.crossJoin(F.broadcast(cut)), dict(zip(QUAL, P, strict=True)), "y", F.coalesce(F.col("q_cecg") <= F.col("cut"), F.lit(False))))  # one row
+
+
+@query(f"""WITH {X_SQL}, s AS (SELECT *, {MEAN} AS mean, sqrt((pow(p_cecg - {MEAN}, 2) + pow(p_ppg - {MEAN}, 2) + pow(p_bcg - {MEAN}, 2)) / 3) AS sd FROM ex), t AS (SELECT * FROM s WHERE sd >= (SELECT quantile_cont(sd, 0.7) FROM s)),
+    l AS (SELECT y AS ok, unnest(['p_cecg', 'p_ppg', 'p_bcg', 'mean']) AS expert, unnest([p_cecg, p_ppg, p_bcg, mean]) AS v FROM t) SELECT expert, round(auc, 6) AS auc, n_pos, n_neg FROM {auc_sql("expert")}""")
+def disagreement_gain(spark, d):
+    from pulsegrid.operators.reports import disagreement_gain as report
+
+    return rounded(report(mean_score(spark, d).withColumnRenamed("p", "mean"), P, "mean", "y"))
+
+
+@query(f"""WITH {X_SQL}, a AS (SELECT patient, unnest(['q_cecg', 'q_ppg', 'conf']) AS feature, unnest([q_cecg, q_ppg, conf]) AS v, e_cecg, e_ppg FROM ex), b AS (SELECT feature, v, unnest(['e_cecg', 'e_ppg']) AS target, unnest([e_cecg, e_ppg]) AS t FROM a),
+    r AS (SELECT feature, target, rank() OVER (PARTITION BY feature, target ORDER BY v) AS a, rank() OVER (PARTITION BY feature, target ORDER BY t) AS b FROM b WHERE v IS NOT NULL AND t IS NOT NULL),
+    c AS (SELECT feature, target, count(*) AS n, covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) AS rho FROM r GROUP BY ALL HAVING count(*) >= 50) SELECT feature, max(n) AS n, round(max(abs(rho)), 6) AS max_rho, max(abs(rho)) < 0.05 AS noise FROM c GROUP BY feature""")
+def noise_columns(spark, d):
+    from pulsegrid.operators.reports import noise_columns as report
+
+    return rounded(report(experts(spark, d), ["q_cecg", "q_ppg", "conf"], ["e_cecg", "e_ppg"]))
+
+
+@query(f"""WITH {X_SQL}{QF}, b AS (SELECT unnest([0e0, 1e0, 4e0]) AS value), e AS (SELECT value, y, exp(value * c0) AS a0, exp(value * c1) AS a1, exp(value * c2) AS a2, p_cecg, p_ppg, p_bcg FROM q, b),
+    l AS (SELECT value, y AS ok, (0.85e0 * a0 / (a0 + a1 + a2) + 0.05e0) * p_cecg + (0.85e0 * a1 / (a0 + a1 + a2) + 0.05e0) * p_ppg + (0.85e0 * a2 / (a0 + a1 + a2) + 0.05e0) * p_bcg AS v FROM e) SELECT value, round(auc, 5) AS auc, n_pos, n_neg FROM {auc_sql("value")}""")
+def beta_sweep(spark, d):
+    from pulsegrid.operators.reports import parameter_sweep
+
+    def score(beta: Column) -> Column:
+        e = [F.exp(beta * F.col(q)) for q in QUAL]
+        return N.fused([0.85 * x / N.total(e) + 0.05 for x in e], P)
+
+    return parameter_sweep(with_quality(spark, d), [0.0, 1.0, 4.0], score, "y").withColumn("auc", F.round("auc", 5))
+
+
+@query(f"WITH {X_SQL}, k AS (SELECT patient % 3 AS grp, y, e_bcg < 2.5 AS c FROM ex WHERE e_bcg IS NOT NULL), t AS (SELECT grp, {CONF_SQL} FROM k GROUP BY grp) SELECT grp, tn, fp, fn, tp, {RATES_SQL} FROM t")
+def gt_detector_report(spark, d):
+    from pulsegrid.operators.reports import detector_report
+
+    x = experts(spark, d).select((F.col("patient") % 3).alias("grp"), "y", F.when(F.col("e_bcg").isNotNull(), (F.col("e_bcg") < 2.5).cast("int")).alias("called"))
+    return rounded(detector_report(x, "called", "y", ["grp"]))
+
+
+@query(f"WITH {X_SQL} SELECT patient, count(*) AS n_win, count(q_ppg) AS n_decided, round(avg(CAST(q_ppg > 0.5 AS INTEGER)), 6) AS af_frac, round(quantile_cont(e_cecg, 0.5), 6) AS median_hr FROM ex GROUP BY patient")
+def gt_summary(spark, d):
+    from pulsegrid.operators.reports import reference_summary
+
+    x = experts(spark, d).select("patient", (F.col("q_ppg") > 0.5).cast("int").alias("label"), F.col("e_cecg").alias("mean_hr"))
+    return rounded(reference_summary(x))
+
+
+@query()
+def expert_oof(spark, d):
+    from pulsegrid.learn.folds import expert_oof as oof
+
+    return rounded(oof(folded(spark, d), {"a": ["p_cecg", "q_cecg"], "b": ["p_ppg", "q_ppg"]}, "y", "LR", "fold"))
+
+
+@query()
+def compare_gates(spark, d):
+    from pulsegrid.learn.folds import compare
+
+    return rounded(compare(folded(spark, d), EX3, QUAL, {"equal": ("equal", {}), "ridge": ("ridge", {}), "frozen": ("ridge", {"freeze": True})}, "fold"))
+
+
+@query()
+def tune_expert(spark, d):
+    from pulsegrid.learn.folds import tune
+
+    return rounded(tune(with_quality(spark, d), ["p_cecg", "q_cecg"], "y", lambda rng: ("LR", {"c": float(10 ** rng.uniform(-3, 2))}), trials=4))
+
+
 # Kernels behind Arrow functions, on windows of 64 samples
 
 
@@ -1046,5 +1132,5 @@ def oracle_sql() -> dict[str, str]:
 WITHOUT_TWIN = {
     "rr_cosen", "bcg_block", "sqi_block", "signal_block", "peaks_distance_prominence", "window_scalars", "band_pass_filter",
     "gating_net", "reliability_gate", "error_gate", "class_gate", "errpred_fusion", "stacked_meta", "unsup_pca_gate", "gmm_gate",
-    "lopo_logreg", "isotonic_fit", "nested_patient_threshold", "bootstrap_ci",
+    "lopo_logreg", "isotonic_fit", "nested_patient_threshold", "bootstrap_ci", "expert_oof", "compare_gates", "tune_expert",
 }
