@@ -54,32 +54,37 @@ def script_of(code: np.ndarray) -> np.ndarray:
 @dataclass
 class LangModel:
     langs: list[str]
-    table: np.ndarray  # (BUCKETS, languages) log probabilities of n-gram buckets, centred over the languages
+    table: np.ndarray  # (BUCKETS + 1, languages) log probabilities of n-gram buckets, centred over the languages; the last row is 0
     scripts: np.ndarray  # (scripts + 1, languages) does the language use the script?
 
 
-def gram_buckets(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each n-gram, word of each n-gram): all letter n-grams inside word marks, and the whole word."""
+def gram_rows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, sizes of NGRAMS) buckets of the n-grams that begin at each place of the words with a mark before and behind (BUCKETS: none
+    begins there), the first place of each word, and the bucket of each whole word."""
     n, total = len(w.start), int(w.length.sum())
-    # Words with a mark before and behind, side by side.
     size = w.length + 2
-    at = np.concatenate([[0], np.cumsum(size)[:-1]]) if n else np.zeros(0, np.int64)
+    at = np.cumsum(size) - size
+    # Words with their marks, side by side: letters are copied, marks stay.
     code = np.full(total + 2 * n, 1, np.uint64)
-    owner = np.repeat(np.arange(n), size)
-    inner = np.arange(total + 2 * n) - np.repeat(at, size)
-    body = (inner > 0) & (inner < np.repeat(size, size) - 1)
-    code[body] = w.code[(np.repeat(w.start, size) + inner - 1)[body]]
-    out, who = [], []
+    body = np.ones(total + 2 * n, bool)
+    body[at] = body[at + size - 1] = False
+    step = np.ones(total, np.int64)
+    first = np.cumsum(w.length) - w.length
+    step[0] = w.start[0]
+    step[first[1:]] = w.start[1:] - w.start[:-1] - w.length[:-1] + 1
+    code[body] = w.code[np.cumsum(step)]
+    ends = at + size
+    out = np.full((len(code), len(NGRAMS)), BUCKETS, np.int32)
     h = np.zeros(len(code), np.uint64)
-    room = np.repeat(size, size) - inner
-    for j in NGRAMS:
-        h = h * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([code[j - 1 :], np.zeros(j - 1, np.uint64)])
-        ok = (room >= j) & (body if j == 1 else True)
-        out.append(((h[ok] + np.uint64(j)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1))
-        who.append(owner[ok])
-    out.append((word_hash(w) >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1))
-    who.append(np.arange(n))
-    return np.concatenate(out), np.concatenate(who)
+    ok = np.ones(len(code), bool)
+    for k, j in enumerate(NGRAMS):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h[: len(code) - j + 1] += code[j - 1 :]
+        if j > 1:
+            ok[ends - j + 1] = False  # too near to the word's end
+        bucket = (((h + np.uint64(j)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)).astype(np.int32)
+        out[:, k] = np.where(body if j == 1 else ok, bucket, BUCKETS)
+    return out, at, (word_hash(w) >> np.uint64(48)).astype(np.int32)
 
 
 def fit(texts: list[str | None], langs: list[str]) -> LangModel:
@@ -91,21 +96,27 @@ def fit(texts: list[str | None], langs: list[str]) -> LangModel:
     for i in range(0, len(texts), PART):
         w = cut(texts[i : i + PART], letter_table())
         if len(w.start):
-            bucket, who = gram_buckets(w)
+            rows, _, words = gram_rows(w)
             own = label[i : i + PART][w.doc]
-            count += np.bincount(bucket * k + own[who], minlength=BUCKETS * k).reshape(-1, k)
+            place = np.repeat(own, w.length + 2)
+            for bucket, of in ((words, own), *((r, place) for r in rows.T)):
+                count += np.bincount(bucket.astype(np.int64) * k + of, minlength=(BUCKETS + 1) * k).reshape(-1, k)[:BUCKETS]
             share += np.bincount(script_of(w.code[w.start]) * k + own, minlength=(len(SCRIPTS) + 1) * k).reshape(-1, k)
     scripts = share > 0.01 * share.sum(axis=0)
     table = np.log(count / count.sum(axis=0))
-    return LangModel(names, (table - table.mean(axis=1, keepdims=True)).astype(np.float32), scripts)
+    table = (table - table.mean(axis=1, keepdims=True)).astype(np.float32)
+    return LangModel(names, np.concatenate([table, np.zeros((1, k), np.float32)]), scripts)
 
 
 def word_scores(m: LangModel, w: Words) -> np.ndarray:
     """(words, languages): how well each language explains each word; a script that a language doesn't use costs the clip."""
     if not len(w.start):
         return np.zeros((0, len(m.langs)), np.float32)
-    bucket, who = gram_buckets(w)
-    score = np.stack([np.bincount(who, weights=m.table[:, k][bucket], minlength=len(w.start)) for k in range(len(m.langs))], axis=1).astype(np.float32)
+    rows, at, words = gram_rows(w)
+    each = m.table.take(rows[:, 0], axis=0)
+    for k in range(1, rows.shape[1]):
+        each += m.table.take(rows[:, k], axis=0)
+    score = np.add.reduceat(each, at) + m.table.take(words, axis=0)
     score -= score.max(axis=1, keepdims=True)
     fits = m.scripts[script_of(w.code[w.start])]
     none = ~fits.any(axis=1)
