@@ -167,7 +167,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.
 
 def label_texts(m: LangModel, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(language, score, spans) of each text: the language whose spans hold most letters (ties: the first by name),
-    that share times the certainty of its words, and the number of spans. Without a letter: und, 0, 0."""
+    that share times the posterior of the language over its own words, and the number of spans. Without a letter: und, 0, 0."""
     w = cut(texts, letter_table())
     score, first = word_scores(m, w), w.first_of_doc()
     if not m.langs or not len(w.start):
@@ -178,11 +178,12 @@ def label_texts(m: LangModel, texts: list[str | None]) -> tuple[list[str], np.nd
     total = letters.sum(axis=1)
     best = letters.argmax(axis=1)
     cuts = np.bincount(w.doc[1:], weights=((path[1:] != path[:-1]) & (w.doc[1:] == w.doc[:-1])), minlength=w.n_docs)
-    sums = np.stack([np.bincount(w.doc, weights=score[:, j], minlength=w.n_docs) for j in range(k)], axis=1)
-    sure = np.exp(-np.log(np.exp(np.clip(sums - sums[np.arange(len(best)), best][:, None], -50, 50)).sum(axis=1)))
+    own = path == best[w.doc]
+    sums = np.stack([np.bincount(w.doc[own], weights=score[own, j], minlength=w.n_docs) for j in range(k)], axis=1)
+    sure = 1 / np.exp(np.clip(sums - sums[np.arange(len(best)), best][:, None], -50, 50)).sum(axis=1)
     has = total > 0
     share = letters[np.arange(len(best)), best] / np.maximum(total, 1)
-    return [m.langs[b] if h else "und" for b, h in zip(best, has, strict=True)], np.where(has, np.clip(share * np.maximum(sure, 1 / k), 0, 1), 0), np.where(has, cuts + 1, 0).astype(np.int64)
+    return [m.langs[b] if h else "und" for b, h in zip(best, has, strict=True)], np.where(has, np.clip(share * sure, 0, 1), 0), np.where(has, cuts + 1, 0).astype(np.int64)
 
 
 def fit_languages(docs: DataFrame) -> LangModel:
