@@ -70,15 +70,14 @@ def rotated(fp: np.ndarray, by: int) -> np.ndarray:
     return fp if by == 0 else (fp << np.uint64(by)) | (fp >> np.uint64(BITS - by))
 
 
-def trie_links(values: np.ndarray, top: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(values: np.ndarray, top: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All index pairs (i < j) of the sorted distinct ``values`` that share their ``top`` highest bits and
-    differ in at most ``budget`` bits.
+    differ in at most ``budget`` bits, in pieces of bounded size.
 
     A trie node is a range of the sorted values with a common prefix. Pairs of nodes go down together,
     level by level: equal bits keep the error count, unlike bits add one, and a pair over the budget is
     pruned. Pairs of small nodes are compared directly. The frontier is held in bounded pieces.
     """
-    found_a, found_b = [], []
     head = values >> np.uint64(BITS - top)
     first = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]])) if len(values) else np.zeros(0, np.int64)
     last = np.append(first[1:], len(values))
@@ -105,8 +104,7 @@ def trie_links(values: np.ndarray, top: int, budget: int) -> tuple[np.ndarray, n
             ok = i < j
             i, j = i[ok], j[ok]
             ok = np.bitwise_count(values[i] ^ values[j]) <= budget
-            found_a.append(i[ok])
-            found_b.append(j[ok])
+            yield i[ok], j[ok]
         if not f.shape[1]:
             continue
         bit = np.uint64(BITS - 1 - depth)
@@ -120,24 +118,17 @@ def trie_links(values: np.ndarray, top: int, budget: int) -> tuple[np.ndarray, n
         g = g[:, (g[0] != g[2]) | (g[1] - g[0] > 1)]
         if g.shape[1]:
             stack.append((depth + 1, g))
-    if not found_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For n nodes and edges a-b: the smallest index of each node's component (min-label with pointer jumping)."""
-    root = np.arange(n)
+def join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Unite the components of each edge a-b in place: roots are flat and the smallest index of their component, before and after."""
     while len(a):
         ra, rb = root[a], root[b]
         live = ra != rb
-        if not live.any():
-            break
         a, b, ra, rb = a[live], b[live], ra[live], rb[live]
         np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
         while (root[root] != root).any():
-            root = root[root]
-    return root
+            root[:] = root[root]
 
 
 def group_links(pdf: pd.DataFrame, budget: int = BUDGET) -> pd.DataFrame:
@@ -145,7 +136,9 @@ def group_links(pdf: pd.DataFrame, budget: int = BUDGET) -> pd.DataFrame:
     turn = int(pdf["turn"].iloc[0])
     first, size = blocks(budget)[turn]
     values = np.unique(rotated(pdf["fp"].to_numpy().view(np.uint64), first))
-    root = roots_of(len(values), *trie_links(values, size, budget))
+    root = np.arange(len(values))
+    for a, b in trie_links(values, size, budget):  # links of a dense group are united as they come, never held together
+        join(root, a, b)
     linked = np.flatnonzero(root != np.arange(len(values)))
     back = rotated(values, (BITS - first) % BITS).view(np.int64)
     return pd.DataFrame({"a": back[linked], "b": back[root[linked]]})

@@ -415,11 +415,25 @@ def test_trie_join_equals_all_pairs(monkeypatch):
     v = np.concatenate([base] + [base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (40, k)).astype(np.uint64), axis=1) for k in (1, 2, 3, 5, 6)])
     v = np.unique(v)
     monkeypatch.setattr(simhash, "FRONTIER", 50)
-    i, j = simhash.trie_links(v, 0, 4)
+    pairs = list(simhash.trie_links(v, 0, 4))
+    i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
     d = np.bitwise_count(v[:, None] ^ v[None])
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a, b in zip(*np.nonzero(d <= 4), strict=True) if a < b}
 
 
+def test_dense_group_of_near_copies(spark):
+    """Some thousand fingerprints within a few bits of each other, and a stranger: two components, and as many links as rows."""
+    rng = np.random.default_rng(9)
+    base = np.uint64(0x1234567890ABCDEF)
+    v = np.unique(base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (4000, 2)).astype(np.uint64), axis=1))
+    v = np.append(v, ~base).view(np.int64)
+    distinct = spark.createDataFrame(pd.DataFrame({"fp": v}))
+    edges = simhash.links(distinct, len(v))
+    assert edges.count() < 5 * len(v)
+    got = simhash.components(edges).toPandas()
+    assert got["root"].nunique() == 1 and len(got) == len(v) - 1
+
+
 def test_chain_of_links_is_one_component(spark):
     fps = [0]
     for k in range(15):
