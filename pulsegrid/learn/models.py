@@ -132,7 +132,7 @@ class Boosted:
         m = np.average(y, weights=s)
         self.base = float(np.log(max(m, 1e-6) / max(1 - m, 1e-6))) if self.loss == "log" else float(m)
         f = np.full(len(y), self.base)
-        self.trees = []
+        self.trees, self.gain = [], np.zeros(x.shape[1])  # gain: of each column's splits
         for _ in range(self.rounds):
             p = logistic(f) if self.loss == "log" else f
             g, h = s * (p - y), s * (p * (1 - p) if self.loss == "log" else np.ones(len(y)))
@@ -163,6 +163,7 @@ class Boosted:
         if best[1] is None:
             return leaf
         j, k, missing_left = best[1]
+        self.gain[j] += best[0]
         c = code[rows, j]
         left = np.where(c == 0, missing_left, c <= k)
         return j, k, missing_left, self._grow(code, g, h, rows[left], depth - 1), self._grow(code, g, h, rows[~left], depth - 1)
@@ -200,10 +201,8 @@ class Forest:
             cols = np.sort(rng.choice(x.shape[1], max(1, int(np.ceil(np.sqrt(x.shape[1])))), replace=False))
             b = Boosted("squared", rounds=1, rate=1.0, depth=self.depth, least=3, l2=1e-9).fit(x[rows][:, cols], y[rows].astype(float), s[rows])
             self.parts.append((cols, b))
-            base = np.var(y[rows])
-            if base > 0:
-                got = max(0.0, 1 - np.mean((b.predict(x[rows][:, cols]) - y[rows]) ** 2) / base)
-                self.importance[cols] += got / len(cols)
+            if b.gain.sum() > 0:
+                self.importance[cols] += b.gain / b.gain.sum()
         total = self.importance.sum()
         self.importance = self.importance / total if total > 0 else self.importance
         return self

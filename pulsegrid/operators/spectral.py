@@ -6,12 +6,19 @@ go through the Arrow functions, which use an FFT.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO_PI = 6.283185307179586
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) where f uses x inside a lambda: x is evaluated once for a row, not once for each element."""
+    return F.flatten(F.transform(F.array(x), f))
+
+
 def added(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
@@ -28,20 +35,20 @@ def centred(x: Column) -> Column:
 def moments(x: Column) -> Column:
     """struct n, mean, m2, m3, m4 (central, divided by n)."""
     c = centred(x)
-    power = lambda k: added(F.transform(c, lambda v: F.pow(v, F.lit(float(k))))) / F.size(x)
+    power = lambda k: added(F.transform(c, lambda v: v**k if k > 2 else v * v)) / F.size(x)
     return F.struct(F.size(x).alias("n"), mean_of(x).alias("mean"), power(2).alias("m2"), power(3).alias("m3"), power(4).alias("m4"))
 
 
 def power_spectrum(x: Column, n: int) -> Column:
     """|DFT|^2 / n for the bins 0 to n / 2 of a window of n samples. The angles are reduced to whole turns first."""
 
-    def bin_power(k: Column) -> Column:
+    def bin_power(y: Column, k: Column) -> Column:
         angle = lambda i: F.lit(TWO_PI) * (k * i % n) / n
-        re = added(F.transform(x, lambda v, i: v * F.cos(angle(i))))
-        im = added(F.transform(x, lambda v, i: v * F.sin(angle(i))))
+        re = added(F.transform(y, lambda v, i: v * F.cos(angle(i))))
+        im = added(F.transform(y, lambda v, i: v * F.sin(angle(i))))
         return (re * re + im * im) / n
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n // 2)), bin_power)
+    return bound(x, lambda y: F.transform(F.sequence(F.lit(0), F.lit(n // 2)), lambda k: bin_power(y, k)))
 
 
 def band_sum(psd: Column, n: int, fs: float, low: float, high: float) -> Column:

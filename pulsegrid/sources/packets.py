@@ -99,7 +99,7 @@ def read_realtime(blobs: DataFrame, content: str = "content", path: str = "path"
 
 
 def flat(packets: DataFrame) -> DataFrame:
-    """The 28 export columns, motion flattened."""
+    """The export columns, motion flattened."""
     axes: list[Column] = [F.col(f"scg{i}.{a}").alias(f"scg{i}_{a}") for i in range(1, 5) for a in "xyz"]
     return packets.select(*NUMBERS, *axes, "bufFillState")
 
