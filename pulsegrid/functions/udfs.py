@@ -82,6 +82,25 @@ def resampled(m: int) -> Callable[[Column], Column]:
     return array_function(lambda x: dsp.fft_resample(x, m))
 
 
+def spectrum(n: int, centred: bool) -> Callable[[Column], Column]:
+    """Periodogram bins 0 to n / 2 of windows of n samples: one FFT call for a whole batch. Other sizes and missing samples give null."""
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            rows = [as_array(x) for x in b]
+            ok = [i for i, x in enumerate(rows) if whole(x) and len(x) == n]
+            out: list = [None] * len(rows)
+            if ok:
+                m = np.stack([rows[i] for i in ok])
+                psd = np.abs(np.fft.rfft(m - m.mean(axis=1, keepdims=True) if centred else m, axis=1)) ** 2 / n
+                for i, p in zip(ok, psd, strict=True):
+                    out[i] = p
+            yield pd.Series(out, dtype=object)
+
+    return run
+
+
 def moving_mean(size: int) -> Callable[[Column], Column]:
     return array_function(lambda x: dsp.moving_mean(x, size))
 

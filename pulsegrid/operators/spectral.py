@@ -1,4 +1,4 @@
-"""Spectral, entropy and amplitude features of short windows, as row-local array expressions: no Python, no shuffle.
+"""Spectral and amplitude features of short windows, as row-local array expressions: no Python, no shuffle.
 
 The discrete Fourier transform is taken by definition, so these forms suit windows up to some hundred samples; longer windows
 go through the Arrow functions, which use an FFT.
@@ -6,13 +6,12 @@ go through the Arrow functions, which use an FFT.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_PI = 6.283185307179586
-
 
 def bound(x: Column, f: Callable[[Column], Column]) -> Column:
     """f(x) where f uses x inside a lambda: x is evaluated once for a row, not once for each element."""
@@ -40,12 +39,14 @@ def moments(x: Column) -> Column:
 
 
 def power_spectrum(x: Column, n: int) -> Column:
-    """|DFT|^2 / n for the bins 0 to n / 2 of a window of n samples. The angles are reduced to whole turns first."""
+    """|DFT|^2 / n for the bins 0 to n / 2 of a window of n samples. Cosines come from a constant table of whole-turn fractions."""
+    turn = [2 * math.pi * m / n for m in range(n)]
+    cos, sin = (F.array(*[F.lit(f(a)) for a in turn]) for f in (math.cos, math.sin))
 
     def bin_power(y: Column, k: Column) -> Column:
-        angle = lambda i: F.lit(TWO_PI) * (k * i % n) / n
-        re = added(F.transform(y, lambda v, i: v * F.cos(angle(i))))
-        im = added(F.transform(y, lambda v, i: v * F.sin(angle(i))))
+        at = lambda table, i: F.get(table, k * i % n)
+        re = added(F.transform(y, lambda v, i: v * at(cos, i)))
+        im = added(F.transform(y, lambda v, i: v * at(sin, i)))
         return (re * re + im * im) / n
 
     return bound(x, lambda y: F.transform(F.sequence(F.lit(0), F.lit(n // 2)), lambda k: bin_power(y, k)))
@@ -78,13 +79,6 @@ def lag_correlation(x: Column, low: int, high: int) -> Column:
     return F.flatten(F.transform(F.array(centred(x)), lambda c: F.transform(F.sequence(F.lit(low), F.lit(high)), lambda k: added(F.zip_with(F.slice(c, F.lit(1), F.size(c) - k), F.slice(c, k + 1, F.size(c) - k), lambda a, b: a * b)) / F.nullif(added(F.transform(c, lambda v: v * v)), F.lit(0.0)))))
 
 
-def template_matches(x: Column, m: int, count: int, r: Column) -> Column:
-    """Ordered pairs of different templates of m samples, of the first ``count``, that differ by less than r everywhere."""
-    near = lambda i, j: F.forall(F.sequence(F.lit(0), F.lit(m - 1)), lambda k: F.abs(F.element_at(x, i + k) - F.element_at(x, j + k)) < r)
-    idx = F.sequence(F.lit(1), F.lit(count))
-    return F.aggregate(idx, F.lit(0), lambda s, i: s + F.size(F.filter(idx, lambda j: (j != i) & near(i, j))))
-
-
 def papr_time(x: Column) -> Column:
     c = F.transform(centred(x), lambda v: v * v)
     return F.array_max(c) / F.nullif(mean_of(c), F.lit(0.0))

@@ -46,7 +46,7 @@ def test_only_models_and_iterations_lack_a_twin():
 
 
 def test_native_queries_run_no_python(spark):
-    for name in ("hrv_features", "feat_band_power", "weights_softmax", "auc_rank", "stream_k_of_m", "align_drift_interp", "reliability_best_channel"):
+    for name in ("hrv_features", "feat_time_domain", "weights_softmax", "auc_rank", "stream_k_of_m", "align_drift_interp", "reliability_best_channel"):
         plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan
 

@@ -40,6 +40,8 @@ def test_spectral_expressions_equal_kernels(x):
     psd = S.power_spectrum(F.col("x"), 64)
     for got, v in zip(values(x, psd), a, strict=True):
         assert np.allclose(got, dsp.periodogram(v, 64, False)[1], atol=1e-9)
+    for got, v in zip(values(x, udfs.spectrum(64, True)(F.col("x"))), a, strict=True):
+        assert np.allclose(got, dsp.periodogram(v, 64, True)[1], atol=1e-9)
     for got, v in zip(values(x, S.spread(psd))[:6], a, strict=False):
         assert np.isclose(got, W.spread_of(dsp.periodogram(v, 64, False)[1]))
     for got, v in zip(values(x, S.papr_time(F.col("x")))[:6], a, strict=False):
