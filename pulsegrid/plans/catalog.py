@@ -190,11 +190,10 @@ def sqi_ksqi_ssqi(spark, d):
         round(any_value(p25), 6) AS p25, round(any_value(p75), 6) AS p75, round(any_value(p75 - p25), 6) AS iqr, round(any_value(entropy), 6) AS entropy
     FROM c JOIN q USING (vec_id) JOIN en USING (vec_id) GROUP BY vec_id""")
 def bcg_summary_stats(spark, d):
-    long = samples(spark, d).select("vec_id", "x", S.mean_of(F.col("x")).alias("m"), F.array_min("x").alias("lo"), F.array_max("x").alias("hi"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.size(F.filter("x", lambda v: F.least(F.floor((v - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 32)), F.lit(31)) == b)).cast("double"))
-    long = long.withColumn("entropy", S.spread(counts)).withColumn("mad", S.mean_of(F.transform("x", lambda v: F.abs(v - F.col("m")))))
-    q = long.select("vec_id", "entropy", "mad", "m", F.explode("x").alias("v")).groupBy("vec_id").agg(F.first("m").alias("mean"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_pop("v").alias("std"), F.first("mad").alias("mad"), F.first("entropy").alias("entropy"))
-    return rounded(q.select("vec_id", "mean", F.col("q")[1].alias("median"), "std", "mad", F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "entropy"))
+    from pulsegrid.functions.udfs import summary
+
+    s = samples(spark, d).select("vec_id", summary()(F.col("x")).alias("f"))
+    return rounded(s.select("vec_id", *[F.col(f"f.{k}").alias(k) for k in ("mean", "median", "std", "mad", "p25", "p75", "iqr", "entropy")]))
 
 
 def spectra(spark: SparkSession, d: str, centred: bool = False) -> DataFrame:
