@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.learn import gates as G
 from pulsegrid.learn.models import Boosted, Isotonic, Logistic, make_classifier, rank_auc
+from pulsegrid.operators.tables import fold_values
 
 
 def group_folds(groups: np.ndarray, y: np.ndarray, k: int = 5, seed: int = 42) -> np.ndarray:
@@ -34,10 +35,9 @@ def group_folds(groups: np.ndarray, y: np.ndarray, k: int = 5, seed: int = 42) -
 
 
 def by_fold(df: DataFrame, fold: str, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """run(train, test) for each value of ``fold``, as one task each. Every row goes to every fold: meant for few folds of tables that
-    fit a task."""
-    folds = df.select(F.col(fold).alias("_fold")).distinct()
-    x = df.crossJoin(F.broadcast(folds))  # one row for each fold
+    """run(train, test) for each value of ``fold``, as one task each. Every row goes to every fold: meant for tables that fit a task; the
+    number of folds is checked."""
+    x = df.withColumn("_fold", F.explode(F.array(*[F.lit(v) for v in fold_values(df, fold)])))
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         f = pdf["_fold"].iloc[0]

@@ -73,18 +73,30 @@ def best_channel(long: DataFrame, keys: Sequence[str], error: str) -> DataFrame:
     return long.groupBy(*keys).agg(pick.alias("b"), F.bool_or("valid").alias("valid")).select(*keys, F.col("b.channel").alias("channel"), F.col(f"b.{error}").alias(error), "valid")
 
 
+#: Most folds that rows are copied to. More groups than this are to be gathered into fewer folds first.
+MOST_FOLDS = 1000
+
+
+def fold_values(df: DataFrame, fold: str) -> list:
+    """The distinct folds, whose number is checked."""
+    got = sorted(r[0] for r in df.select(fold).where(F.col(fold).isNotNull()).distinct().limit(MOST_FOLDS + 1).collect())
+    if len(got) > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} folds: gather the groups of {fold!r} into fewer folds")
+    return got
+
+
 def with_sentinel(df: DataFrame, columns: Sequence[str], fold: str | None = None, q: float = 0.95) -> DataFrame:
     """Missing errors become the q-quantile of the learning rows (of the other folds if ``fold`` names a column, else of all); 1 without any.
 
-    Fold quantiles: each fold's learning rows are all rows of the others; folds are few."""
+    Fold quantiles: each fold's learning rows are all rows of the others; the number of folds is checked."""
     own = [F.percentile(c, q).alias(f"_{c}") for c in columns]
     if fold is None:
         s = df.agg(*own)
         x = df.crossJoin(F.broadcast(s))  # one row
     else:
-        folds = df.select(F.col(fold).alias("_f")).distinct()
-        s = df.join(F.broadcast(folds), F.col(fold) != F.col("_f")).groupBy("_f").agg(*own)
-        x = df.join(F.broadcast(s), F.col(fold) == F.col("_f"), "left").drop("_f")
+        others = F.explode(F.filter(F.array(*[F.lit(v) for v in fold_values(df, fold)]), lambda v: v != F.col(fold)))
+        s = df.withColumn("_f", others).groupBy("_f").agg(*own)
+        x = df.join(F.broadcast(s), F.col(fold) == F.col("_f"), "left").drop("_f")  # one row for each fold
     return x.withColumns({c: F.coalesce(c, f"_{c}", F.lit(1.0)) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 

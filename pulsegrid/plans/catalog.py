@@ -1111,6 +1111,65 @@ def bootstrap_ci(spark, d):
     return rounded(M.bootstrap(x, "p", "y", "patient", draws=200, seed=1))
 
 
+@query()
+def compare_models(spark, d):
+    from pulsegrid.learn.reports import compare_models as report
+
+    return rounded(report(folded(spark, d), list(P), "y", {"LR": "LR", "LR+cal": "LR+cal"}, ["window", "patient_pooled"], "fold"))
+
+
+@query()
+def column_ablation(spark, d):
+    from pulsegrid.learn.reports import ablation
+
+    return rounded(ablation(folded(spark, d), {"all": list(P), "without cecg": ["p_ppg", "p_bcg"], "ppg": ["p_ppg"]}, "y", "LR", "fold"))
+
+
+@query()
+def correctness_probe(spark, d):
+    from pulsegrid.learn.reports import correctness_probe as report
+
+    return rounded(report(folded(spark, d), {"cecg": "p_cecg", "ppg": "p_ppg"}, list(QUAL), "y", "fold"))
+
+
+@query()
+def tune_gate(spark, d):
+    from pulsegrid.learn.reports import tune_gate as report
+
+    return rounded(report(with_quality(spark, d), EX3, QUAL, lambda rng: ("ridge", {"alpha": float(10 ** rng.uniform(-2, 2))}), trials=3))
+
+
+@query()
+def learned_quality(spark, d):
+    from pulsegrid.learn.reports import recombined_quality
+
+    return rounded(recombined_quality(folded(spark, d), list(QUAL), "p_cecg", "y", "fold"))
+
+
+@query(w_sql(QF + ", w AS (SELECT *, " + ", ".join(f"(c{i} + 0.05e0) / (c0 + c1 + c2 + 0.15e0) AS w{i}" for i in range(3)) + " FROM q), t AS (SELECT exp(-(w0 * ln(w0) + w1 * ln(w1) + w2 * ln(w2))) AS n FROM w)", ["n"], ("n",)).split(" SELECT patient, win_idx,")[0] + " SELECT round(avg(n), 6) AS mean, round(quantile_cont(n, 0.1), 6) AS p10, round(count(*) FILTER (n < 1.5) / count(*), 6) AS one_expert FROM t")
+def effective_summary(spark, d):
+    from pulsegrid.learn.reports import effective_summary as report
+
+    x = with_quality(spark, d).select(N.entropy_experts(N.proportional_weights(QUAL)).alias("n_eff"))
+    return rounded(report(x))
+
+
+@query(f"WITH {X_SQL} SELECT patient, win_idx, y, round(p_cecg, 6) AS p_cecg, round(q_cecg, 6) AS q_cecg FROM ex WHERE patient = 3 AND win_idx = (SELECT min(win_idx) FROM ex WHERE patient = 3)")
+def inspect_window(spark, d):
+    from pulsegrid.learn.reports import inspect_window as look
+
+    x = experts(spark, d).select("patient", "win_idx", "y", "p_cecg", "q_cecg")
+    first = x.where("patient = 3").agg(F.min("win_idx")).first()[0]
+    return rounded(look(x, 3, first))
+
+
+@query(f"WITH {X_SQL} (SELECT patient, 'both' AS kind FROM ex WHERE patient % 2 = 0 INTERSECT SELECT patient, 'both' FROM ex WHERE patient % 3 = 0) UNION ALL (SELECT patient, 'first only' FROM ex WHERE patient % 2 = 0 EXCEPT SELECT patient, 'first only' FROM ex WHERE patient % 3 = 0)")
+def patient_sets(spark, d):
+    x = experts(spark, d).select("patient")
+    a, b = x.where("patient % 2 = 0"), x.where("patient % 3 = 0")
+    return a.intersect(b).withColumn("kind", F.lit("both")).unionByName(a.subtract(b).withColumn("kind", F.lit("first only")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events to RR series, HRV and rhythm rule, fusion of three experts by softmax weights, and each user's K-of-M alarm."""
     rr = rr_table(spark, sf_dir)
@@ -1134,5 +1193,5 @@ def oracle_sql() -> dict[str, str]:
 WITHOUT_TWIN = {
     "rr_cosen", "bcg_block", "sqi_block", "signal_block", "peaks_distance_prominence", "window_scalars", "band_pass_filter",
     "gating_net", "reliability_gate", "error_gate", "class_gate", "errpred_fusion", "stacked_meta", "unsup_pca_gate", "gmm_gate",
-    "lopo_logreg", "isotonic_fit", "nested_patient_threshold", "bootstrap_ci", "expert_oof", "compare_gates", "tune_expert",
+    "lopo_logreg", "isotonic_fit", "nested_patient_threshold", "bootstrap_ci", "expert_oof", "compare_gates", "tune_expert", "compare_models", "column_ablation", "correctness_probe", "tune_gate", "learned_quality",
 }

@@ -90,6 +90,16 @@ def test_arrow_functions(x):
         udfs.peaks("nope", 64)
 
 
+def test_sql_functions(spark, x):
+    from pulsegrid.functions.registry import register
+
+    names = register(spark, 64)
+    assert "pg_peaks_prominence" in names and "pg_sqi_ppg" in names
+    x.createOrReplaceTempView("windows_of_64")
+    r = spark.sql("SELECT id, size(pg_peaks_prominence(x)) AS n, pg_sqi_ppg(x).pSQI AS p, pg_t_sqi(x) AS t FROM windows_of_64 ORDER BY id").collect()
+    assert len(r) == 7 and abs(r[0]["p"] - W.p_sqi(np.array(ROWS[0][1]), 64, 0.6, 3.6)) < 1e-9
+
+
 def test_rr_tables_equal_kernels(spark):
     rng = np.random.default_rng(1)
     series = {p: rng.uniform(400, 1200, n) for p, n in ((1, 40), (2, 13), (3, 5))}
