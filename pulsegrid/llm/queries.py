@@ -81,7 +81,37 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_bounded_ring, op3_chat_format, op4_toxicity, op5_language, op6_bpe, op7_license_scan, op8_multi_index, op9_exact_top_k, op10_simhash, pipeline)}
 
+RX = r"[a-z0-9]+(?:\.[0-9]+)*"
+
+
+def license_sql() -> str:
+    """The licence scan in SQL: statements, TF-IDF cosine to the templates, nearest ancestor of the three levels of directories."""
+    templates = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
+    return f"""
+        WITH tpl(license, said) AS (VALUES {templates}),
+        tt AS (SELECT license, term, count(*) AS times FROM (SELECT license, unnest(regexp_extract_all(lower(said), '{RX}')) AS term FROM tpl) GROUP BY ALL),
+        f AS (SELECT doc_id, text, coalesce(source, 'none') || '/' || (doc_id // 256) || '/' || (doc_id // 16) || '/' || doc_id || '.txt' AS path FROM documents),
+        parts AS (SELECT doc_id, path, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS n_words,
+            unnest(string_split_regex(regexp_replace(text, '([.!?;])\s+', '\1' || chr(10), 'g'), '\n+')) AS said FROM f WHERE regexp_matches(text, '{licenses.CUE}')),
+        st AS (SELECT *, row_number() OVER () AS sid FROM parts WHERE regexp_matches(said, '{licenses.CUE}')),
+        tm AS (SELECT sid, doc_id, path, n_words, term, count(*) AS n FROM (SELECT *, unnest(regexp_extract_all(lower(said), '{RX}')) AS term FROM st) GROUP BY ALL),
+        total AS (SELECT (SELECT count(*) FROM st) + {len(licenses.TEMPLATES)} AS total),
+        held AS (SELECT term, count(*) AS k FROM tm GROUP BY term),
+        idf AS (SELECT term, ln((1 + any_value(total)) / (1 + count(*) + coalesce(any_value(k), 0))) + 1 AS idf FROM tt LEFT JOIN held USING (term), total GROUP BY term),
+        wt AS (SELECT license, term, times * idf / sqrt(sum(times * times * idf * idf) OVER (PARTITION BY license)) AS w FROM tt JOIN idf USING (term)),
+        x AS (SELECT tm.*, n * coalesce(idf, ln(1 + total) + 1) AS x FROM tm LEFT JOIN idf USING (term), total),
+        norms AS (SELECT sid, sqrt(sum(x * x)) AS norm FROM x GROUP BY sid),
+        cs AS (SELECT sid, doc_id, path, n_words, license, sum(x * w) / any_value(norm) AS cosine FROM x JOIN wt USING (term) JOIN norms USING (sid) GROUP BY sid, doc_id, path, n_words, license),
+        best AS (SELECT doc_id, path, n_words, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(cosine, 9) DESC, license) AS r FROM cs) WHERE r = 1 AND cosine >= {licenses.LEAST}),
+        given AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, arg_min(license, path) AS license FROM best WHERE n_words <= {licenses.NOTICE_WORDS} GROUP BY 1),
+        up AS (SELECT doc_id, path, regexp_replace(path, '/[^/]*$', '') AS d3 FROM f), up2 AS (SELECT *, regexp_replace(d3, '/[^/]*$', '') AS d2 FROM up), up3 AS (SELECT *, regexp_replace(d2, '/[^/]*$', '') AS d1 FROM up2)
+        SELECT u.doc_id, u.path, b.license AS own_license, round(coalesce(b.cosine, 0), 6) AS cosine, coalesce(b.license, g3.license, g2.license, g1.license) AS license,
+            CASE WHEN b.license IS NOT NULL THEN u.path WHEN g3.license IS NOT NULL THEN d3 WHEN g2.license IS NOT NULL THEN d2 WHEN g1.license IS NOT NULL THEN d1 END AS found_in
+        FROM up3 u LEFT JOIN best b USING (doc_id) LEFT JOIN given g3 ON g3.dir = d3 LEFT JOIN given g2 ON g2.dir = d2 LEFT JOIN given g1 ON g1.dir = d1"""
+
+
 ORACLES: dict[str, str] = {
+    "op7_license_scan": license_sql(),
     "op3_chat_format": """
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
