@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import small_batches
+from pulsegrid.llm.textcode import parts
 
 # Fixed value: the pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -177,8 +178,8 @@ def tokenize(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
         v = vocabulary(held.value)
         for b in batches:
             texts, rows = [None if t is None or t != t else t for t in b], []
-            for i in range(0, len(texts), 100):
-                for ids in v.encode(texts[i : i + 100]):
+            for part in parts(texts, 100):
+                for ids in v.encode(part):
                     text = v.decode(ids)
                     rows.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *(([int(x) for x in ids.split(",")] if ids else [], text) if keep else ())))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])

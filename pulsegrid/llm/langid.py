@@ -1,7 +1,8 @@
 """Language identification with spans: script ranges narrow the candidates of each word, per-word scores come from
 hashed letter n-grams, and Viterbi with a switching penalty labels spans of mixed-language text.
 
-Learning takes a bounded sample: about ``PER_LANG`` documents of each language, by hash.
+Learning takes a bounded sample: about ``PER_LANG`` documents of each language, by hash,
+and ``MOST`` in all.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import fold, small_batches
-from pulsegrid.llm.textcode import Words, cut, letter_table, word_hash
+from pulsegrid.llm.textcode import Words, cut, letter_table, parts, word_hash
 
-#: Expected documents of each language in the learning sample.
-PER_LANG = 600
+#: Expected documents of each language in the learning sample, and of the whole sample.
+PER_LANG, MOST = 600, 6000
 #: Texts of the sample spread out as code points at a time.
 PART = 100
 BUCKETS, NGRAMS, SWITCH, CLIP = 1 << 16, (1, 2, 3), 6.0, 8.0
@@ -93,11 +94,14 @@ def fit(texts: list[str | None], langs: list[str]) -> LangModel:
     k = max(1, len(names))
     count = np.full((BUCKETS, k), 0.5)
     share = np.zeros((len(SCRIPTS) + 1, k))
-    for i in range(0, len(texts), PART):
-        w = cut(texts[i : i + PART], letter_table())
+    done = 0
+    for part in parts(texts, PART):
+        w = cut(part, letter_table())
+        of_part = label[done : done + len(part)]
+        done += len(part)
         if len(w.start):
             rows, _, words = gram_rows(w)
-            own = label[i : i + PART][w.doc]
+            own = of_part[w.doc]
             place = np.repeat(own, w.length + 2)
             for bucket, of in ((words, own), *((r, place) for r in rows.T)):
                 count += np.bincount(bucket.astype(np.int64) * k + of, minlength=(BUCKETS + 1) * k).reshape(-1, k)[:BUCKETS]
@@ -192,7 +196,8 @@ def fit_languages(docs: DataFrame) -> LangModel:
     counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # one row for each language
     if not counts:
         return fit([], [])
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, PER_LANG / n)))])
+    per = min(PER_LANG, MOST / len(counts))
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per / n)))])
     spot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text")), F.lit(1 << 20)) / float(1 << 20)
     got = own.where(spot < F.element_at(share, F.col("lang"))).select("text", "lang").toPandas()
     return fit(got["text"].tolist(), got["lang"].tolist())
@@ -209,8 +214,8 @@ def detect_languages(docs: DataFrame, model: LangModel) -> DataFrame:
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [None if t is None or t != t else t for t in b]
-            parts = [label_texts(held.value, texts[i : i + 250]) for i in range(0, len(texts), 250)]
-            yield pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "lang_score": np.concatenate([p[1] for p in parts] or [np.zeros(0)]), "lang_spans": np.concatenate([p[2] for p in parts] or [np.zeros(0, np.int64)])})
+            got = [label_texts(held.value, part) for part in parts(texts, 250)]
+            yield pd.DataFrame({"lang_pred": [x for p in got for x in p[0]], "lang_score": np.concatenate([p[1] for p in got] or [np.zeros(0)]), "lang_spans": np.concatenate([p[2] for p in got] or [np.zeros(0, np.int64)])})
 
     got = docs.withColumn("_lang", label(F.col("text").cast("string")))
     return got.withColumns({c: F.col("_lang")[c] for c in ("lang_pred", "lang_score", "lang_spans")}).drop("_lang")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -34,6 +35,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def parts(texts: list, most: int, chars: int = 1_000_000) -> Iterator[list]:
+    """Runs of at most ``most`` texts and, unless a single text is longer, ``chars`` characters: what is spread out at a time stays bounded."""
+    begin = total = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > begin and (i - begin >= most or total + n > chars):
+            yield texts[begin:i]
+            begin, total = i, 0
+        total += n
+    if begin < len(texts):
+        yield texts[begin:]
+
+
 @dataclass
 class Words:
     """All words of a batch, in order. ``doc`` ascends; a text without a word has none here."""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import fold, small_batches
-from pulsegrid.llm.textcode import Words, cut, prefix_hashes, word_hash, word_table
+from pulsegrid.llm.textcode import Words, cut, parts, prefix_hashes, word_hash, word_table
 
 #: Bounds of the learning sample, in documents.
 MOST_TOXIC, MOST_CLEAN = 1200, 2400
@@ -57,8 +57,8 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
 def features_in_parts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows of the table, language buckets, first word of each document); a few texts at a time are spread out as code points."""
     ids, lang, first = [], [], [np.zeros(1, np.int64)]
-    for i in range(0, len(texts), PART):
-        w = cut(texts[i : i + PART], word_table())
+    for part in parts(texts, PART):
+        w = cut(part, word_table())
         a, b = features(w)
         ids.append(a)
         lang.append(b.astype(np.int32))
@@ -274,6 +274,6 @@ def score_toxicity(docs: DataFrame, net: Net) -> DataFrame:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             texts = [None if t is None or t != t else t for t in b]
-            yield pd.Series(np.concatenate([scores(held.value, texts[i : i + 200]) for i in range(0, len(texts), 200)] or [np.zeros(0)]))
+            yield pd.Series(np.concatenate([scores(held.value, part) for part in parts(texts, 2 * PART)] or [np.zeros(0)]))
 
     return docs.withColumn("toxic_score", score(F.col("text").cast("string"))).withColumn("toxic", F.col("toxic_score") >= 0.5)

@@ -35,6 +35,15 @@ def empty(spark):
     return spark.createDataFrame([], DOC)
 
 
+def test_parts_are_whole_and_bounded():
+    from pulsegrid.llm.textcode import parts
+
+    texts = ["a" * n for n in (5, 0, 30, 4, 4, 4, 1, 1, 1, 1)] + [None]
+    got = list(parts(texts, 3, 10))
+    assert [t for p in got for t in p] == texts and all(len(p) <= 3 and (len(p) == 1 or sum(len(t or "") for t in p) <= 10) for p in got)
+    assert list(parts([], 3, 10)) == []
+
+
 # packing
 
 
