@@ -8,7 +8,7 @@ import numpy as np
 
 from pulsegrid.functions.dsp import band_energy, band_pass, boxcar_energy, cwt, fft_resample, find_peaks, moving_mean
 
-#: Scales that band-energy detectors draw from.
+# Scales that band-energy detectors draw from.
 BCG_SCALES = np.geomspace(2, 64, 80)
 CECG_SCALES = np.geomspace(2, 60, 100)
 

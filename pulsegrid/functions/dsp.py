@@ -9,7 +9,7 @@ import numpy as np
 # Daubechies-4 decomposition low-pass taps.
 DB4_LOW = np.array([-0.010597401785069032, 0.0328830116668852, 0.030841381835560764, -0.18703481171909309, -0.027983769416859854, 0.6308807679298589, 0.7148465705529157, 0.2303778133088965])
 DB4_HIGH = DB4_LOW[::-1] * np.where(np.arange(8) % 2, 1.0, -1.0)
-#: Band of each channel kind in Hz (low, high).
+# Pass band of each channel kind in Hz (low, high).
 BANDS = {"cecg": (0.5, 35.0), "ppg": (0.6, 3.6), "bcg": (0.6, 10.0), "gt": (0.5, 35.0)}
 
 

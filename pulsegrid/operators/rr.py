@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Plausible RR and the entropy bins in ms.
 RR_MIN, RR_MAX, BIN = 300.0, 2000.0, 50.0
 BINS = int((RR_MAX - RR_MIN) / BIN)
 

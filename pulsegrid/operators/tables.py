@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators.metrics import auc, zero_null
 
+# Key and channel names.
 KEY = ("patient", "win_idx")
 EXPERTS = ("cecg", "ppg", "bcg")
 CHANNELS = {"cecg": ("cecg",), "ppg": ("ppg1", "ppg2"), "bcg": ("bcg1", "bcg2")}
