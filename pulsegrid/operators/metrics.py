@@ -114,6 +114,15 @@ def quantiles(df: DataFrame, column: str, qs: Sequence[float], bins: int = BINS)
     return picked.select("q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("value"))
 
 
+def cuts(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row with a column for each name: the exact quantile of (column, q). To be joined to rows as a broadcast."""
+    out = None
+    for name, (column, q) in wanted.items():
+        one = quantiles(df, column, [q]).select(F.col("value").alias(name))
+        out = one if out is None else out.crossJoin(F.broadcast(one))
+    return out
+
+
 def midranks(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """``df`` with rk_<c>: midranks inside the keys; for groups that fit one task."""
     out = {}
@@ -139,6 +148,16 @@ def risk_coverage(df: DataFrame, keep: str, score: str, label: str, coverages: S
     return n.join(auc(x, score, label, ["coverage"]).select("coverage", "auc"), "coverage")
 
 
+def numbered(units: DataFrame, key: str, seed: int = 0, bins: int = BINS) -> DataFrame:
+    """``units`` with _u, numbers from 0 without a gap in the order of a hash: places inside a hash bin, after the totals of the bins before."""
+    x = units.withColumn("_h", F.xxhash64(key, F.lit(seed))).withColumn("_bin", F.pmod("_h", F.lit(bins)))
+    per = x.groupBy("_bin").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # over ``bins`` rows
+    per = per.select("_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+    place = F.row_number().over(Window.partitionBy("_bin").orderBy("_h", key)) - 1
+    return x.withColumn("_r", place).join(per, "_bin").withColumn("_u", F.col("_r") + F.col("_skip")).drop("_h", "_bin", "_r", "_skip")
+
+
 def bootstrap(df: DataFrame, score: str, label: str, cluster: str | None, draws: int = 2000, seed: int = 0, alpha: float = 0.05, legacy_subset: bool = False) -> DataFrame:
     """(auc, low, high, draws_used): percentile interval of the AUC.
 
@@ -152,7 +171,7 @@ def bootstrap(df: DataFrame, score: str, label: str, cluster: str | None, draws:
         w = Window.partitionBy(score, label).orderBy(F.lit(1))
         base = base.withColumn("_k", F.row_number().over(w)).withColumn("_row", F.concat_ws("/", score, label, "_k"))
     units = base.select(key).distinct()
-    order = units.withColumn("_u", F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(seed)), key)) - 1)
+    order = numbered(units, key, seed)
     n = units.count()
     picks = df.sparkSession.range(draws).withColumnRenamed("id", "draw").select("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_j"))
     picks = picks.select("draw", F.pmod(F.xxhash64("draw", "_j", F.lit(seed)), F.lit(n)).alias("_u")).groupBy("draw", "_u").agg(F.count("*").alias("_times"))

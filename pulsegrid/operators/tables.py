@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.metrics import auc, zero_null
+from pulsegrid.operators.metrics import auc, cuts, quantiles, zero_null
 
 # Key and channel names.
 KEY = ("patient", "win_idx")
@@ -92,8 +92,7 @@ def with_sentinel(df: DataFrame, columns: Sequence[str], fold: str | None = None
     Fold quantiles: each fold's learning rows are all rows of the others; the number of folds is checked."""
     own = [F.percentile(c, q).alias(f"_{c}") for c in columns]
     if fold is None:
-        s = df.agg(*own)
-        x = df.crossJoin(F.broadcast(s))  # one row
+        x = df.crossJoin(F.broadcast(cuts(df, {f"_{c}": (c, q) for c in columns})))  # one row
     else:
         others = F.explode(F.filter(F.array(*[F.lit(v) for v in fold_values(df, fold)]), lambda v: v != F.col(fold)))
         s = df.withColumn("_f", others).groupBy("_f").agg(*own)
@@ -152,8 +151,7 @@ def exclusion_sweep(df: DataFrame, badness: DataFrame, score: str, label: str, k
 
 def codegradation(df: DataFrame, qualities: Sequence[str], anchor: str, q: float = 0.10) -> DataFrame:
     """Per modality: how much likelier it is bad (at most its q-quantile) where the anchor is, as a ratio to q."""
-    cuts = df.agg(*[F.percentile(c, q).alias(f"_{c}") for c in qualities])
-    x = df.crossJoin(F.broadcast(cuts))  # one row
+    x = df.crossJoin(F.broadcast(cuts(df, {f"_{c}": (c, q) for c in qualities})))  # one row
     bad = F.col(anchor) <= F.col(f"_{anchor}")
     share = [F.struct(F.lit(c).alias("modality"), F.avg(F.when(bad, (F.col(c) <= F.col(f"_{c}")).cast("double"))).alias("p")) for c in qualities if c != anchor]
     return x.agg(F.array(*share).alias("a")).select(F.explode("a").alias("r")).select("r.modality", F.col("r.p").alias("p_bad_given_bad"), (F.col("r.p") / q).alias("lift"))
@@ -161,8 +159,8 @@ def codegradation(df: DataFrame, qualities: Sequence[str], anchor: str, q: float
 
 def hard_easy(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     """Per column: medians in the hardest and easiest quarter by ``by`` (high is hard), and how well it separates them (AUC)."""
-    cuts = df.agg(F.percentile(by, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    x = df.crossJoin(F.broadcast(cuts)).withColumn("hard", F.when(F.col(by) >= F.col("_q")[1], 1).when(F.col(by) <= F.col("_q")[0], 0)).where(F.col("hard").isNotNull())
+    q = cuts(df, {"_low": (by, 0.25), "_high": (by, 0.75)})
+    x = df.crossJoin(F.broadcast(q)).withColumn("hard", F.when(F.col(by) >= F.col("_high"), 1).when(F.col(by) <= F.col("_low"), 0)).where(F.col("hard").isNotNull())
     long = x.select("hard", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in columns])).alias("f")).select("hard", "f.*")
     med = long.groupBy("feature").agg(F.percentile(F.when(F.col("hard") == 1, F.col("v")), 0.5).alias("median_hard"), F.percentile(F.when(F.col("hard") == 0, F.col("v")), 0.5).alias("median_easy"))
     return med.join(auc(long, "v", "hard", ["feature"]).select("feature", F.col("auc").alias("separation")), "feature")
@@ -170,9 +168,7 @@ def hard_easy(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
 
 def percentile_pick(df: DataFrame, column: str, ps: Sequence[float], tie: Sequence[str]) -> DataFrame:
     """For each p the row whose value is nearest to the p-quantile; ties by ``tie``."""
-    cuts = df.agg(F.percentile(column, F.array(*[F.lit(p) for p in ps])).alias("_v")).select(F.posexplode("_v").alias("_i", "_c"))
-    cuts = cuts.withColumn("p", F.element_at(F.array(*[F.lit(p) for p in ps]), F.col("_i") + 1))
-    x = df.crossJoin(F.broadcast(cuts))  # len(ps) rows
+    x = df.crossJoin(F.broadcast(quantiles(df, column, ps).select(F.col("q").alias("p"), F.col("value").alias("_c"))))  # len(ps) rows
     best = x.groupBy("p").agg(F.min_by(F.struct(*df.columns), F.struct(F.abs(F.col(column) - F.col("_c")), *tie)).alias("b"))
     return best.select("p", "b.*")
 
