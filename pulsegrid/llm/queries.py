@@ -87,7 +87,7 @@ RX = r"[a-z0-9]+(?:\.[0-9]+)*"
 def license_sql() -> str:
     """The licence scan in SQL: statements, TF-IDF cosine to the templates, nearest ancestor of the three levels of directories."""
     templates = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
-    return f"""
+    return rf"""
         WITH tpl(license, said) AS (VALUES {templates}),
         tt AS (SELECT license, term, count(*) AS times FROM (SELECT license, unnest(regexp_extract_all(lower(said), '{RX}')) AS term FROM tpl) GROUP BY ALL),
         f AS (SELECT doc_id, text, coalesce(source, 'none') || '/' || (doc_id // 256) || '/' || (doc_id // 16) || '/' || doc_id || '.txt' AS path FROM documents),
