@@ -22,5 +22,6 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parent.parent)  # also when started elsewhere
     yield s
     s.stop()
