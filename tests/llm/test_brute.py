@@ -283,6 +283,22 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(files_of(spark, [])).count() == 0
 
 
+def labels_of(spark, lines, copies=0):
+    """The own_license of a file of each line, in a corpus with so many copies of other files."""
+    rows = [(f"f{i}/x", s) for i, s in enumerate(lines)]
+    mix = [v for k, v in licenses.TEMPLATES.items() if k in ("Apache-2.0", "MIT", "GPL-3.0")] + ["Licensed under CC BY-NC 4.0."]
+    rows += [(f"g{i}/y", mix[i % len(mix)]) for i in range(copies)]
+    got = {r["path"]: r["own_license"] for r in licenses.scan_licenses(files_of(spark, rows)).collect()}
+    return [got[f"f{i}/x"] for i in range(len(lines))]
+
+
+@pytest.mark.parametrize("copies", [0, 20_000])
+def test_every_notice_is_found(spark, copies):
+    assert labels_of(spark, [s + "." for _, s in licenses.NOTICES], copies) == [k for k, _ in licenses.NOTICES]
+    said = ["Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0, the Creative Commons Attribution-NonCommercial 4.0 License."]
+    assert labels_of(spark, said, copies) == ["CC-BY-NC-4.0", "CC-BY-4.0", "CC-BY-NC-4.0"]
+
+
 def test_license_scan_equals_brute_force(spark):
     import math
     import re
