@@ -299,6 +299,33 @@ def test_every_notice_is_found(spark, copies):
     assert labels_of(spark, said, copies) == ["CC-BY-NC-4.0", "CC-BY-4.0", "CC-BY-NC-4.0"]
 
 
+GNU = "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU {} as published by\n    the Free Software Foundation, either version {} of the License, or\n    (at your option) any later version.\n\n"
+USUAL = [
+    ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("SPDX-License-Identifier: MIT", "MIT"),
+    ("# SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+    (GNU.format("General Public License", "3"), "GPL-3.0"),
+    (GNU.format("General Public License", "2"), "GPL-2.0"),
+    (GNU.format("Lesser General Public License", "2.1"), "LGPL-2.1"),
+    (GNU.format("Affero General Public License", "3"), "AGPL-3.0"),
+    ("GNU General Public License, version 2", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+    ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+    ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+    ("BSD 2-Clause License\n\nCopyright (c) 2020, A\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:", "BSD-2-Clause"),
+    ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.', "Apache-2.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+    ("Licensed under the Apache License, Version 9.0", None),
+    ("All rights reserved. Copyright 2020 by A.", None),
+]
+
+
+@pytest.mark.parametrize("copies", [0, 20_000])
+def test_usual_headers_have_one_label_at_any_size(spark, copies):
+    assert labels_of(spark, [s for s, _ in USUAL], copies) == [k for _, k in USUAL]
+
+
 def test_license_scan_equals_brute_force(spark):
     import math
     import re
