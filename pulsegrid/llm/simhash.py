@@ -172,6 +172,16 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def rooted(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fp, root, component_id) of each distinct one: its component's smallest fingerprint and doc_id."""
+    fps = written(fingerprints(docs, width), "fingerprints")
+    own = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    root = components(links(own.select("fp"), own.count(), budget))
+    named = own.join(root, own["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps, written(named.join(smallest, "root").select("fp", "root", "component_id"), "by_fp")
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links, itself
     included), text_hash (xxhash64 of the text), for every row of ``docs``.
@@ -180,12 +190,7 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE)
     keeps null as its id and gets the smallest id of its component (null if that has none). Repeated
     rows stay. Other columns of ``docs`` are ignored. An empty table gives an empty table.
     """
-    fps = written(fingerprints(docs, width), "fingerprints")
-    own = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = components(links(own.select("fp"), own.count(), budget))
-    named = own.join(root, own["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = written(named.join(smallest, "root").select("fp", "component_id"), "by_fp")
+    fps, by_fp = rooted(docs, budget, width)
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
 
 
@@ -198,3 +203,17 @@ def first_of_each(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE) -
     gone = near.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     hit = (docs["doc_id"].cast("long") == gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_hash"])
     return docs.join(gone, hit, "left_anti")
+
+
+def one_of_each(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE) -> DataFrame:
+    """One row of each component, all columns: that of the smallest (doc_id, text_hash), nulls last; of several rows with both equal, the
+    smallest by a hash of the row. Repeats are reduced before their shuffle, so a group of any size stays small."""
+    fps, by_fp = rooted(docs, budget, width)
+    rank = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))
+    best = fps.groupBy("fp").agg(F.min(rank).alias("r")).join(by_fp, "fp").groupBy("root").agg(F.min("r").alias("r")).select("r.*")
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    order = F.xxhash64(*[docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    own = docs.select(whole.alias("doc"), order.alias("order"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"].cast("string")).alias("_hash"))
+    own = own.select("doc", "order", F.col("id").isNull().alias("_none"), F.coalesce("id", F.lit(0)).alias("_id"), "_hash")
+    first = own.groupBy("_none", "_id", "_hash").agg(F.min_by("doc", "order").alias("doc"))
+    return first.join(best, ["_none", "_id", "_hash"], "left_semi").select("doc.*")

@@ -507,6 +507,20 @@ def test_simhash_odd_rows(spark, odd):
     assert None in ids and ids.count(3) == 2 and 10 not in ids and 1 not in ids
 
 
+def test_one_row_of_each_component(spark):
+    """Exact repeats of the kept row, rows without an id that copy each other or a named row, two texts of one id."""
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(3, long, "b"), (3, long, "a"), (None, long, "c"), (None, "no id here at all my friend", "x"), (None, "no id here at all my friend", "x"), (7, "quite other words stand in here", "x"), (7, long, "x"), (8, None, "x"), (9, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for parts in (1, 5):
+        got = simhash.one_of_each(docs.repartition(parts)).toPandas()
+        assert list(got.columns) == docs.columns
+        assert sorted((str(i), str(t)) for i, t in zip(got["doc_id"].astype("Int64"), got["text"], strict=True)) == sorted([("3", long), ("<NA>", rows[3][1]), ("7", rows[5][1]), ("8", "None")])
+        source = got[got["doc_id"] == 3]["source"].item()
+        assert parts == 1 or source == before
+        before = source
+
+
 # pipeline
 
 
