@@ -36,7 +36,7 @@ def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit_pack(docs)
+    return packing.best_fit_pack(docs, near=False)
 
 
 STAGES = [("toxicity", keep_civil), ("language", keep_known_language), ("near_duplicates", keep_first_of_near_copies), ("packing", pack)]

@@ -2,7 +2,7 @@
 
 Rows are dealt by a hash into independent groups of a bounded expected size (the number of groups
 follows the input), and each group is packed by best fit decreasing: open bins stand in order of their
-residual space and carry one bitmap of sources and one of duplicate clusters; from the tightest bin
+residual space and carry one bitmap of sources and one of duplicate clusters (equal and near-equal texts); from the tightest bin
 that the piece fits, successors are searched until a bin has neither the piece's source nor its
 cluster. Only sizes and keys travel, never the texts.
 """
@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm import simhash
+
 #: Bytes of a bin, and rows expected in one packing group.
 CAPACITY, PER_GROUP = 8192, 1024
 
@@ -61,11 +63,16 @@ def bits_of(values: pd.Series) -> list[int]:
 
 
 def pack_group(pdf: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
-    """Best fit decreasing over one group; equal sizes go by id, then by cluster and copy."""
-    pdf = pdf.sort_values(["size", "doc_id", "cluster", "source", "copy"], ascending=[False, True, True, True, True], na_position="last", kind="stable").reset_index(drop=True)
+    """Best fit decreasing over one group; equal sizes go by id, then by cluster and copy.
+    A column ``near`` is a second kind of cluster."""
+    by = ["doc_id", "cluster", "source", *pdf.columns.intersection(["near"]), "copy"]
+    pdf = pdf.sort_values(["size", *by], ascending=[False, *[True] * len(by)], na_position="last", kind="stable").reset_index(drop=True)
     bins = Bins(capacity)
     rows = []
     sources, clusters, group = bits_of(pdf["source"]), bits_of(pdf["cluster"]), int(pdf["part"].iloc[0])
+    if "near" in pdf:
+        above = max(clusters).bit_length()
+        clusters = [a | b << above for a, b in zip(clusters, bits_of(pdf["near"]), strict=True)]
     for i, size in enumerate(pdf["size"].tolist()):
         for piece, begin in enumerate(range(0, max(size, 1), capacity)):
             length = min(capacity, size - begin)
@@ -77,23 +84,31 @@ def pack_group(pdf: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": ids, "piece": out["piece"], "begin": out["begin"], "length": out["length"], "bin_group": group, "bin": out["bin"], "offset": out["offset"]})
 
 
-def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, per_group: int = PER_GROUP) -> DataFrame:
+def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, per_group: int = PER_GROUP, near: bool = True) -> DataFrame:
     """doc_id, piece, begin, length, bin_group, bin, offset: where each piece of each document lies.
 
     A document's size is its UTF-8 bytes; null and empty texts have size 0 and still get a place. A text over
     the capacity is cut into pieces of the capacity and a rest (byte positions from ``begin``); all pieces
-    are placed. No bin holds two documents of one source or of one duplicate cluster (texts that
-    are equal after lower-casing and collapsing white space); null sources and empty texts
+    are placed. No bin holds two documents of one source or of one duplicate cluster: texts that
+    are equal after lower-casing and collapsing white space, none being left at the ends, or of one component of near
+    duplicates (without ``near`` only the former: for tables that have one row of each component). Null sources and empty texts
     conflict with nothing. Repeated rows are placed once for each repeat. Ties go by id. A row's
     group depends on its id and its number among equal rows. Other columns are ignored; an
     empty table gives an empty table.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    same = F.when(size > 0, F.xxhash64(F.regexp_replace(F.trim(F.lower("text")), r"\s+", " ")))
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), same.alias("cluster"))
+    same = F.when(size > 0, F.xxhash64(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))))
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), same.alias("cluster"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    by = ["doc_id", "source", "size", "cluster"]
+    if near:
+        fps, by_fp = simhash.rooted(docs)
+        # Hashed, so that pandas tells roots apart where nulls make the column double.
+        linked = fps.groupBy("text_hash").agg(F.min("fp").alias("fp")).join(by_fp, "fp").select("text_hash", F.xxhash64("root").alias("near"))
+        keys = keys.join(linked, "text_hash", "left").withColumn("near", F.when(F.col("size") > 0, F.col("near")))
+        by.append("near")
     groups = max(1, -(-docs.count() // per_group))
-    alike = keys.groupBy("doc_id", "source", "size", "cluster").agg(F.count("*").alias("n"))
-    rows = alike.select("doc_id", "source", "size", "cluster", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    alike = keys.groupBy(*by).agg(F.count("*").alias("n"))
+    rows = alike.select(*by, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "copy", "cluster"), F.lit(groups)).cast("long"))
     schema = "doc_id long, piece int, begin long, length long, bin_group long, bin int, offset long"
     return rows.groupBy("part").applyInPandas(lambda pdf: pack_group(pdf, capacity), schema)

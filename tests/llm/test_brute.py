@@ -87,6 +87,16 @@ def test_packing_takes_the_tightest_compatible_bin():
     assert {(int(r.doc_id), r.piece): (r.bin, r.offset) for r in got.itertuples()} == want
 
 
+def test_packing_parts_near_copies(spark):
+    """Linked near copies, and copies with other white space at their ends, of different sources: each in a bin of its own."""
+    words = [f"w{i}" for i in range(600)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), "\n\tshort one\n", "Short  one", "short one\t"]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i}", len(t)) for i, t in enumerate(texts)], DOC)
+    assert len({r["component_id"] for r in simhash.near_duplicates(docs.where("doc_id < 2")).collect()}) == 1
+    at = {r["doc_id"]: (r["bin_group"], r["bin"]) for r in packing.best_fit_pack(docs).collect()}
+    assert at[0] != at[1] and len({at[2], at[3], at[4]}) == 3
+
+
 def test_packing_odd_rows(spark, odd):
     out = packing.best_fit_pack(odd, 1000).toPandas()
     assert out["doc_id"].isna().sum() == 1 and (out["doc_id"] == 3).sum() == 2 and set(out["doc_id"].dropna()) == set(range(len(ODD)))
