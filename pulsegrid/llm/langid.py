@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import fold, small_batches
@@ -191,15 +191,20 @@ def label_texts(m: LangModel, texts: list[str | None]) -> tuple[list[str], np.nd
 
 
 def fit_languages(docs: DataFrame) -> LangModel:
-    """Learn from text and non-null lang of the rows whose fold isn't 0."""
-    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id") != 0)).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # one row for each language
+    """Learn from text and non-null lang of the rows whose fold isn't 0: of each language about PER_LANG rows by hash and no
+    more than that, repeats of a text under one id counting once."""
+    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id") != 0))
+    own = own.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("hash"), "text", F.col("lang").cast("string").alias("lang"))
+    counts = {r["lang"]: r["count"] for r in own.select("lang", "id", "hash").distinct().groupBy("lang").count().collect()}  # one row for each language
     if not counts:
         return fit([], [])
     per = min(PER_LANG, MOST / len(counts))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per / n)))])
-    spot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text")), F.lit(1 << 20)) / float(1 << 20)
-    got = own.where(spot < F.element_at(share, F.col("lang"))).select("text", "lang").toPandas()
+    spot = F.pmod(F.xxhash64("id", "hash"), F.lit(1 << 20))
+    drawn = own.where(spot / float(1 << 20) < F.element_at(share, F.col("lang")))
+    once = drawn.groupBy("lang", "id", "hash").agg(F.first("text").alias("text"))  # some PER_LANG rows of each language
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(spot, "id", "hash"))
+    got = once.withColumn("rank", first).where(F.col("rank") <= max(1, int(per))).select("text", "lang", "rank").toPandas().sort_values(["lang", "rank"])
     return fit(got["text"].tolist(), got["lang"].tolist())
 
 

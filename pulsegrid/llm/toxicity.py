@@ -241,15 +241,16 @@ def scores(net: Net, texts: list[str | None]) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
-    """text, toxic, lang of the learning rows: from each class the first by hash of the id, within the bounds."""
+    """text, toxic, lang of the learning rows: from each class the first by hash of the id, within the bounds. Of several
+    rows of an id that of the smallest text hash is taken, before anything is collected."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id") != 0))
     own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     by_hash = F.xxhash64("doc_id")
     few = [own.where(c).orderBy(by_hash, "doc_id").limit(k) for c, k in ((F.col("toxic") > 0, MOST_TOXIC), (F.col("toxic") <= 0, MOST_CLEAN))]
     chosen = few[0].unionByName(few[1]).withColumn("toxic", F.col("toxic").cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    got = texts.join(F.broadcast(chosen), "doc_id").toPandas()
-    got = got.drop_duplicates("doc_id")
+    one = F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), "lang"))
+    got = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(one.alias("x")).select("doc_id", "x.text", "x.lang", "toxic").toPandas()
     # By hash again, so that the parts don't depend on the order of arrival.
     return got.assign(key=pd.util.hash_array(got["doc_id"].to_numpy(np.int64))).sort_values(["key", "doc_id"]).reset_index(drop=True)
 

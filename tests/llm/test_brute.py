@@ -531,6 +531,25 @@ def test_one_row_of_each_component(spark):
         before = source
 
 
+# learning samples
+
+
+def test_learning_samples_count_repeats_once(spark, monkeypatch):
+    """One row a few thousand times among others: the samples hold it once, others stay, and the order of rows doesn't matter."""
+    rows = doc_rows([f"text {i} of many words" for i in range(300)])
+    odd = [(7, f"text {j} under one id", "en", "s", 1) for j in range(3)]
+    docs = spark.createDataFrame(rows + odd + [(8, "again and again", "en", "s", 1)] * 4000, DOC)
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    collected = []
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: collected.append(texts))
+    monkeypatch.setattr(langid, "PER_LANG", 100)
+    a, b = (toxicity.sample(d, labels) for d in (docs, docs.orderBy(F.desc("text"))))
+    assert a.equals(b) and not a["doc_id"].duplicated().any()
+    for d in (docs, docs.orderBy(F.desc("text"))):
+        langid.fit_languages(d)
+    assert collected[0] == collected[1] and 60 < len(collected[0]) <= 100 and collected[0].count("again and again") <= 1
+
+
 # pipeline
 
 
