@@ -914,7 +914,7 @@ def compare_gates(spark, d):
 def tune_expert(spark, d):
     from pulsegrid.learn.folds import tune
 
-    return rounded(tune(with_quality(spark, d), ["p_cecg", "q_cecg"], "y", lambda rng: ("LR", {"c": float(10 ** rng.uniform(-3, 2))}), trials=4))
+    return rounded(tune(with_quality(spark, d), ["p_cecg", "q_cecg"], "y", lambda rng: ("LR", {"c": float(10 ** rng.uniform(-3, 2))})))
 
 
 # Kernels behind Arrow functions, on windows of 64 samples
@@ -1072,11 +1072,11 @@ def moe(kind: str, **options) -> Query:
 
 
 for _name, _kind, _options in (
-    ("gating_net", "net", {"epochs": 100}),
-    ("reliability_gate", "reliability", {"epochs": 100}),
+    ("gating_net", "net", {}),
+    ("reliability_gate", "reliability", {}),
     ("error_gate", "ridge", {"map": "decay", "e0": 0.5, "tau": 1.0}),
     ("class_gate", "class_lr", {}),
-    ("errpred_fusion", "errpred", {"hidden": (16,)}),
+    ("errpred_fusion", "errpred", {}),
     ("stacked_meta", "stack_lr", {"discordance": True}),
     ("unsup_pca_gate", "unsup_pca", {"groups": [[0], [1], [2]], "anchors": [0, 1, 2]}),
     ("gmm_gate", "unsup_gmm", {"groups": [[0], [1], [2]], "anchors": [0, 1, 2]}),
@@ -1108,7 +1108,7 @@ def nested_patient_threshold(spark, d):
 @query()
 def bootstrap_ci(spark, d):
     x = folded(spark, d).withColumn("p", (F.col("p_cecg") + F.col("p_ppg") + F.col("p_bcg")) / 3)
-    return rounded(M.bootstrap(x, "p", "y", "patient", draws=200, seed=1))
+    return rounded(M.bootstrap(x, "p", "y", "patient", seed=1))
 
 
 @query()
@@ -1136,7 +1136,7 @@ def correctness_probe(spark, d):
 def tune_gate(spark, d):
     from pulsegrid.learn.reports import tune_gate as report
 
-    return rounded(report(with_quality(spark, d), EX3, QUAL, lambda rng: ("ridge", {"alpha": float(10 ** rng.uniform(-2, 2))}), trials=3))
+    return rounded(report(with_quality(spark, d), EX3, QUAL, lambda rng: ("ridge", {"alpha": float(10 ** rng.uniform(-2, 2))})))
 
 
 @query()

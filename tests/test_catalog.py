@@ -54,3 +54,25 @@ def test_native_queries_run_no_python(spark):
 def test_flagship(spark):
     out = catalog.flagship(spark, SF)
     assert out.count() == 15 and {"cv", "RMSSD", "first_alarm", "p"} <= set(out.columns)
+
+
+def test_learners_are_registered_with_their_defaults(spark, monkeypatch):
+    """No reduced number of draws, epochs, hidden units or trials."""
+    from pulsegrid.learn import folds, reports
+    from pulsegrid.operators import metrics
+
+    told = {}
+
+    def note(name):
+        return lambda *args, **options: told.setdefault(name, (args, options)) and args[0]
+
+    for module, name in ((metrics, "bootstrap"), (folds, "tune"), (reports, "tune_gate"), (folds, "evaluate_moe")):
+        monkeypatch.setattr(module, name, note(name))
+    monkeypatch.setattr(catalog, "rounded", lambda df: df)
+    for name in ("bootstrap_ci", "tune_expert", "tune_gate"):
+        catalog.queries()[name](spark, SF)
+    assert not {"draws", "trials"} & {k for _, options in told.values() for k in options}
+    for name in ("gating_net", "reliability_gate", "errpred_fusion"):
+        told.pop("evaluate_moe", None)
+        catalog.queries()[name](spark, SF)
+        assert told["evaluate_moe"][0][4] == {}
