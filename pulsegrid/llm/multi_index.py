@@ -26,6 +26,8 @@ from pulsegrid.llm.vectors import classes, matrix, ranked, usable
 SAMPLE, CENTROIDS, ROUNDS, TRIALS, WANTED, SEED = 20_000, 64, 8, 200, 0.97, 11
 #: Entries of one task group.
 CHUNK = 4096
+#: Queries of one block: a task meets a block of a centroid's queries and a chunk of its entries.
+QUERIES = 4096
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -189,7 +191,10 @@ def search(spark, table: DataFrame, k: int, wanted: float) -> DataFrame:
             rows = [r for q, v in zip(b["q"], b["v"], strict=True) for r in probe_rows(q, np.asarray(v, np.float64), *told.value)]
             yield pd.DataFrame(rows, columns=["q", "first", "chunk", "v", "cells"])
 
-    left = entries.where("asked").select(F.col("cid").alias("q"), "v").mapInPandas(probe, "q long, first int, chunk int, v array<double>, cells long")
+    asked = entries.where("asked").select(F.col("cid").alias("q"), "v")
+    blocks = max(1, -(-asked.count() // QUERIES))
+    left = asked.mapInPandas(probe, "q long, first int, chunk int, v array<double>, cells long").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
     size = F.element_at(F.array(*[F.lit(int(c)) for c in chunks]), F.col("first") + 1)
-    right = entries.select("cid", "v", "ids", "first", "second", F.pmod(F.xxhash64("cid"), size).cast("int").alias("chunk"))
-    return left.groupBy("first", "chunk").cogroup(right.groupBy("first", "chunk")).applyInPandas(partial(rerank, k=k + 1), "q long, score double, ids array<long>")
+    right = entries.select("cid", "v", "ids", "first", "second", F.pmod(F.xxhash64("cid"), size).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    key = ["first", "chunk", "block"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(partial(rerank, k=k + 1), "q long, score double, ids array<long>")

@@ -531,6 +531,24 @@ def test_one_row_of_each_component(spark):
         before = source
 
 
+def test_multi_index_blocks_of_queries(spark, monkeypatch):
+    """With small blocks no task meets more queries than about a block, and the result is the same."""
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet")
+    read = lambda: sorted(map(tuple, multi_index.nearest(emb, every=5).collect()))
+    want = read()
+    most = spark.sparkContext.accumulator(0)
+    plain, size = multi_index.rerank, 8
+
+    def counted(key, queries, entries, k):
+        if len(queries) > 4 * size:
+            most.add(1)
+        return plain(key, queries, entries, k)
+
+    monkeypatch.setattr(multi_index, "QUERIES", size)
+    monkeypatch.setattr(multi_index, "rerank", counted)
+    assert read() == want and want and most.value == 0
+
+
 # learning samples
 
 
