@@ -1,47 +1,100 @@
-"""Helpers shared by the text operators: shared-folder tables and bounded Arrow batches."""
+"""Helpers shared by the text operators: tables in the shared folder, free column names, the learning folds."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: Learning rows are those whose crc32 of the id, written as text, has a remainder other than 0.
 FOLDS = 5
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where that is unset (single-machine tests) a temporary folder is made and remembered.
+    Only a single-machine session without either gets a temporary folder, made once and remembered; on a cluster that is an error.
     """
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not folder:
-        folder = getattr(spark.sparkContext, "_pulsegrid_folder", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
-        spark.sparkContext._pulsegrid_folder = folder
-    return folder
+    sc = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY) or sc.getCheckpointDir()
+    if folder:
+        return folder
+    if not sc.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
+    if not hasattr(sc, "_pulsegrid_folder"):
+        sc._pulsegrid_folder = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
+    return sc._pulsegrid_folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: later steps have no lineage
-    behind them, so an executor lost afterwards costs no more than one read."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/pulsegrid/{uuid.uuid4().hex}/{name}"
+    behind them, so an executor lost afterwards costs no more than one read.
+
+    ``instead_of``: a former result of ``written`` that nothing reads any longer; its files go. All others go when the session's JVM ends."""
+    spark = df.sparkSession
+    root = f"{shared_folder(spark).rstrip('/')}/pulsegrid/{spark.sparkContext.applicationId}"
+    path = f"{root}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, p = _files(spark, root)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pulsegrid_path = path
+    if instead_of is not None:
+        forget(instead_of)
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of very long texts still fits in a worker.
-    A smaller value that the session already has stays."""
-    if int(spark.conf.get(BATCH_KEY, "10000")) > rows:
-        spark.conf.set(BATCH_KEY, str(rows))
+def forget(table: DataFrame) -> None:
+    """Delete the files of a result of ``written`` that nothing reads any longer."""
+    fs, p = _files(table.sparkSession, table._pulsegrid_path)
+    fs.delete(p, True)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until ``df`` has no such column (case doesn't count)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_results(docs: DataFrame, result: Column, names: Sequence[str]) -> DataFrame:
+    """``docs`` with the fields ``names`` of the struct column ``result``; columns of these names (case doesn't count) are replaced,
+    all others stay, whatever they are called."""
+    at = fresh(docs, "result")
+    new = {n.lower() for n in names}
+    kept = [F.col(quoted(c)) for c in docs.columns if c.lower() not in new]
+    return docs.withColumn(at, result).select(*kept, *[F.col(at)[n].alias(n) for n in names])
+
+
+#: Copies of a row that one task makes at a time.
+COPIES = 1 << 16
+
+
+def copies(alike: DataFrame, times: str, number: str) -> DataFrame:
+    """Each row as often as its column ``times`` says, numbered from 0 by ``number``. A row of many copies is first dealt out in ranges of
+    COPIES to all tasks, so that the commonest row of a table is no single task's work."""
+    n = F.col(times)
+    few = alike.where(n <= COPIES).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    at = fresh(alike, "range")
+    many = alike.where(n > COPIES).withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(COPIES).cast("long")))).repartition(at, *alike.columns)
+    last = F.least(F.col(at) + COPIES, n) - 1
+    many = many.withColumn(number, F.explode(F.sequence(F.col(at), last))).drop(at)
+    return few.unionByName(many)
 
 
 def fold(doc_id: str) -> Column:
@@ -51,3 +104,10 @@ def fold(doc_id: str) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows of an Arrow batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
