@@ -9,15 +9,17 @@ bounded by shards x virtual nodes); a row then needs only its rank within its ar
 
 from __future__ import annotations
 
-import bisect
 from collections import deque
 
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Virtual nodes of a shard, and bits of a cell's number: the ring's resolution for virtual nodes.
-VNODES, CELL_BITS = 128, 20
+from pulsegrid.llm.common import copies, written
+
+#: Virtual nodes of a shard, bits of a cell's number (the ring's resolution for virtual nodes), and of these the last, by which a coarse
+#: cell is larger.
+VNODES, CELL_BITS, COARSE = 128, 20, 9
 
 
 def ring_nodes(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -58,58 +60,46 @@ def place_arcs(counts: list[int], nodes: list[tuple[int, int]], quota: list[int]
     return out
 
 
+def arc_table(nodes: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """(coarse, arc, low, high): the cells low to high belong to an arc; one row for each coarse cell that it touches."""
+    last = [c for c, _ in nodes]
+    edges = [(i, (last[i - 1] if i else -1) + 1, c) for i, c in enumerate(last)] + [(0, last[-1] + 1, (1 << CELL_BITS) - 1)]
+    return [(k, *e) for e in edges if e[1] <= e[2] for k in range(e[1] >> COARSE, (e[2] >> COARSE) + 1)]
+
+
 def bounded_ring(docs: DataFrame, shards: int, vnodes: int = VNODES) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row of ``docs``.
 
     size: UTF-8 bytes of the text plus 1; null text counts as no bytes (size 1, crc32 0). A row lies on the ring at the hash
-    of its doc_id and its text's crc32; ties go by doc_id, crc32 and size, and rows equal in all
+    of its doc_id and its text's crc32; ties go by doc_id (null first), crc32 and size, and rows equal in all
     of these take neighbouring places. Null ids are placed like any other value. Shards hold row counts at most one apart, and
     slots run from 0 without a gap. An empty table gives an empty table.
+
+    The texts are read once: what is kept of them, one row for equal rows with their number, is written to the shared folder. Ranks
+    come from these numbers, and rows are spelt out last, so that the commonest row is no single task's work.
     """
     spark = docs.sparkSession
     nodes = ring_nodes(shards, vnodes)
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = base.withColumn("spot", F.xxhash64("doc_id", "text_crc32")).withColumn("cell", F.shiftrightunsigned("spot", 64 - CELL_BITS).cast("int"))
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"))
-    # The arc of each cell: a step function of at most 2^20 steps, read from the nodes' cells.
-    last = [c for c, _ in nodes]
-    edges = spark.createDataFrame([(i, (last[i - 1] if i else -1) + 1, c) for i, c in enumerate(last)] + [(0, last[-1] + 1, 1 << CELL_BITS)], "arc int, low int, high int")
-    cells = cells.join(F.broadcast(edges), F.col("cell").between(F.col("low"), F.col("high")))
+    alike = base.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    alike = alike.withColumn("spot", F.xxhash64("doc_id", "text_crc32")).withColumn("cell", F.shiftrightunsigned("spot", 64 - CELL_BITS).cast("int"))
+    alike = written(alike, "ring")
+    # The arc of each cell, from the few arcs of its coarse cell.
+    arcs = spark.createDataFrame(arc_table(nodes), "coarse int, arc int, low int, high int")
+    cells = alike.groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = cells.join(F.broadcast(arcs), (F.shiftright("cell", COARSE) == F.col("coarse")) & F.col("cell").between(F.col("low"), F.col("high")))
     # Cells after the last node belong to arc 0, behind whose own cells they come first on the ring.
     before = Window.partitionBy("arc").orderBy(F.col("low").desc(), "cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("cell", "arc", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    cells = written(cells.select("cell", "arc", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip")), "cells")
     found = {r["arc"]: r["n"] for r in cells.groupBy("arc").agg(F.sum("n").alias("n")).collect()}  # at most shards x vnodes
     counts = [found.get(i, 0) for i in range(len(nodes))]
     pieces = place_arcs(counts, nodes, quotas(sum(counts), shards))
     where = spark.createDataFrame(pieces, "arc int, begin long, end long, shard int, first long")
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("spot", "doc_id", "text_crc32", "size")) - 1
-    ranked = placed.withColumn("rank", rank).join(cells.drop("n"), "cell").withColumn("rank", F.col("rank") + F.col("skip"))
-    hit = (ranked["arc"] == where["arc"]) & (ranked["rank"] >= where["begin"]) & (ranked["rank"] < where["end"])
-    return ranked.join(F.broadcast(where), hit).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank") - F.col("begin")).alias("slot"))
-
-
-def sequential_ring(keys: list[tuple[int, object]], shards: int, vnodes: int = VNODES) -> dict[object, tuple[int, int]]:
-    """The same placement, one row at a time, for tests: {item: (shard, slot)} of (unsigned spot, item) in tie order."""
-    nodes = ring_nodes(shards, vnodes)
-    last = [c for c, _ in nodes]
-    left, used, out = quotas(len(keys), shards), [0] * shards, {}
-    waves: list[list[object]] = [[] for _ in nodes]
-    for spot, item in keys:
-        waves[bisect.bisect_left(last, spot >> (64 - CELL_BITS)) % len(nodes)].append((spot, item))
-    last_cell = last[-1]
-    waves[0].sort(key=lambda x: (x[0] >> (64 - CELL_BITS)) <= last_cell)
-    now = [(arc, arc, [i for _, i in w]) for arc, w in enumerate(waves) if w]
-    while now:
-        later = []
-        for arc, at, items in now:
-            shard = nodes[at][1]
-            for i in items[: left[shard]]:
-                out[i] = (shard, used[shard])
-                used[shard] += 1
-            take = min(len(items), left[shard])
-            left[shard] -= take
-            if take < len(items):
-                later.append((arc, (at + 1) % len(nodes), items[take:]))
-        now = later
-    return out
+    inside = Window.partitionBy("cell").orderBy("spot", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = alike.withColumn("rank", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(cells.drop("n"), "cell").withColumn("rank", F.col("rank") + F.col("skip"))
+    # Equal rows have the ranks rank to rank + n - 1, of which a piece of an arc holds a range.
+    hit = (ranked["arc"] == where["arc"]) & (ranked["rank"] < where["end"]) & (ranked["rank"] + ranked["n"] > where["begin"])
+    low, high = F.greatest("rank", "begin"), F.least(F.col("rank") + F.col("n"), F.col("end"))
+    placed = ranked.join(F.broadcast(where), hit).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + low - F.col("begin")).alias("start"), (high - low).alias("times"))
+    return copies(placed, "times", "nth").select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("nth")).alias("slot"))
