@@ -19,13 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import small_batches
+from pulsegrid.llm.common import with_results
 from pulsegrid.llm.textcode import parts
 
 # Fixed value: the pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Encoded words that a worker remembers, and pairs whose test it remembers; both start anew when full.
-MOST_WORDS, MOST_PAIRS = 1_000_000, 1_000_000
+#: Letters of the encoded words that a worker remembers (a word counts PER_WORD more), and pairs whose test it remembers; both
+#: start anew when full.
+MOST_LETTERS, PER_WORD, MOST_PAIRS = 32_000_000, 30, 1_000_000
 NEVER = 1 << 60
 
 
@@ -63,6 +64,7 @@ class Vocabulary:
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.words: dict[str, str] = {}
+        self.letters = 0  # of all words remembered
         self.piece = {str(i): b for i, b in self.text.items()}
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -141,9 +143,12 @@ class Vocabulary:
         parts = [self.split.split(t or "") if self.split and t and any(s in t for s in self.special) else [t or ""] for t in texts]
         pieces = [[[x] if k % 2 else cut(x) for k, x in enumerate(p)] for p in parts]
         new = {w for p in pieces for k, ws in enumerate(p) if not k % 2 for w in ws if w not in words}
-        if len(words) + len(new) > MOST_WORDS:
+        size = sum(map(len, new)) + PER_WORD * len(new)
+        if self.letters + size > MOST_LETTERS:
             words.clear()
             new = {w for p in pieces for k, ws in enumerate(p) if not k % 2 for w in ws}
+            self.letters, size = 0, sum(map(len, new)) + PER_WORD * len(new)
+        self.letters += size
         words.update(self.encode_words(list(new)))
         return [",".join([words[w] if not k % 2 else str(self.special[w]) for k, ws in enumerate(p) for w in ws]) for p in pieces]
 
@@ -168,9 +173,7 @@ def tokenize(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256, decoded_sha256 (of the ids joined by commas, of the decoded text), and with
     ``keep`` ids (array) and decoded (string). Null text encodes as the empty text; repeated rows stay; columns of
     the same names are replaced."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    held = spark.sparkContext.broadcast(read_spec(path))
+    held = docs.sparkSession.sparkContext.broadcast(read_spec(path))
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
 
     @F.pandas_udf(kind)
@@ -184,5 +187,4 @@ def tokenize(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
                     rows.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *(([int(x) for x in ids.split(",")] if ids else [], text) if keep else ())))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
 
-    got = docs.withColumn("_bpe", run(F.col("text").cast("string")))
-    return got.withColumns({c.split()[0]: F.col("_bpe")[c.split()[0]] for c in kind.split(", ")}).drop("_bpe")
+    return with_results(docs, run(F.col("text").cast("string")), [c.split()[0] for c in kind.split(", ")])
