@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import fold, small_batches
+from pulsegrid.llm.common import fold, with_results
 from pulsegrid.llm.textcode import Words, cut, letter_table, parts, word_hash
 
 #: Expected documents of each language in the learning sample, and of the whole sample.
@@ -23,6 +23,8 @@ PER_LANG, MOST = 600, 6000
 #: Texts of the sample spread out as code points at a time.
 PART = 100
 BUCKETS, NGRAMS, SWITCH, CLIP = 1 << 16, (1, 2, 3), 6.0, 8.0
+#: Most words of a run that is labelled word by word.
+BLOCK = 1024
 
 # First and last code point of the letters of common scripts (Unicode blocks).
 SCRIPTS = (
@@ -88,12 +90,9 @@ def gram_rows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, at, (word_hash(w) >> np.uint64(48)).astype(np.int32)
 
 
-def fit(texts: list[str | None], langs: list[str]) -> LangModel:
-    names = sorted(set(langs))
-    label = np.array([names.index(x) for x in langs], np.int64)
-    k = max(1, len(names))
-    count = np.full((BUCKETS, k), 0.5)
-    share = np.zeros((len(SCRIPTS) + 1, k))
+def counts(texts: list[str | None], label: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(BUCKETS, k) n-grams and (scripts, k) words of the texts, whose languages are ``label``; a few texts at a time."""
+    count, share = np.zeros((BUCKETS, k)), np.zeros((len(SCRIPTS) + 1, k))
     done = 0
     for part in parts(texts, PART):
         w = cut(part, letter_table())
@@ -106,10 +105,20 @@ def fit(texts: list[str | None], langs: list[str]) -> LangModel:
             for bucket, of in ((words, own), *((r, place) for r in rows.T)):
                 count += np.bincount(bucket.astype(np.int64) * k + of, minlength=(BUCKETS + 1) * k).reshape(-1, k)[:BUCKETS]
             share += np.bincount(script_of(w.code[w.start]) * k + own, minlength=(len(SCRIPTS) + 1) * k).reshape(-1, k)
-    scripts = share > 0.01 * share.sum(axis=0)
-    table = np.log(count / count.sum(axis=0))
+    return count, share
+
+
+def model(names: list[str], count: np.ndarray, share: np.ndarray) -> LangModel:
+    """Smoothed log probabilities of the counted n-grams, and the scripts that hold over a hundredth of a language's words."""
+    table = np.log((count + 0.5) / (count + 0.5).sum(axis=0))
     table = (table - table.mean(axis=1, keepdims=True)).astype(np.float32)
-    return LangModel(names, np.concatenate([table, np.zeros((1, k), np.float32)]), scripts)
+    return LangModel(names, np.concatenate([table, np.zeros((1, count.shape[1]), np.float32)]), share > 0.01 * share.sum(axis=0))
+
+
+def fit(texts: list[str | None], langs: list[str]) -> LangModel:
+    names = sorted(set(langs))
+    label = np.array([names.index(x) for x in langs], np.int64)
+    return model(names, *counts(texts, label, max(1, len(names))))
 
 
 def word_scores(m: LangModel, w: Words) -> np.ndarray:
@@ -129,43 +138,85 @@ def word_scores(m: LangModel, w: Words) -> np.ndarray:
     return np.maximum(score, -CLIP)
 
 
+def steps(score: np.ndarray, begin: np.ndarray, sizes: np.ndarray, v: np.ndarray, switch: float, came: np.ndarray | None = None) -> np.ndarray:
+    """The best value of each end state of each path: runs of ``sizes`` > 0 words from ``begin``, longest first, with start values ``v``
+    (first word included; a middle axis of ``v`` holds several starts of one run). ``came`` gets the state before, word by word."""
+    final = np.empty_like(v)
+    live, longest = len(sizes), int(sizes[0]) if len(sizes) else 0
+    active = np.searchsorted(-sizes, -np.arange(1, longest + 1), "right")  # runs with more than t words
+    stay = np.arange(score.shape[1], dtype=np.int16)
+    for t in range(1, longest + 1):
+        now = int(active[t]) if t < longest else 0
+        final[now:live] = v[now:]
+        v, live = v[:now], now
+        if not live:
+            break
+        at = begin[:live] + t
+        add = score[at] if v.ndim == 2 else score[at][:, None]
+        jump = v.max(axis=-1, keepdims=True) - switch
+        if came is not None:
+            came[at] = np.where(jump > v, v.argmax(axis=-1)[:, None], stay)
+        v = np.maximum(jump, v) + add
+    return final
+
+
 def viterbi(score: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best language of each word, over all documents at once: step t handles word t of every document that has one.
-    Ties go to staying, then to the smaller language."""
+    """The best language of each word, over all documents at once: step t handles word t of every run that has one.
+
+    Texts are cut into runs of at most BLOCK words. Of a text of several runs the best value from each state before a run to each
+    at its end comes first, as a (max, +) matrix; the runs' matrices are combined one after another, which tells the state before
+    and at the end of each run. Then all runs are labelled side by side, so the steps in Python are bounded by BLOCK and
+    the runs of a text. Ties go to staying, then to the smaller language."""
     n, k = score.shape
     sizes = np.diff(first)
-    order = np.argsort(-sizes, kind="stable")
-    begin, left = first[:-1][order], sizes[order]
     path = np.zeros(n, np.int16)
     if not n:
         return path
-    longest = int(left[0])
-    active = np.searchsorted(-left, -np.arange(1, longest + 1), "right")  # documents with more than t words
+    n_runs = -(-sizes // BLOCK)
+    doc = np.repeat(np.arange(len(sizes)), n_runs)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
+    begin = first[doc] + nth * BLOCK
+    size = np.minimum(BLOCK, first[doc + 1] - begin)
+    start = score[begin].copy()
+    end = np.full(len(doc), -1, np.int64)  # the state at the run's end, where it is known
+    long = np.flatnonzero(n_runs > 1)
+    if len(long):
+        of_long = np.flatnonzero(n_runs[doc] > 1)
+        order = of_long[np.argsort(-size[of_long], kind="stable")]
+        leap = np.where(np.eye(k, dtype=bool), 0, -np.float32(switch))  # from the state before to the run's first word
+        matrix = steps(score, begin[order], size[order], leap[None] + score[begin[order]][:, None], switch)
+        row = np.zeros(len(doc), np.int64)
+        row[order] = np.arange(len(order))
+        at = np.cumsum(n_runs) - n_runs
+        for d in long:
+            runs = range(int(at[d]), int(at[d] + n_runs[d]))
+            v = steps(score, begin[runs[0] : runs[0] + 1], size[runs[0] : runs[0] + 1], start[runs[0] : runs[0] + 1].copy(), switch)[0]
+            back = []
+            for r in runs[1:]:
+                both = v[:, None] + matrix[row[r]]
+                back.append(both.argmax(axis=0))
+                v = both.max(axis=0)
+            state = int(v.argmax())
+            for r, b in zip(reversed(runs[1:]), reversed(back), strict=True):
+                end[r] = state
+                state = int(b[state])
+                start[r] = leap[state] + score[begin[r]]
+            end[runs[0]] = state
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
     came = np.zeros((n, k), np.int16)
-    stay = np.arange(k, dtype=np.int16)
-    v = score[begin[: active[0]]].copy()
-    final = np.zeros(len(order), np.int16)
-    for t in range(1, longest + 1):
-        live = active[t] if t < longest else 0
-        if live < len(v):
-            final[live : len(v)] = v[live:].argmax(axis=1)
-            v = v[:live]
-        if not live:
-            break
-        best = v.argmax(axis=1)
-        jump = v[np.arange(live), best] - switch
-        move = jump[:, None] > v
-        at = begin[:live] + t
-        came[at] = np.where(move, best[:, None], stay)
-        v = np.where(move, jump[:, None], v) + score[at]
+    final = steps(score, begin, size, start[order], switch, came)
+    last = np.where(end[order] >= 0, end[order], final.argmax(axis=1)).astype(np.int16)
+    longest = int(size[0])
+    active = np.searchsorted(-size, -np.arange(1, longest + 1), "right")
     state = np.zeros(len(order), np.int16)
     for t in range(longest - 1, -1, -1):
-        live = active[t]
-        begun = active[t + 1] if t + 1 < longest else 0
-        state[begun:live] = final[begun:live]
+        live, begun = int(active[t]), int(active[t + 1]) if t + 1 < longest else 0
+        state[begun:live] = last[begun:live]
         at = begin[:live] + t
         path[at] = state[:live]
-        state[:live] = came[at, state[:live]] if t else state[:live]
+        if t:
+            state[:live] = came[at, state[:live]]
     return path
 
 
@@ -190,30 +241,48 @@ def label_texts(m: LangModel, texts: list[str | None]) -> tuple[list[str], np.nd
     return [m.langs[b] if h else "und" for b, h in zip(best, has, strict=True)], np.where(has, np.clip(share * sure, 0, 1), 0), np.where(has, cuts + 1, 0).astype(np.int64)
 
 
-def fit_languages(docs: DataFrame) -> LangModel:
-    """Learn from text and non-null lang of the rows whose fold isn't 0: of each language about PER_LANG rows by hash and no
-    more than that, repeats of a text under one id counting once."""
+def sample(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(lang, text) of the learning rows, and the languages: rows with text and lang whose fold isn't 0, of each language about PER_LANG by
+    hash and no more than that, repeats of a text under one id counting once."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id") != 0))
     own = own.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("hash"), "text", F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in own.select("lang", "id", "hash").distinct().groupBy("lang").count().collect()}  # one row for each language
-    if not counts:
-        return fit([], [])
-    per = min(PER_LANG, MOST / len(counts))
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per / n)))])
+    held = {r["lang"]: r["count"] for r in own.select("lang", "id", "hash").distinct().groupBy("lang").count().collect()}  # one row for each language
+    if not held:
+        return own.select("lang", "text"), []
+    per = min(PER_LANG, MOST / len(held))
+    share = F.create_map(*[x for k, n in held.items() for x in (F.lit(k), F.lit(min(1.0, per / n)))])
     spot = F.pmod(F.xxhash64("id", "hash"), F.lit(1 << 20))
     drawn = own.where(spot / float(1 << 20) < F.element_at(share, F.col("lang")))
     once = drawn.groupBy("lang", "id", "hash").agg(F.first("text").alias("text"))  # some PER_LANG rows of each language
     first = F.row_number().over(Window.partitionBy("lang").orderBy(spot, "id", "hash"))
-    got = once.withColumn("rank", first).where(F.col("rank") <= max(1, int(per))).select("text", "lang", "rank").toPandas().sort_values(["lang", "rank"])
-    return fit(got["text"].tolist(), got["lang"].tolist())
+    return once.withColumn("rank", first).where(F.col("rank") <= max(1, int(per))).select("lang", "text"), sorted(held)
+
+
+def fit_languages(docs: DataFrame) -> LangModel:
+    """Learn from the ``sample`` of ``docs``. Texts are counted by the executors; the driver gets at most BUCKETS sums of a language,
+    however long the texts are. A language without a letter in any of its texts is none."""
+    chosen, names = sample(docs)
+    if not names:
+        return fit([], [])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            count, share = counts(b["text"].tolist(), np.array([names.index(x) for x in b["lang"]], np.int64), len(names))
+            both = np.concatenate([count, share])
+            at, lang = np.nonzero(both)
+            yield pd.DataFrame({"at": at, "lang": lang, "n": both[at, lang]})
+
+    got = chosen.mapInPandas(count, "at long, lang long, n double").groupBy("at", "lang").agg(F.sum("n").alias("n")).toPandas()
+    both = np.zeros((BUCKETS + len(SCRIPTS) + 1, len(names)))
+    both[got["at"], got["lang"]] = got["n"]
+    heard = np.flatnonzero(both.any(axis=0))
+    return model([names[i] for i in heard], both[:BUCKETS, heard], both[BUCKETS:, heard]) if len(heard) else fit([], [])
 
 
-def detect_languages(docs: DataFrame, model: LangModel) -> DataFrame:
+def detect_languages(docs: DataFrame, learned: LangModel) -> DataFrame:
     """``docs`` with lang_pred, lang_score (0 to 1) and lang_spans. Null text or one without a letter is ``und`` with
     score 0 and no span. Whole texts are read; rows keep their number and columns, of the same name these are replaced."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    held = spark.sparkContext.broadcast(model)  # bounded by BUCKETS x languages
+    held = docs.sparkSession.sparkContext.broadcast(learned)  # bounded by BUCKETS x languages
 
     @F.pandas_udf("lang_pred string, lang_score double, lang_spans long")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -222,5 +291,4 @@ def detect_languages(docs: DataFrame, model: LangModel) -> DataFrame:
             got = [label_texts(held.value, part) for part in parts(texts, 250)]
             yield pd.DataFrame({"lang_pred": [x for p in got for x in p[0]], "lang_score": np.concatenate([p[1] for p in got] or [np.zeros(0)]), "lang_spans": np.concatenate([p[2] for p in got] or [np.zeros(0, np.int64)])})
 
-    got = docs.withColumn("_lang", label(F.col("text").cast("string")))
-    return got.withColumns({c: F.col("_lang")[c] for c in ("lang_pred", "lang_score", "lang_spans")}).drop("_lang")
+    return with_results(docs, label(F.col("text").cast("string")), ["lang_pred", "lang_score", "lang_spans"])
