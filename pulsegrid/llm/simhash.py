@@ -1,27 +1,29 @@
 """SimHash near-duplicates: 64-bit fingerprints, a binary-trie self-join, and their connected components.
 
-Two fingerprints with at most ``budget`` differing bits agree in one of ``budget + 1`` bit blocks. Each
-fingerprint is therefore rotated ``budget + 1`` times, each time with another block at the top, and
-dealt out by that block; rotations that share their top block meet in a binary trie whose node pairs
-are traversed together. Only distinct fingerprints travel, so a group of exact copies is one row, and
-each trie emits the links of a spanning forest, so a dense group of near copies never emits its pairs.
+Two fingerprints with at most ``budget`` differing bits agree in at least c of ``budget + c`` bit blocks. Each fingerprint is
+therefore arranged once for each choice of c blocks, with these at the top, and dealt out by them; arrangements
+that share their top blocks meet in a binary trie whose node pairs are traversed together. c follows the number of
+fingerprints, so that the groups stay small; the links are the same for every c. Only distinct fingerprints travel, so a group of
+exact copies is one row, and each trie emits the links of a spanning forest, so a dense group of near copies never
+emits its pairs. A group that is large all the same is cut into parts, of which every two meet in a task of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import small_batches, written
+from pulsegrid.llm.common import forget, fresh, quoted, written
 
 BITS, SHINGLE, BUDGET, SEED = 64, 4, 4, 42
-#: Distinct fingerprints expected in one task group, and the most bits that name a group.
-PER_GROUP, GROUP_BITS = 4096, 12
+#: Distinct fingerprints expected in one task group, and from how many on a group is cut into parts.
+PER_GROUP, SPLIT = 4096, 1 << 15
 #: Node pairs of a trie held at once, and leaf pairs that are compared directly.
 FRONTIER, LEAF = 400_000, 16
 
@@ -46,28 +48,56 @@ def fingerprint_of(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_hash, fp): the whole text's fingerprint as a signed long, and its xxhash64."""
-    small_batches(docs.sparkSession)
+def fingerprints(docs: DataFrame, width: int = SHINGLE, more: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, text_hash, fp, and the columns ``more``): the whole text's fingerprint as a signed long, and its xxhash64."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("long")
+    def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            fp = np.array([fingerprint_of(t, width) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": fp})
+            yield pd.Series(np.array([fingerprint_of(t, width) for t in b], np.uint64).view(np.int64))
 
     text = F.col("text").cast("string")
-    ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return ids.mapInPandas(run, "doc_id string, text_hash long, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), fp(text).alias("fp"), *[c.alias(k) for k, c in (more or {}).items()])
 
 
-def blocks(budget: int) -> list[tuple[int, int]]:
-    """(first bit, size) of budget + 1 blocks, counted from the highest bit."""
-    edge = [BITS * i // (budget + 1) for i in range(budget + 2)]
-    return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
+class Blocks:
+    """The bit blocks of a fingerprint, counted from the highest bit, and all choices of ``c`` of them."""
 
+    def __init__(self, budget: int = BUDGET, c: int = 1):
+        self.budget, m = budget, budget + c
+        edge = [BITS * i // m for i in range(m + 1)]
+        self.blocks = [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
+        self.choices = list(combinations(range(m), c))
+        self.least = min(map(self.size, range(len(self.choices))))
 
-def rotated(fp: np.ndarray, by: int) -> np.ndarray:
-    return fp if by == 0 else (fp << np.uint64(by)) | (fp >> np.uint64(BITS - by))
+    def size(self, turn: int) -> int:
+        """Bits of a choice."""
+        return sum(self.blocks[i][1] for i in self.choices[turn])
+
+    def arranged(self, fp: np.ndarray, turn: int) -> np.ndarray:
+        """The same bits in another order: the chosen blocks, then the others."""
+        out = np.zeros(len(fp), np.uint64)
+        for i in [*self.choices[turn], *(i for i in range(len(self.blocks)) if i not in self.choices[turn])]:
+            first, n = self.blocks[i]
+            out = out << np.uint64(n) | (fp >> np.uint64(BITS - first - n)) & np.uint64((1 << n) - 1)
+        return out
+
+    def key(self, fp: Column, turn: int, bits: int) -> Column:
+        """The first ``bits`` of the chosen blocks, as a number."""
+        out = F.lit(0).cast("long")
+        for i in self.choices[turn]:
+            first, n = self.blocks[i]
+            out = F.shiftleft(out, n).bitwiseOR(F.shiftrightunsigned(fp, BITS - first - n).bitwiseAND(F.lit((1 << n) - 1)))
+        return F.shiftright(out, self.size(turn) - bits)
+
+
+def blocks_for(n: int, budget: int = BUDGET, per_group: int = PER_GROUP) -> tuple[Blocks, int]:
+    """The blocks for ``n`` fingerprints and the bits that name a group: the smallest c of 1 to 3 whose groups are expected to be small."""
+    bits = max(0, -(-n // per_group) - 1).bit_length()
+    for c in (1, 2, 3):
+        if (b := Blocks(budget, c)).least >= bits:
+            break
+    return b, min(bits, b.least)
 
 
 def trie_links(values: np.ndarray, top: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -83,6 +113,7 @@ def trie_links(values: np.ndarray, top: int, budget: int) -> Iterator[tuple[np.n
     last = np.append(first[1:], len(values))
     keep = last - first > 1
     z = np.zeros(int(keep.sum()), np.int64)
+    ones: dict[int, np.ndarray] = {}
     stack = [(top, np.stack([first[keep], last[keep], first[keep], last[keep], z]))]
     while stack:
         depth, f = stack.pop()
@@ -108,9 +139,10 @@ def trie_links(values: np.ndarray, top: int, budget: int) -> Iterator[tuple[np.n
         if not f.shape[1]:
             continue
         bit = np.uint64(BITS - 1 - depth)
-        ones = np.concatenate([[0], np.cumsum((values >> bit) & np.uint64(1))]).astype(np.int64)
-        am = f[1] - (ones[f[1]] - ones[f[0]])
-        bm = f[3] - (ones[f[3]] - ones[f[2]])
+        if depth not in ones:  # how many values before each place have this bit
+            ones[depth] = np.concatenate([[0], np.cumsum((values >> bit) & np.uint64(1), dtype=np.int32)])
+        am = f[1] - (ones[depth][f[1]] - ones[depth][f[0]])
+        bm = f[3] - (ones[depth][f[3]] - ones[depth][f[2]])
         same = f[0] == f[2]
         down = [np.stack([f[0], am, f[2], bm, f[4]]), np.stack([am, f[1], bm, f[3], f[4]]), np.stack([f[0], am, bm, f[3], f[4] + 1]), np.stack([am, f[1], f[2], bm, f[4] + 1])[:, ~same]]
         g = np.concatenate(down, axis=1)
@@ -120,66 +152,86 @@ def trie_links(values: np.ndarray, top: int, budget: int) -> Iterator[tuple[np.n
             stack.append((depth + 1, g))
 
 
+def find(root: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The roots of ``x``, to which they then point directly."""
+    r = root[x]
+    while True:
+        up = root[r]
+        if (up == r).all():
+            root[x] = r
+            return r
+        r = up
+
+
 def join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Unite the components of each edge a-b in place: roots are flat and the smallest index of their component, before and after."""
+    """Unite the components of each edge a-b in place, by way of the touched places only; a root is the smallest index of its component."""
     while len(a):
-        ra, rb = root[a], root[b]
+        ra, rb = find(root, a), find(root, b)
         live = ra != rb
         a, b, ra, rb = a[live], b[live], ra[live], rb[live]
         np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-        while (root[root] != root).any():
-            root[:] = root[root]
 
 
-def group_links(pdf: pd.DataFrame, budget: int = BUDGET) -> pd.DataFrame:
-    """The spanning links of one group of rotated fingerprints: each linked value with its component's smallest."""
+def group_links(pdf: pd.DataFrame, choice: Blocks) -> pd.DataFrame:
+    """The spanning links of one group of fingerprints: each linked value with its component's first."""
     turn = int(pdf["turn"].iloc[0])
-    first, size = blocks(budget)[turn]
-    values = np.unique(rotated(pdf["fp"].to_numpy().view(np.uint64), first))
+    fp = np.unique(pdf["fp"].to_numpy().view(np.uint64))
+    values = choice.arranged(fp, turn)
+    order = np.argsort(values)
+    fp, values = fp[order].view(np.int64), values[order]
     root = np.arange(len(values))
-    for a, b in trie_links(values, size, budget):  # links of a dense group are united as they come, never held together
+    for a, b in trie_links(values, choice.size(turn), choice.budget):  # links of a dense group are united as they come, never held together
         join(root, a, b)
-    linked = np.flatnonzero(root != np.arange(len(values)))
-    back = rotated(values, (BITS - first) % BITS).view(np.int64)
-    return pd.DataFrame({"a": back[linked], "b": back[root[linked]]})
+    whole = find(root, np.arange(len(values)))
+    linked = np.flatnonzero(whole != np.arange(len(values)))
+    return pd.DataFrame({"a": fp[linked], "b": fp[whole[linked]]})
 
 
 def links(distinct: DataFrame, n: int, budget: int = BUDGET) -> DataFrame:
-    """(a, b): fingerprints of one component, enough of them to span every component of the link graph."""
-    few = min(size for _, size in blocks(budget))
-    bits = min(GROUP_BITS, few, max(0, int(np.ceil(np.log2(max(1, n / PER_GROUP))))))
-    turns = F.array(*[F.struct(F.lit(t).alias("turn"), (F.shiftrightunsigned(F.shiftleft("fp", a), BITS - bits) if a else F.shiftrightunsigned("fp", BITS - bits)).cast("int").alias("part") if bits else F.lit(0).alias("part")) for t, (a, _) in enumerate(blocks(budget))])
+    """(a, b): fingerprints of one component, enough of them to span every component of the link graph of the ``n`` rows of ``distinct`` (fp).
+
+    A group of more than SPLIT fingerprints is cut by a hash into parts of about that size, and each pair of parts is one task."""
+    choice, bits = blocks_for(n, budget)
+    turns = F.array(*[F.struct(F.lit(t).alias("turn"), choice.key(F.col("fp"), t, bits).alias("part")) for t in range(len(choice.choices))])
     dealt = distinct.select("fp", F.explode(turns).alias("x")).select("fp", "x.turn", "x.part")
-    return dealt.groupBy("turn", "part").applyInPandas(lambda pdf: group_links(pdf, budget), "a long, b long")
+    large = dealt.groupBy("turn", "part").agg(F.count("*").alias("size")).where(F.col("size") > SPLIT)
+    dealt = dealt.join(large, ["turn", "part"], "left")
+    cut = F.coalesce(F.ceil(F.col("size") / SPLIT), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("fp"), cut).cast("int")
+    pair = dealt.select("fp", "turn", "part", own.alias("own"), F.explode(F.sequence(F.lit(0), cut - 1)).alias("other"))
+    pair = pair.select("fp", "turn", "part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return pair.groupBy("turn", "part", "low", "high").applyInPandas(lambda pdf: group_links(pdf, choice), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge table: the smallest node it reaches.
 
     Rounds of min-label over both directions and a pointer jump, each reduced before its shuffle; every
-    round is written to the shared folder. Only linked nodes take part."""
+    round is written to the shared folder in place of the one before. Only linked nodes take part."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    label = written(label, "label")
+    label = written(label.withColumn("moved", F.lit(True)), "label")
     while True:
-        near = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = label.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
-        jump = label.select(F.col("node").alias("new"), F.col("root").alias("far"))
-        moved = written(step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("root"), (F.least("new", F.coalesce("far", "new")) != F.col("root")).alias("moved")), "label")
-        done = moved.where("moved").isEmpty()
-        label = moved.select("node", "root")
-        if done:
-            return label
-
-
-def rooted(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of all rows, and (fp, root, component_id) of each distinct one: its component's smallest fingerprint and doc_id."""
-    fps = written(fingerprints(docs, width), "fingerprints")
+        now = label.select("node", "root")
+        near = both.join(now, both["b"] == now["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        step = now.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
+        jump = now.select(F.col("node").alias("new"), F.col("root").alias("far"))
+        to = F.least("new", F.coalesce("far", "new"))
+        label = written(step.join(jump, "new", "left").select("node", to.alias("root"), (to != F.col("root")).alias("moved")), "label", instead_of=label)
+        if label.where("moved").isEmpty():
+            forget(both)
+            return label.select("node", "root")
+
+
+def rooted(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE, more: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows (with columns ``more``), and (fp, root, component_id) of each distinct one: its component's smallest
+    fingerprint and doc_id. The texts are read once."""
+    fps = written(fingerprints(docs, width, more), "fingerprints")
     own = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     root = components(links(own.select("fp"), own.count(), budget))
     named = own.join(root, own["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps, written(named.join(smallest, "root").select("fp", "root", "component_id"), "by_fp")
+    return fps, written(named.join(smallest, "root").select("fp", "root", "component_id"), "by_fp", instead_of=own)
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE) -> DataFrame:
@@ -194,26 +246,28 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE)
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
 
 
-def first_of_each(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose component has a smaller doc_id.
-
-    Rows without a doc_id can't be named and stay, and so do repeats of a row that stays. Of two texts under one doc_id each is
-    judged by its own component."""
-    near = near_duplicates(docs, budget, width)
-    gone = near.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    hit = (docs["doc_id"].cast("long") == gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_hash"])
-    return docs.join(gone, hit, "left_anti")
-
-
 def one_of_each(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE) -> DataFrame:
     """One row of each component, all columns: that of the smallest (doc_id, text_hash), nulls last; of several rows with both equal, the
-    smallest by a hash of the row. Repeats are reduced before their shuffle, so a group of any size stays small."""
+    smallest by a hash of the row.
+
+    Whole rows don't travel for their duplicates' sake: the keys of rows that go are taken from the fingerprints and written, and
+    Spark broadcasts that table as long as its files are within its own limit. Rows of a repeated key that stays, if there are any, are reduced
+    before their shuffle, so a group of any size stays small."""
+    key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_hash": F.xxhash64(F.col("text").cast("string"))}
+    names = list(key)
     fps, by_fp = rooted(docs, budget, width)
     rank = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))
-    best = fps.groupBy("fp").agg(F.min(rank).alias("r")).join(by_fp, "fp").groupBy("root").agg(F.min("r").alias("r")).select("r.*")
-    whole = F.struct(*[docs[c] for c in docs.columns])
-    order = F.xxhash64(*[docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    own = docs.select(whole.alias("doc"), order.alias("order"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"].cast("string")).alias("_hash"))
-    own = own.select("doc", "order", F.col("id").isNull().alias("_none"), F.coalesce("id", F.lit(0)).alias("_id"), "_hash")
-    first = own.groupBy("_none", "_id", "_hash").agg(F.min_by("doc", "order").alias("doc"))
-    return first.join(best, ["_none", "_id", "_hash"], "left_semi").select("doc.*")
+    held = fps.groupBy(rank.alias("r"), "fp").agg(F.count("*").alias("n")).join(by_fp.select("fp", "root"), "fp")
+    best = held.groupBy("root").agg(F.min(F.struct("r", "n")).alias("b")).select("root", "b.r", "b.n")
+    stays = best.select(F.col("root").alias("of"), F.col("r").alias("best"))
+    gone = held.join(stays, held["root"] == stays["of"]).where(F.col("r") != F.col("best")).select("r.*").distinct()
+    gone = written(gone, "gone")
+    many = written(best.where("n > 1").select("r.*"), "many")
+    row = fresh(docs, "row")
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias(row), *[c.alias(k) for k, c in key.items()])
+    kept = whole.join(gone, names, "left_anti")
+    if many.isEmpty():
+        return kept.select(f"{row}.*")
+    order = F.xxhash64(*[F.col(f"{row}.{quoted(f.name)}") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    first = kept.join(many, names, "left_semi").groupBy(*names).agg(F.min_by(row, order).alias(row))
+    return kept.join(many, names, "left_anti").select(f"{row}.*").union(first.select(f"{row}.*"))
