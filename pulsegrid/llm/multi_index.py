@@ -5,15 +5,16 @@ centroid pairs in order of summed distance with a heap until the cells hold its
 reranked by exact cosine. The budget is a share of all entries, calibrated on the learning sample for a
 wanted recall: clustered vectors need few, vectors without structure many.
 
-Codebooks and budget are fitted on a bounded sample (``SAMPLE`` distinct vectors by hash); every row is indexed.
+Codebooks and budget are fitted on a bounded sample (``SAMPLE`` distinct vectors by hash); every row is indexed. For n
+entries each codebook has about 4 n^(1/4) centroids, a power of two from 16 to 1,024.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import written
 from pulsegrid.llm.vectors import classes, matrix, ranked, usable
 
-SAMPLE, CENTROIDS, ROUNDS, TRIALS, WANTED, SEED = 20_000, 64, 8, 200, 0.97, 11
+SAMPLE, ROUNDS, TRIALS, WANTED, SEED = 20_000, 8, 200, 0.97, 11
+#: Candidates of a query beyond its share, for each row that it needs.
+SPARE = 8
 #: Entries of one task group.
 CHUNK = 4096
 #: Queries of one block: a task meets a block of a centroid's queries and a chunk of its entries.
@@ -85,12 +88,17 @@ def walk(da: np.ndarray, db: np.ndarray, count: np.ndarray, budget: float) -> It
             heapq.heappush(heap, (sa[i] + sb[j + 1], i, j + 1))
 
 
-def fit(v: np.ndarray, k: int, wanted: float = WANTED) -> Codebooks:
-    """Codebooks of the sample, and the smallest share of entries with which its own trial queries reach ``wanted``."""
+def centroids(n: int) -> int:
+    """Of each codebook, for ``n`` entries."""
+    return 1 << min(10, max(4, round(math.log2(4 * max(1, n) ** 0.25))))
+
+
+def fit(v: np.ndarray, k: int, wanted: float = WANTED, n: int | None = None) -> Codebooks:
+    """Codebooks of the sample for ``n`` entries, and the smallest share of entries with which its own trial queries reach ``wanted``."""
     rng = np.random.default_rng(SEED)
     u = unit(v)
-    h = u.shape[1] // 2
-    books = Codebooks(k_means(u[:, :h], CENTROIDS, rng), k_means(u[:, h:], CENTROIDS, rng), 1.0)
+    h, size = u.shape[1] // 2, centroids(n or len(v))
+    books = Codebooks(k_means(u[:, :h], size, rng), k_means(u[:, h:], size, rng), 1.0)
     ca, cb = books.cells(u)
     trial = rng.choice(len(u), min(TRIALS, len(u)), replace=False)
     da, db = books.halves(u[trial])
@@ -106,41 +114,42 @@ def fit(v: np.ndarray, k: int, wanted: float = WANTED) -> Codebooks:
     return books
 
 
-def probe_rows(q: int, v: np.ndarray, books: Codebooks, count: np.ndarray, chunks: np.ndarray) -> Iterator[tuple]:
-    """(q, first centroid, chunk, v, second centroids as bits) of one query class."""
+def probe_rows(q: int, need: int, v: np.ndarray, books: Codebooks, count: np.ndarray, chunks: np.ndarray) -> Iterator[tuple]:
+    """(q, need, first centroid, chunk, v, second centroids as packed bits) of one query class."""
     da, db = books.halves(unit(v[None]))
-    bits: dict[int, int] = {}
-    for a, b in walk(da[0], db[0], count, books.share * count.sum()):
+    of: dict[int, np.ndarray] = {}
+    for a, b in walk(da[0], db[0], count, books.share * count.sum() + SPARE * need):
         if count[a, b]:
-            bits[a] = bits.get(a, 0) | 1 << b
-    for a, m in bits.items():
+            of.setdefault(a, np.zeros(len(books.second), bool))[b] = True
+    for a, m in of.items():
+        cells = np.packbits(m).tobytes()
         for c in range(int(chunks[a])):
-            yield q, a, c, v, m - (1 << 64) if m >> 63 else m
+            yield q, need, a, c, v, cells
 
 
-def rerank(key: tuple, queries: pd.DataFrame, entries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """(q, score, ids): of each query the k entries of its cells with the largest cosine."""
-    best: dict[int, list] = {}
+def rerank(key: tuple, queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+    """(q, score, ids): of each query the entries of its cells with the largest cosine, as many as it needs."""
+    out = []
     if len(queries) and len(entries):
         q, v = matrix(queries["v"]), matrix(entries["v"])
         uq, uv = unit(q), unit(v)
-        mask, second = queries["cells"].to_numpy(np.int64).view(np.uint64), entries["second"].to_numpy()
+        mask = np.unpackbits(np.frombuffer(b"".join(queries["cells"]), np.uint8).reshape(len(q), -1), axis=1)
+        second, need = entries["second"].to_numpy(), queries["need"].to_numpy()
         ids, lists, cid = queries["q"].to_numpy(), entries["ids"].tolist(), entries["cid"].to_numpy()
+        best: dict[int, list] = {}
         for b in np.unique(second):
-            at, ask = np.flatnonzero(second == b), np.flatnonzero((mask >> np.uint64(b)) & np.uint64(1))
+            at, ask = np.flatnonzero(second == b), np.flatnonzero(mask[:, b])
             for i in range(0, len(ask), 256):
                 s = uq[ask[i : i + 256]] @ uv[at].T
-                top = np.argsort(-s, axis=1, kind="stable")[:, : k + 2]
+                top = np.argsort(-s, axis=1, kind="stable")[:, : need.max() + 1]
                 for j, row in enumerate(top):
                     best.setdefault(int(ask[i + j]), []).extend((s[j, x], at[x]) for x in row)
-        out = []
         for j, found in best.items():
             # The pair's own sum, in one fixed order, whatever block it was found in.
-            near = sorted(found, key=lambda x: -x[0])[: k + 4]
-            exact = sorted(((cosine(q[j], v[x]), cid[x], x) for _, x in near), key=lambda y: (-y[0], y[1]))[:k]
+            near = sorted(found, key=lambda x: -x[0])[: need[j] + 3]
+            exact = sorted(((cosine(q[j], v[x]), cid[x], x) for _, x in near), key=lambda y: (-y[0], y[1]))[: need[j]]
             out += [(int(ids[j]), c, lists[x]) for c, _, x in exact]
-        return pd.DataFrame(out, columns=["q", "score", "ids"])
-    return pd.DataFrame({"q": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "ids": pd.Series(dtype="object")})
+    return pd.DataFrame(out, columns=["q", "score", "ids"])
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
@@ -153,8 +162,9 @@ def nearest(emb: DataFrame, k: int = 5, every: int = 50, wanted: float = WANTED)
 
     Queries: rows whose vec_id ``every`` divides; candidates: every other row with as many components. The score is the exact cosine in double
     precision. Null and zero vectors and those with null or non-finite components take no part; vectors of another
-    size than the most frequent one (ties: the larger) have a search of their own. Equal rows count once. If a budget leaves fewer than k
-    candidates, all entries are searched. An empty table gives an empty table.
+    size than the most frequent one (ties: the larger) have a search of their own. A repeated row is a candidate as often as it occurs; an id
+    asks once, with its smallest vector, and leaves out every row of its own id. The budget is a share of all entries and SPARE for each row
+    needed on top, so that a query always finds k if there are as many. An empty table gives an empty table.
     """
     spark = emb.sparkSession
     table, members = classes(usable(emb, nonzero=True), every, k)
@@ -168,7 +178,7 @@ def nearest(emb: DataFrame, k: int = 5, every: int = 50, wanted: float = WANTED)
 
 def search(spark, table: DataFrame, k: int, wanted: float) -> DataFrame:
     few = table.select("cid", "v").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).toPandas()
-    books = fit(matrix(few["v"]), k, wanted)
+    books = fit(matrix(few["v"]), k, wanted, table.count())
     held = spark.sparkContext.broadcast(books)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,24 +187,24 @@ def search(spark, table: DataFrame, k: int, wanted: float) -> DataFrame:
                 x, y = held.value.cells(unit(matrix(b["v"])))
                 yield b.assign(first=x.astype(np.int32), second=y.astype(np.int32))
 
-    entries = written(table.mapInPandas(index, "v array<double>, cid long, ids array<long>, asked boolean, first int, second int"), "index")
+    entries = written(table.mapInPandas(index, "v array<double>, cid long, ids array<long>, asked boolean, need int, first int, second int"), "index")
     count = np.zeros((len(books.first), len(books.second)), np.int64)
-    for r in entries.groupBy("first", "second").count().collect():  # at most CENTROIDS x CENTROIDS
+    for r in entries.groupBy("first", "second").count().collect():  # at most the pairs of centroids
         count[r["first"], r["second"]] = r["count"]
     chunks = np.maximum(1, -(-count.sum(axis=1) // CHUNK))
-    if books.share * count.sum() < 2 * (k + 1):
-        books.share = 1.0
     told = spark.sparkContext.broadcast((books, count, chunks))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [r for q, v in zip(b["q"], b["v"], strict=True) for r in probe_rows(q, np.asarray(v, np.float64), *told.value)]
-            yield pd.DataFrame(rows, columns=["q", "first", "chunk", "v", "cells"])
+            for i in range(0, len(b), 64):  # a query has a row for each centroid and chunk
+                part = b.iloc[i : i + 64]
+                rows = [r for q, n, v in zip(part["q"], part["need"], part["v"], strict=True) for r in probe_rows(q, n, np.asarray(v, np.float64), *told.value)]
+                yield pd.DataFrame(rows, columns=["q", "need", "first", "chunk", "v", "cells"])
 
-    asked = entries.where("asked").select(F.col("cid").alias("q"), "v")
+    asked = entries.where("asked").select(F.col("cid").alias("q"), "need", "v")
     blocks = max(1, -(-asked.count() // QUERIES))
-    left = asked.mapInPandas(probe, "q long, first int, chunk int, v array<double>, cells long").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
+    left = asked.mapInPandas(probe, "q long, need int, first int, chunk int, v array<double>, cells binary").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
     size = F.element_at(F.array(*[F.lit(int(c)) for c in chunks]), F.col("first") + 1)
     right = entries.select("cid", "v", "ids", "first", "second", F.pmod(F.xxhash64("cid"), size).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     key = ["first", "chunk", "block"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(partial(rerank, k=k + 1), "q long, score double, ids array<long>")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(rerank, "q long, score double, ids array<long>")

@@ -8,8 +8,6 @@ or k rows for a query: what lies below its own kth value can't be above the glob
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,34 +27,34 @@ def block_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q @ v.T).astype(np.int64) if bound < EXACT else q.astype(np.int64) @ v.astype(np.int64).T
 
 
-def count_block(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """(q, bin, n): the block's histogram from the top down to its own kth row."""
+def count_block(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """(q, bin, n): the block's histogram from the top down to its own last row that may be needed."""
     out = []
     if len(queries) and len(rows):
         q, v = matrix(queries["v"]), matrix(rows["v"])
         weight = rows["ids"].map(len).to_numpy(np.int64)
-        ids, lo, hi, above = (queries[c].to_numpy() for c in ("q", "lo", "hi", "above"))
+        ids, lo, hi, rest = (queries[c].to_numpy(np.int64) for c in ("q", "lo", "hi", "rest"))
         for i in range(0, len(q), AT_ONCE):
             for j, s in enumerate(block_scores(q[i : i + AT_ONCE], v), i):
                 inside = (s >= lo[j]) & (s < hi[j])
                 n = np.bincount((s[inside] - lo[j]) // width(lo[j], hi[j]), weights=weight[inside], minlength=1).astype(np.int64)
                 full = np.flatnonzero(n)[::-1]
-                upto = np.searchsorted(np.cumsum(n[full]), max(1, k - above[j])) + 1
+                upto = np.searchsorted(np.cumsum(n[full]), max(1, rest[j])) + 1
                 out += [(ids[j], int(b), int(n[b])) for b in full[:upto]]
     return pd.DataFrame(out, columns=["q", "bin", "n"]).astype("int64")
 
 
-def take_block(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """(q, score, ids): the block's entries that reach the kth value, at most k, ties to the smaller first id."""
+def take_block(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """(q, score, ids): the block's entries that reach the last value needed, at most as many, ties to the smaller first id."""
     out = []
     if len(queries) and len(rows):
         rows = rows.sort_values("cid").reset_index(drop=True)
         q, v = matrix(queries["v"]), matrix(rows["v"])
-        ids, lo, lists = queries["q"].to_numpy(), queries["lo"].to_numpy(), rows["ids"].tolist()
+        ids, lo, need, lists = queries["q"].to_numpy(), queries["lo"].to_numpy(), queries["need"].to_numpy(), rows["ids"].tolist()
         for i in range(0, len(q), AT_ONCE):
             for j, s in enumerate(block_scores(q[i : i + AT_ONCE], v), i):
                 hit = np.flatnonzero(s >= lo[j])
-                hit = hit[np.argsort(-s[hit], kind="stable")[:k]]
+                hit = hit[np.argsort(-s[hit], kind="stable")[: need[j]]]
                 out += [(int(ids[j]), int(s[x]), lists[x]) for x in hit]
     return pd.DataFrame(out, columns=["q", "score", "ids"])
 
@@ -70,7 +68,8 @@ def exact_top_k(emb: DataFrame, k: int = 20, every: int = 20, scale: float = 64.
 
     Queries: rows whose vec_id ``every`` divides; candidates: every other row with as many components. Ties go to the smaller vec_id; with fewer
     candidates all are returned. Null vectors and those with null or non-finite components take no part; zero vectors do.
-    Equal rows count once. Sums must fit 64 bits. An empty table gives an empty table.
+    A repeated row is a candidate as often as it occurs; an id asks once, with its smallest vector, and leaves out every row of its own
+    id. Sums must fit 64 bits. An empty table gives an empty table.
     """
     rows = usable(emb, nonzero=False).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
     table, members = classes(rows, every, k)
@@ -78,7 +77,7 @@ def exact_top_k(emb: DataFrame, k: int = 20, every: int = 20, scale: float = 64.
     size = table.agg(F.count("*").alias("n"), F.count_if("asked").alias("q"), F.max(norm).alias("longest")).first()
     chunks, blocks = max(1, -(-size["n"] // BLOCK)), max(1, -(-size["q"] // QUERIES))
     bound = (F.ceil(norm * F.lit(size["longest"] or 0.0)) + 1).cast("long")
-    state = written(table.where("asked").select(F.col("cid").alias("q"), (-bound).alias("lo"), (bound + 1).alias("hi"), F.lit(0).cast("long").alias("above"), F.lit(False).alias("done")), "bounds")
+    state = written(table.where("asked").select(F.col("cid").alias("q"), (-bound).alias("lo"), (bound + 1).alias("hi"), F.col("need").cast("long").alias("rest"), F.lit(False).alias("done")), "bounds")
 
     def spread(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -88,13 +87,15 @@ def exact_top_k(emb: DataFrame, k: int = 20, every: int = 20, scale: float = 64.
         right = table.select("cid", "v", "dim", "ids").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.lit(chunks)).cast("int")).withColumn("block", spread(blocks))
         return left.groupBy("dim", "block", "chunk").cogroup(right.groupBy("dim", "block", "chunk"))
 
-    vectors = table.where("asked").select(F.col("cid").alias("q"), F.col("v").alias("v"), F.col("dim").alias("dim"))
+    # Aliases: both sides of the cogroup come from one table.
+    vectors = table.where("asked").select(F.col("cid").alias("q"), *[F.col(c).alias(c) for c in ("v", "dim", "need")])
     while not state.where("NOT done").isEmpty():  # log_BINS(range) rounds
         live = vectors.join(state.where("NOT done").drop("done"), "q")
-        counts = grid(live).applyInPandas(partial(count_block, k=k + 1), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        counts = grid(live).applyInPandas(count_block, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
         over = F.sum("n").over(Window.partitionBy("q").orderBy(F.col("bin").desc()))
-        reach = counts.withColumn("upto", over).join(state.select("q", "lo", "hi", "above"), "q").where(F.col("above") + F.col("upto") >= k + 1)
-        at = reach.groupBy("q").agg(F.max_by(F.struct("bin", (F.col("above") + F.col("upto") - F.col("n")).alias("above")), "bin").alias("x"))
+        reach = counts.withColumn("upto", over).join(state.select("q", "lo", "hi", "rest"), "q").where(F.col("upto") >= F.col("rest"))
+        # rest: how many rows are still to be found at or above the bin, after those above it
+        at = reach.groupBy("q").agg(F.max_by(F.struct("bin", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest")), "bin").alias("x"))
         step = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo")) / F.lit(BINS))).cast("long")
         low = F.col("lo") + F.col("x.bin") * step
         # Without a kth row everything counts: the lower bound stays and the search is over.
@@ -102,9 +103,9 @@ def exact_top_k(emb: DataFrame, k: int = 20, every: int = 20, scale: float = 64.
             "q",
             F.when(F.col("done") | F.col("x").isNull(), F.col("lo")).otherwise(low).alias("lo"),
             F.when(F.col("done") | F.col("x").isNull(), F.col("hi")).otherwise(F.least(low + step, F.col("hi"))).alias("hi"),
-            F.when(F.col("done") | F.col("x").isNull(), F.col("above")).otherwise(F.col("x.above")).alias("above"),
+            F.when(F.col("done") | F.col("x").isNull(), F.col("rest")).otherwise(F.col("x.rest")).alias("rest"),
             (F.col("done") | F.col("x").isNull() | (step == 1)).alias("done"),
         )
-        state = written(nxt, "bounds")
-    found = grid(vectors.join(state.select("q", "lo"), "q")).applyInPandas(partial(take_block, k=k + 1), "q long, score long, ids array<long>")
+        state = written(nxt, "bounds", instead_of=state)
+    found = grid(vectors.join(state.select("q", "lo"), "q")).applyInPandas(take_block, "q long, score long, ids array<long>")
     return ranked(found, members, k, "long")
