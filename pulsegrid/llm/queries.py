@@ -84,26 +84,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 RX = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 
+def quoted_sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def license_sql() -> str:
     """The licence scan in SQL: statements, TF-IDF cosine to the templates, nearest ancestor of the three levels of directories."""
-    templates = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
+    templates = ", ".join(f"({i}, {quoted_sql(k)}, {quoted_sql(v)})" for i, (k, v) in enumerate(licenses.NOTICES))
+    cue, no, names = (quoted_sql(x) for x in (licenses.CUE, licenses.NOT, licenses.NAMES))
     return rf"""
-        WITH tpl(license, said) AS (VALUES {templates}),
-        tt AS (SELECT license, term, count(*) AS times FROM (SELECT license, unnest(regexp_extract_all(lower(said), '{RX}')) AS term FROM tpl) GROUP BY ALL),
+        WITH tpl(tid, license, said) AS (VALUES {templates}),
+        tt AS (SELECT tid, license, term, count(*) AS times FROM (SELECT tid, license, unnest(regexp_extract_all(lower(said), '{RX}')) AS term FROM tpl) GROUP BY ALL),
+        idf AS (SELECT term, ln((1 + (SELECT count(*) FROM tpl)) / (1e0 + count(*))) + 1 AS idf FROM tt GROUP BY term),
+        wt AS (SELECT tid, license, term, times * idf / sqrt(sum(times * times * idf * idf) OVER (PARTITION BY tid)) AS w FROM tt JOIN idf USING (term)),
+        dated AS (SELECT tid, count(*) FILTER (regexp_matches(term, '^[0-9]')) AS digits FROM tt GROUP BY tid),
         f AS (SELECT doc_id, text, coalesce(source, 'none') || '/' || (doc_id // 256) || '/' || (doc_id // 16) || '/' || doc_id || '.txt' AS path FROM documents),
-        parts AS (SELECT doc_id, path, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS n_words,
-            unnest(string_split_regex(regexp_replace(text, '([.!?;])\s+', '\1' || chr(10), 'g'), '\n+')) AS said FROM f WHERE regexp_matches(text, '{licenses.CUE}')),
-        st AS (SELECT *, row_number() OVER () AS sid FROM parts WHERE regexp_matches(said, '{licenses.CUE}')),
-        tm AS (SELECT sid, doc_id, path, n_words, term, count(*) AS n FROM (SELECT *, unnest(regexp_extract_all(lower(said), '{RX}')) AS term FROM st) GROUP BY ALL),
-        total AS (SELECT (SELECT count(*) FROM st) + {len(licenses.TEMPLATES)} AS total),
-        held AS (SELECT term, count(*) AS k FROM tm GROUP BY term),
-        idf AS (SELECT term, ln((1 + any_value(total)) / (1 + count(*) + coalesce(any_value(k), 0))) + 1 AS idf FROM tt LEFT JOIN held USING (term), total GROUP BY term),
-        wt AS (SELECT license, term, times * idf / sqrt(sum(times * times * idf * idf) OVER (PARTITION BY license)) AS w FROM tt JOIN idf USING (term)),
-        x AS (SELECT tm.*, n * coalesce(idf, ln(1 + total) + 1) AS x FROM tm LEFT JOIN idf USING (term), total),
+        hit AS (SELECT *, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS n_words FROM f WHERE regexp_matches(text, {cue})),
+        parts AS (
+            SELECT doc_id, path, n_words, unnest(string_split_regex(regexp_replace(text, '([.!?;])\s+', '\1' || chr(10), 'g'), '\n+')) AS said FROM hit
+            UNION SELECT doc_id, path, n_words, replace(unnest(string_split(regexp_replace(regexp_replace(regexp_replace(text, '(\bv\.)(\s)', '\1' || chr(1) || '\2', 'g'), '([.!?;])\s+', '\1' || chr(2), 'g'), '\n\s*\n', chr(2), 'g'), chr(2))), chr(1), '') FROM hit),
+        st AS (SELECT *, row_number() OVER () AS sid FROM parts WHERE regexp_matches(said, {cue}) AND NOT regexp_matches(said, {no})),
+        tm AS (SELECT sid, term, count(*) AS n FROM (SELECT sid, unnest(regexp_extract_all(lower(said), '{RX}')) AS term FROM st) GROUP BY ALL),
+        x AS (SELECT tm.*, n * coalesce(idf, ln(1 + (SELECT count(*) FROM tpl)) + 1) AS x FROM tm LEFT JOIN idf USING (term)),
         norms AS (SELECT sid, sqrt(sum(x * x)) AS norm FROM x GROUP BY sid),
-        cs AS (SELECT sid, doc_id, path, n_words, license, sum(x * w) / any_value(norm) AS cosine FROM x JOIN wt USING (term) JOIN norms USING (sid) GROUP BY sid, doc_id, path, n_words, license),
-        best AS (SELECT doc_id, path, n_words, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(cosine, 9) DESC, license) AS r FROM cs) WHERE r = 1 AND cosine >= {licenses.LEAST}),
-        given AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, arg_min(license, path) AS license FROM best WHERE n_words <= {licenses.NOTICE_WORDS} GROUP BY 1),
+        cs AS (SELECT sid, tid, license, sum(x * w) / any_value(norm) AS cosine FROM x JOIN wt USING (term) JOIN norms USING (sid) JOIN dated USING (tid)
+            GROUP BY sid, tid, license HAVING count(*) FILTER (regexp_matches(term, '^[0-9]')) = any_value(digits)),
+        best AS (SELECT doc_id, path, n_words, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(cosine, 9) DESC, license) AS r FROM cs JOIN st USING (sid)) WHERE r = 1 AND cosine >= {licenses.LEAST}),
+        given AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, arg_min(license, path) AS license FROM best WHERE n_words <= {licenses.NOTICE_WORDS} OR regexp_matches(regexp_replace(path, '^.*/', ''), {names}) GROUP BY 1),
         up AS (SELECT doc_id, path, regexp_replace(path, '/[^/]*$', '') AS d3 FROM f), up2 AS (SELECT *, regexp_replace(d3, '/[^/]*$', '') AS d2 FROM up), up3 AS (SELECT *, regexp_replace(d2, '/[^/]*$', '') AS d1 FROM up2)
         SELECT u.doc_id, u.path, b.license AS own_license, round(coalesce(b.cosine, 0), 6) AS cosine, coalesce(b.license, g3.license, g2.license, g1.license) AS license,
             CASE WHEN b.license IS NOT NULL THEN u.path WHEN g3.license IS NOT NULL THEN d3 WHEN g2.license IS NOT NULL THEN d2 WHEN g1.license IS NOT NULL THEN d1 END AS found_in
@@ -133,9 +140,10 @@ ORACLES: dict[str, str] = {
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
             WHERE embedding IS NOT NULL AND len(embedding) > 0
                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        q AS (SELECT vec_id, min(e) AS e FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
         s AS (
             SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+            FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
 }
