@@ -12,6 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A share of power that is no more than the square of rounding.
+ROUNDING = 1e-24
+
 
 def bound(x: Column, f: Callable[[Column], Column]) -> Column:
     """f(x) where f uses x inside a lambda: x is evaluated once for a row, not once for each element."""
@@ -67,10 +70,9 @@ def band_peak(psd: Column, n: int, fs: float, low: float, high: float, closed: b
 
 
 def spread(psd: Column) -> Column:
-    """Shannon entropy of the positive bins over that of an even spread; 0 under two bins."""
-    pos = F.filter(psd, lambda p: p > 0)
-    s = added(pos)
-    h = -F.aggregate(pos, F.lit(0.0), lambda a, p: a + p / s * F.ln(p / s))
+    """Shannon entropy of the positive bins (those above rounding) over that of an even spread; 0 under two bins."""
+    pos = bound(added(psd), lambda t: F.filter(psd, lambda p: p > ROUNDING * t))
+    h = -F.transform(F.array(added(pos)), lambda s: F.aggregate(pos, F.lit(0.0), lambda a, p: a + p / s * F.ln(p / s)))[0]
     return F.when(F.size(pos) < 2, F.lit(0.0)).otherwise(h / F.nullif(F.ln(F.size(pos)), F.lit(0.0)))
 
 
