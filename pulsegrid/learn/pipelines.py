@@ -12,6 +12,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.metrics import quantiles
+
 
 def cleaned(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Infinite and NaN to null."""
@@ -19,8 +21,10 @@ def cleaned(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def statistics(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float]]:
-    """(median, mean, population deviation) of each column with its median filled in; two passes, one row each."""
-    med = df.agg(*[F.percentile(c, 0.5).alias(c) for c in columns]).first()
+    """(median, mean, population deviation) of each column with its median filled in; exact medians of all columns in one pass over their long
+    form, then one row of sums."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
+    med = dict.fromkeys(columns) | {r["c"]: r["value"] for r in quantiles(long, "v", [0.5], ["c"]).collect()}  # one row for each column
     filled = {c: F.coalesce(c, F.lit(med[c] if med[c] is not None else 0.0)) for c in columns}
     row = df.agg(*[F.avg(filled[c]).alias(f"m_{c}") for c in columns], *[F.stddev_pop(filled[c]).alias(f"s_{c}") for c in columns]).first()
     return {c: (med[c] if med[c] is not None else 0.0, row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in columns}

@@ -1,7 +1,7 @@
 """Rank metrics, thresholds, confusion counts, resampling and selective-prediction reports.
 
-Global ranks never sort in one partition: scores fall into monotone bins, the few bin totals are summed up once, and rows
-are ordered inside their bin.
+Global ranks never sort in one partition: values fall into bins between approximate quantiles, so that no bin is much larger than
+another whatever the values are, the few bin totals are summed up once, and rows are ordered inside their bin.
 """
 
 from __future__ import annotations
@@ -18,9 +18,16 @@ def zero_null(x: Column) -> Column:
     return F.nullif(x, F.lit(0.0))
 
 
-def binned(score: Column, bins: int = BINS) -> Column:
-    """A monotone bin number; meant for scores in [0, 1], right for all."""
-    return F.least(F.greatest(F.floor(score * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+def with_bins(df: DataFrame, keys: Sequence[str], order: str, bins: int = BINS) -> DataFrame:
+    """``df`` with _bin: how many of ``bins`` - 1 approximate quantiles of ``order`` (of each key) lie under the row's value. Only the balance of
+    the bins depends on how good these are. A row looks at the coarse ones first."""
+    step = max(2, round(bins**0.5))
+    cut = df.groupBy(*keys).agg(F.percentile_approx(order, [i / bins for i in range(1, bins)], 1000).alias("_cuts"))
+    cut = cut.withColumn("_coarse", F.filter("_cuts", lambda _, i: i % step == step - 1))
+    x = df.join(cut, list(keys)) if keys else df.crossJoin(F.broadcast(cut))  # one row
+    x = x.withColumn("_at", F.size(F.filter("_coarse", lambda c: c < F.col(order))) * step)
+    fine = F.size(F.filter(F.slice("_cuts", F.col("_at") + 1, F.lit(step)), lambda c: c < F.col(order)))
+    return x.withColumn("_bin", F.col("_at") + fine).drop("_cuts", "_coarse", "_at")
 
 
 def running(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], descending: bool = False, bins: int = BINS) -> DataFrame:
@@ -28,7 +35,7 @@ def running(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[st
 
     Bin totals are summed over at most ``bins`` rows of a key; a window then covers one bin of one key."""
     direct = (lambda c: F.col(c).desc()) if descending else F.col
-    x = df.withColumn("_bin", binned(F.col(order), bins))
+    x = with_bins(df, keys, order, bins)
     per = x.groupBy(*keys, "_bin").agg(*[F.sum(c).alias(c) for c in columns])
     before = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     before = before.orderBy(direct("_bin")).rowsBetween(Window.unboundedPreceding, -1)
@@ -99,19 +106,18 @@ def patient_scores(df: DataFrame, score: str, label: str, weight: str | None = N
     return df.groupBy(key).agg(F.max(label).alias("y"), mean.alias("p"))
 
 
-def quantiles(df: DataFrame, column: str, qs: Sequence[float], bins: int = BINS) -> DataFrame:
-    """(q, value): exact linear quantiles of a whole table without one large sort: distinct values get their range of ranks
-    by ``running``; each quantile reads the one or two values at its ranks."""
-    d = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    lo_hi = d.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    x = d.crossJoin(F.broadcast(lo_hi))  # one row
-    x = x.withColumn("u", F.coalesce((F.col("v") - F.col("lo")) / zero_null(F.col("hi") - F.col("lo")), F.lit(0.0)))
-    r = running(x, [], "u", ["n"], bins=bins)
-    at = r.select("v", "n_before", "n", "total", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")).withColumn("at", F.col("q") * (F.col("total") - 1))
+def quantiles(df: DataFrame, column: str, qs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, q, value): exact linear quantiles of a whole table, or of each key, without one large sort: distinct values get their range of
+    ranks by ``running``; each quantile reads the one or two values at its ranks."""
+    d = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    total = d.groupBy(*keys).agg(F.sum("n").alias("total"))
+    r = running(d, keys, "v", ["n"])
+    r = r.join(total, list(keys)) if keys else r.crossJoin(F.broadcast(total))  # one row
+    at = r.select(*keys, "v", "n_before", "n", "total", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")).withColumn("at", F.col("q") * (F.col("total") - 1))
     lo, hi = F.floor("at"), F.ceil("at")
     inside = lambda k: (k >= F.col("n_before")) & (k < F.col("n_before") + F.col("n"))
-    picked = at.groupBy("q").agg(F.max(F.when(inside(lo), F.col("v"))).alias("a"), F.max(F.when(inside(hi), F.col("v"))).alias("b"), F.first(F.col("at") - lo).alias("w"))
-    return picked.select("q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("value"))
+    picked = at.where(inside(lo) | inside(hi)).groupBy(*keys, "q").agg(F.max(F.when(inside(lo), F.col("v"))).alias("a"), F.max(F.when(inside(hi), F.col("v"))).alias("b"), F.first(F.col("at") - lo).alias("w"))
+    return picked.select(*keys, "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("value"))
 
 
 def cuts(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
@@ -124,12 +130,12 @@ def cuts(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
 
 
 def midranks(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """``df`` with rk_<c>: midranks inside the keys; for groups that fit one task."""
-    out = {}
+    """``df`` with rk_<c>: midranks inside the keys. Distinct values are ranked by ``running`` and joined back, so one key may hold the whole table."""
     for c in columns:
-        w = Window.partitionBy(*keys)
-        out[f"rk_{c}"] = F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2.0
-    return df.withColumns(out)
+        d = df.groupBy(*keys, c).agg(F.count("*").alias("_n"))
+        r = running(d, keys, c, ["_n"]).select(*keys, c, (F.col("_n_before") + (F.col("_n") + 1) / 2.0).alias(f"rk_{c}"))
+        df = df.join(r, [*keys, c])
+    return df
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str], least: int = 2) -> DataFrame:
@@ -182,7 +188,7 @@ def bootstrap(df: DataFrame, score: str, label: str, cluster: str | None, draws:
     per = drawn.groupBy("draw", "score").agg(F.sum(F.col("pos") * F.col("_times")).alias("pos"), F.sum(F.col("neg") * F.col("_times")).alias("neg"))
     r = running(per, ["draw"], "score", ["neg"])
     a = r.groupBy("draw").agg((F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)) / zero_null(F.sum("pos").cast("double") * F.sum("neg"))).alias("a"))
-    ci = a.agg(F.percentile("a", alpha / 2).alias("low"), F.percentile("a", 1 - alpha / 2).alias("high"), F.count("a").alias("draws_used"))
+    ci = a.agg(F.percentile("a", alpha / 2).alias("low"), F.percentile("a", 1 - alpha / 2).alias("high"), F.count("a").alias("draws_used"))  # one value a draw
     return auc(df, score, label).select("auc").crossJoin(ci)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import native
+from pulsegrid.operators.metrics import quantiles
 
 
 def micros(ts: str) -> Column:
@@ -65,12 +66,9 @@ def alarm_report(df: DataFrame, label: str, time: str, key: str = "patient") ->
 def alarm_summary(report: DataFrame) -> DataFrame:
     """Detection rate and median latency among positives, false alarms among controls."""
     pos = F.col("y") == 1
-    return report.agg(
-        F.avg(F.when(pos, F.col("flagged").cast("double"))).alias("detection"),
-        F.percentile(F.when(pos, F.col("first_alarm")), 0.5).alias("median_latency"),
-        F.count_if(~pos & F.col("flagged")).alias("false_alarms"),
-        F.count_if(~pos).alias("controls"),
-    )
+    rates = report.agg(F.avg(F.when(pos, F.col("flagged").cast("double"))).alias("detection"), F.count_if(~pos & F.col("flagged")).alias("false_alarms"), F.count_if(~pos).alias("controls"))
+    late = quantiles(report.where(pos), "first_alarm", [0.5]).agg(F.max("value").alias("median_latency"))
+    return rates.crossJoin(F.broadcast(late)).select("detection", "median_latency", "false_alarms", "controls")  # one row each
 
 
 def evenly_spread(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
