@@ -1,6 +1,6 @@
-"""Fold machinery: leave-one-group-out and grouped k-fold, each fold one task; mixtures of experts and their evaluation.
+"""Fold machinery: leave-one-group-out and grouped k-fold; mixtures of experts and their evaluation.
 
-A fold's task reads all rows, as the window tables that experts learn from fit one machine. Statistics that need no model take the
+A task reads all rows, as the window tables that experts learn from fit one machine, and fits the folds dealt to it. Statistics that need no model take the
 closed form of ``operators.tables.loo_means`` instead, and single large fits go through ``learn.pipelines``.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pulsegrid.learn import gates as G
 from pulsegrid.learn.models import Boosted, Isotonic, Logistic, make_classifier, rank_auc
 from pulsegrid.operators.tables import fold_values
+from pulsegrid.sources import cache
 
 
 def group_folds(groups: np.ndarray, y: np.ndarray, k: int = 5, seed: int = 42) -> np.ndarray:
@@ -34,18 +35,26 @@ def group_folds(groups: np.ndarray, y: np.ndarray, k: int = 5, seed: int = 42) -
     return fold_of[inverse]
 
 
+#: Most tasks that folds are dealt to. Each task holds the table once, however many folds it fits.
+WORKERS = 256
+
+
 def by_fold(df: DataFrame, fold: str, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """run(train, test) for each value of ``fold``, as one task each. Every row goes to every fold: meant for tables that fit a task; the
-    number of folds is checked."""
-    x = df.withColumn("_fold", F.explode(F.array(*[F.lit(v) for v in fold_values(df, fold)])))
+    """run(train, test) for each value of ``fold``; rows without a fold learn in all and are tested in none.
+
+    Folds are dealt to as many tasks as run at a time. Every row goes to each task once, not to each fold, so leaving one of a thousand
+    groups out moves no more rows than leaving one of ten out. Meant for tables that fit a task; what comes back doesn't depend on the dealing."""
+    values = fold_values(df, fold)
+    n = max(1, min(len(values), df.sparkSession.sparkContext.defaultParallelism, WORKERS))
+    x = df.withColumn("_worker", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = pdf["_fold"].iloc[0]
-        pdf = pdf.sort_values([c for c in ("patient", "win_idx") if c in pdf]).reset_index(drop=True)
-        test = pdf[fold] == f
-        return run(pdf[~test].drop(columns="_fold"), pdf[test].drop(columns="_fold"))
+        own = values[int(pdf["_worker"].iloc[0]) :: n]
+        pdf = pdf.drop(columns="_worker").sort_values([c for c in ("patient", "win_idx") if c in pdf]).reset_index(drop=True)
+        out = [run(pdf[~test], pdf[test]) for test in (pdf[fold] == f for f in own)]
+        return pd.concat(out, ignore_index=True) if out else run(pdf.iloc[:0], pdf.iloc[:0])
 
-    return x.groupBy("_fold").applyInPandas(task, schema)
+    return x.groupBy("_worker").applyInPandas(task, schema)
 
 
 def fit_predict(spec, columns: Sequence[str], label: str) -> Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]:
@@ -106,6 +115,26 @@ def precompute_folds(df: DataFrame, experts: dict[str, Sequence[str]], label: st
     return by_fold(df.select(*need), fold, lambda a, b: run(a, b)[[c.split()[0] for c in schema.split(", ")]], schema)
 
 
+def cached_folds(df: DataFrame, experts: dict[str, Sequence[str]], label: str, folder: str, spec="LR", fold: str = "patient", inner: int = 5, seed: int = 42, force: bool = False) -> DataFrame:
+    """``precompute_folds`` written under a signature of the table's content and of everything that shapes the scores; made only if it isn't
+    there. What is read back must hold the table's own windows, each tested once: a cache of other data is an error."""
+    need = list(dict.fromkeys(["patient", "win_idx", label, fold, *[c for cs in experts.values() for c in cs]]))
+    content = cache.table_signature(df, need)
+    settings = {"table": content, "experts": {m: list(c) for m, c in experts.items()}, "label": label, "spec": repr(spec), "fold": fold, "inner": inner, "seed": seed}
+    made = cache.load_or_make(df.sparkSession, folder, "folds", settings, lambda: precompute_folds(df, experts, label, spec, fold, inner, seed), force, partition_by="fold")
+    tested = made.where("split = 'test'").select("patient", "win_idx", F.col("y").alias(label))
+    keys = ["patient", "win_idx", label]
+    cache.verify(cache.table_signature(df.where(F.col(fold).isNotNull()).select(*keys), keys), cache.table_signature(tested, keys))
+    return made
+
+
+def run_moe(df: DataFrame, experts: dict[str, Sequence[str]], columns: Sequence[str], label: str, kind: str, folder: str, options: dict | None = None, spec="LR", fold: str = "patient", min_spec: float = 0.8) -> DataFrame:
+    """From the feature table to fused out-of-fold decisions in one call: experts' scores from the fold cache, then the gate on each fold's
+    training scores (see ``evaluate_moe``)."""
+    scores = cached_folds(df, experts, label, folder, spec, fold)
+    return evaluate_moe(df.withColumn("y", F.col(label)), tuple(experts), columns, kind, options, fold, min_spec, cache=scores)
+
+
 # Gates over precomputed scores. Columns: patient, win_idx, y, p_<expert>, e_<expert>, and the gate's own.
 
 
@@ -224,7 +253,7 @@ def evaluate_moe(table: DataFrame, experts: Sequence[str], columns: Sequence[str
     schema = f"patient {kinds['patient']}, win_idx {kinds['win_idx']}, y {kinds['y']}, p double, call boolean, threshold double, " + ", ".join(f"w_{m} double" for m in experts)
     if cache is None:
         return by_fold(table.select(*dict.fromkeys(["patient", "win_idx", "y", fold, *p, *[f"e_{m}" for m in experts], *columns])), fold, run, schema)
-    rest = table.drop(*p, "y")
+    rest = table.select("patient", "win_idx", *dict.fromkeys([*[f"e_{m}" for m in experts], *columns]))
     joined = cache.join(rest, ["patient", "win_idx"], "left")
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:

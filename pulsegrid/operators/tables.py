@@ -74,16 +74,21 @@ def best_channel(long: DataFrame, keys: Sequence[str], error: str) -> DataFrame:
     return long.groupBy(*keys).agg(pick.alias("b"), F.bool_or("valid").alias("valid")).select(*keys, F.col("b.channel").alias("channel"), F.col(f"b.{error}").alias(error), "valid")
 
 
-#: Most folds that rows are copied to. More groups than this are to be gathered into fewer folds first.
-MOST_FOLDS = 1000
+def fold_values(df: DataFrame, fold: str) -> list:
+    """The distinct folds, in order: one value for each group that is left out."""
+    return sorted(r[0] for r in df.select(fold).where(F.col(fold).isNotNull()).distinct().collect())
 
 
-def fold_values(df: DataFrame, fold: str) -> list:
-    """The distinct folds, whose number is checked."""
-    got = sorted(r[0] for r in df.select(fold).where(F.col(fold).isNotNull()).distinct().limit(MOST_FOLDS + 1).collect())
-    if len(got) > MOST_FOLDS:
-        raise ValueError(f"more than {MOST_FOLDS} folds: gather the groups of {fold!r} into fewer folds")
-    return got
+def validity_coverage(df: DataFrame, modalities: Sequence[str] = EXPERTS, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, modality, coverage, n): the share of windows in which a modality is valid; a missing flag counts as invalid."""
+    flags = F.explode(F.array(*[F.struct(F.lit(m).alias("modality"), F.coalesce(F.col(f"rel_{m}_valid"), F.lit(False)).alias("ok")) for m in modalities]))
+    return df.select(*keys, flags.alias("x")).groupBy(*keys, "x.modality").agg(F.avg(F.col("x.ok").cast("double")).alias("coverage"), F.count("*").alias("n"))
+
+
+def with_valid_target(df: DataFrame, modality: str, target: str) -> DataFrame:
+    """Windows in which the modality is valid and its target error finite."""
+    e = F.col(target)
+    return df.where(F.coalesce(F.col(f"rel_{modality}_valid"), F.lit(False)) & e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
 
 
 def with_sentinel(df: DataFrame, columns: Sequence[str], fold: str | None = None, q: float = 0.95) -> DataFrame:
@@ -162,7 +167,8 @@ def hard_easy(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     q = cuts(df, {"_low": (by, 0.25), "_high": (by, 0.75)})
     x = df.crossJoin(F.broadcast(q)).withColumn("hard", F.when(F.col(by) >= F.col("_high"), 1).when(F.col(by) <= F.col("_low"), 0)).where(F.col("hard").isNotNull())
     long = x.select("hard", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in columns])).alias("f")).select("hard", "f.*")
-    med = long.groupBy("feature").agg(F.percentile(F.when(F.col("hard") == 1, F.col("v")), 0.5).alias("median_hard"), F.percentile(F.when(F.col("hard") == 0, F.col("v")), 0.5).alias("median_easy"))
+    med = quantiles(long, "v", [0.5], ["feature", "hard"])
+    med = med.groupBy("feature").agg(F.max(F.when(F.col("hard") == 1, F.col("value"))).alias("median_hard"), F.max(F.when(F.col("hard") == 0, F.col("value"))).alias("median_easy"))
     return med.join(auc(long, "v", "hard", ["feature"]).select("feature", F.col("auc").alias("separation")), "feature")
 
 
