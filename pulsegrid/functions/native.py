@@ -143,6 +143,24 @@ def kurtosis_quality(k: Column, clean: float = 3.0) -> Column:
     return F.coalesce(F.least(F.greatest(1 - F.greatest(k - clean, F.lit(0.0)) / 10, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
 
 
+def rate_agrees(rate: Column, reference: Column, tol: float = 10.0) -> Column:
+    """Do two rates lie within ``tol``? Null where either is missing or not finite."""
+    off = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    return F.when(~off(rate) & ~off(reference), F.abs(rate - reference) <= tol)
+
+
+def best_of(columns: Sequence[str]) -> Column:
+    """The largest value among a modality's channels; missing ones are left out."""
+    c = [F.col(x) for x in columns]
+    return F.greatest(*c) if len(c) > 1 else c[0]
+
+
+def mean_of_present(columns: Sequence[str]) -> Column:
+    """The mean over a modality's channels that have a value; null without any."""
+    n = total([F.col(x).isNotNull().cast("int") for x in columns])
+    return total([F.coalesce(F.col(x), F.lit(0.0)) for x in columns]) / F.nullif(n.cast("double"), F.lit(0.0))
+
+
 def smooth_l1(a: Column, b: Column) -> Column:
     d = F.abs(a - b)
     return F.when(d < 1, 0.5 * d * d).otherwise(d - 0.5)

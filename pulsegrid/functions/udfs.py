@@ -158,6 +158,20 @@ def af_features() -> Callable[[Column], Column]:
     return struct_function(lambda rr: R.af_block(rr), R.AF_KEYS)
 
 
+def rr_errors() -> Callable[[Column, Column], Column]:
+    """Of two arrays of RR in ms: valid, hr_err, cosen_err, drr_sd_err."""
+    kinds = ("hr_err", "cosen_err", "drr_sd_err")
+
+    @F.pandas_udf("valid boolean, " + ", ".join(f"{k} double" for k in kinds))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        with np.errstate(all="ignore"):
+            for a, b in batches:
+                rows = [R.error_metrics(as_array(x), as_array(y)) for x, y in zip(a, b, strict=True)]
+                yield pd.DataFrame({"valid": [r["valid"] for r in rows]} | {k: pd.Series([float(r[k]) if np.isfinite(r[k]) else None for r in rows], dtype=object) for k in kinds})
+
+    return run
+
+
 def reference_quality(fs: float) -> Callable[[Column], Column]:
     keys = ("gt_conf", "gt_n_strong", "gt_nbeat_range", "gt_hr_median", "gt_fallback_agree")
     return struct_function(lambda x: R.reference_confidence(x, fs), keys)

@@ -42,10 +42,15 @@ def hrv(rr: DataFrame, key: str, least: int = 4) -> DataFrame:
 
 
 def rhythm(rr: DataFrame, key: str, least: int = 5) -> DataFrame:
-    """Rhythm measures in seconds: n_rr, mean_hr, rmssd, cv, pnn, and the rule's label (1, 0)."""
+    """Rhythm measures in seconds: n_rr, mean_hr, rmssd, cv, pnn, shannon (entropy of the jumps in 16 bins of [-0.4, 0.4] over that of an
+    even spread; 0 without a jump there), and the rule's label (1, 0)."""
     x = differences(rr.withColumn("rr", F.col("rr") / 1000), key)
+    jump = F.least(F.greatest(F.floor((F.col("d") + 0.4) / 0.05), F.lit(0)), F.lit(15))
+    bins = x.where(F.abs("d") <= 0.4).groupBy(key, jump.alias("b")).agg(F.count("*").alias("n"))
+    bins = bins.groupBy(key).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.ln("n")).alias("s")).select(key, ((F.ln("t") - F.col("s") / F.col("t")) / F.ln(F.lit(16.0))).alias("shannon"))
     a = x.groupBy(key).agg(F.count("*").alias("n_rr"), (60 / F.avg("rr")).alias("mean_hr"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmssd"), (F.stddev_pop("rr") / nonzero(F.avg("rr"))).alias("cv"), F.avg((F.abs("d") > 0.05).cast("double")).alias("pnn"))
-    return a.where((F.col("n_rr") >= least) & F.col("mean_hr").between(30, 220)).withColumn("label", af_rule(F.col("cv"), F.col("pnn")))
+    a = a.where((F.col("n_rr") >= least) & F.col("mean_hr").between(30, 220)).join(bins, key, "left").withColumn("shannon", F.coalesce("shannon", F.lit(0.0)))
+    return a.withColumn("label", af_rule(F.col("cv"), F.col("pnn")))
 
 
 def af_rule(cv: Column, pnn: Column, cv_limit: float = 0.10, pnn_limit: float = 0.30) -> Column:
