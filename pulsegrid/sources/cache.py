@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +44,27 @@ def verify(expected: str, actual: str) -> None:
         raise ValueError(f"the cache belongs to other data: {expected} is not {actual}")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, gone when the session's JVM ends: inside ``spark.checkpoint.dir`` or the context's checkpoint
+    folder; only a single machine without either takes its own temporary folder."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
+    path = f"{root.rstrip('/')}/pulsegrid/{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def leaf(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
 def newest(spark: SparkSession, pattern: str) -> str:
     """The path last modified among those that match; ties to the greater path."""
     r = spark.read.format("binaryFile").load(pattern).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("p")).first()

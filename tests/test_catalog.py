@@ -72,7 +72,7 @@ def test_learners_are_registered_with_their_defaults(spark, monkeypatch):
     for name in ("bootstrap_ci", "tune_expert", "tune_gate"):
         catalog.queries()[name](spark, SF)
     assert not {"draws", "trials"} & {k for _, options in told.values() for k in options}
-    for name in ("gating_net", "reliability_gate", "errpred_fusion"):
+    for name in ("gating_net_5_folds", "reliability_gate_5_folds", "errpred_fusion_5_folds"):
         told.pop("evaluate_moe", None)
         catalog.queries()[name](spark, SF)
         assert told["evaluate_moe"][0][4] == {}
