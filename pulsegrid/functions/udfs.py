@@ -60,13 +60,13 @@ def array_function(kernel: Callable[[np.ndarray], np.ndarray], kind: str = "arra
     return run
 
 
-def peaks(name: str, fs: float) -> Callable[[Column], Column]:
-    """Positions by a named detector; an unknown name is refused here, on the driver."""
+def peaks(name: str | Callable, fs: float) -> Callable[[Column], Column]:
+    """Positions by a detector, named or a caller's own; an unknown name is refused here, on the driver."""
     find = detector(name)
 
     def safe(x: np.ndarray) -> np.ndarray:
         try:
-            return find(x, fs).astype(np.int32)
+            return np.asarray(find(x, fs)).astype(np.int32)
         except (ValueError, IndexError):
             return np.zeros(0, np.int32)
 
@@ -130,9 +130,9 @@ def drift_corrected(initial: int, final: int) -> Callable[[Column], Column]:
     return array_function(lambda x: dsp.correct_drift(x, initial, final))
 
 
-def rr_of(source: str, fs: float) -> Callable[[Column], Column]:
-    """RR series in ms by source name; null where the detector finds too little."""
-    if source not in R.RR_SOURCES:
+def rr_of(source: str | Callable, fs: float) -> Callable[[Column], Column]:
+    """RR series in ms by source name or detector; null where the detector finds too little."""
+    if callable(source) or source not in R.RR_SOURCES:
         detector(source)
     return array_function(lambda x: R.rr_series(x, fs, source))
 

@@ -114,3 +114,23 @@ def test_valid_targets_and_coverage(spark):
     assert [r["e"] for r in T.with_valid_target(df, "ppg", "e").orderBy("e").collect()] == [0.5, 1.0]
     got = {r["patient"]: (r["coverage"], r["n"]) for r in T.validity_coverage(df, ["ppg"], ["patient"]).collect()}
     assert got == {1: (1 / 3, 3), 2: (1.0, 4)}
+
+
+def every_second(x, fs):
+    return np.arange(0, len(x), 2 * int(fs))
+
+
+def test_own_detector(spark):
+    """A caller's function stands wherever a detector's name does."""
+    from pulsegrid.functions import udfs
+    from pulsegrid.functions.rr import rr_series
+    from pulsegrid.operators import extract as E
+
+    x = [float(v) for v in RNG.normal(size=1280)]
+    got = spark.createDataFrame([(x,)], "x array<double>").select(udfs.peaks(every_second, 128)("x").alias("p"), udfs.rr_of(lambda v, fs: np.arange(0, len(v), int(fs)), 128)("x").alias("rr")).first()
+    assert got["p"] == [0, 256, 512, 768, 1024] and got["rr"] == [1000.0] * 9
+    assert rr_series(np.array(x), 128, lambda v, fs: [][1]) is None
+    cfg = E.ExtractConfig(sources={"cecg": every_second, "ppg1": "prominence"})
+    assert E.told(cfg)["sources"] == {"cecg": f"{__name__}.every_second", "ppg1": "prominence"}
+    with pytest.raises(ValueError, match="unknown source"):
+        E.ExtractConfig(sources={"cecg": "nope"}).checked()
