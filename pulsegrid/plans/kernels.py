@@ -22,14 +22,14 @@ def top_sql(name: str, source: str) -> str:
     return f"{name} AS (SELECT vec_id, n, v FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, n DESC) AS r FROM {source}) WHERE r = 1)"
 
 
-def peaks_sql(name: str, source: str, gap: int, factor: float | None = None, height: float | None = None, rounds: int = 4) -> str:
-    """Peaks of ``source`` (vec_id, n, v): local maxima, at least the window's ``height`` quantile, the highest first, others ``gap``
+def peaks_sql(name: str, source: str, gap: int, factor: float | None = None, height: str | None = None, rounds: int = 4) -> str:
+    """Peaks of ``source`` (vec_id, n, v): local maxima, at least ``height`` (an aggregate over the window), the highest first, others ``gap``
     apart, then a prominence of ``factor`` deviations. A window holds at most ``rounds``."""
     p = f"{name}_"
     least = f"WHERE v >= (SELECT q FROM {p}q WHERE {p}q.vec_id = {p}w.vec_id)" if height is not None else "WHERE true"
     out = [f"{p}w AS (SELECT vec_id, n, v, lag(v) OVER o AS a, lead(v) OVER o AS b FROM {source} WINDOW o AS (PARTITION BY vec_id ORDER BY n))"]
     if height is not None:
-        out.append(f"{p}q AS (SELECT vec_id, quantile_cont(v, {height}) AS q FROM {source} GROUP BY vec_id)")
+        out.append(f"{p}q AS (SELECT vec_id, {height} AS q FROM {source} GROUP BY vec_id)")
     out.append(f"{p}c1 AS (SELECT vec_id, n, v FROM {p}w {least} AND v > a AND v > b)")
     for i in range(1, rounds + 1):
         out.append(top_sql(f"{p}k{i}", f"{p}c{i}"))
@@ -43,9 +43,10 @@ def peaks_sql(name: str, source: str, gap: int, factor: float | None = None, hei
     return ", ".join(out)
 
 
-def mean6_sql(name: str, source: str) -> str:
-    """The centred mean of 6 with reflection: 3 samples before, 2 behind."""
-    return f"{name} AS (SELECT a.vec_id, a.n, avg(b.v) AS v FROM {source} a, (SELECT unnest(range(-3, 3)) AS j) JOIN {source} b ON b.vec_id = a.vec_id AND b.n = CASE WHEN a.n + j < 0 THEN -a.n - j - 1 WHEN a.n + j > 63 THEN 127 - a.n - j ELSE a.n + j END GROUP BY ALL)"
+def mean_sql(name: str, source: str, size: int) -> str:
+    """The centred mean of ``size`` samples with reflection, an even size taking one more before."""
+    left, right = size // 2, size - size // 2 - 1
+    return f"{name} AS (SELECT a.vec_id, a.n, avg(b.v) AS v FROM {source} a, (SELECT unnest(range({-left}, {right + 1})) AS j) JOIN {source} b ON b.vec_id = a.vec_id AND b.n = CASE WHEN a.n + j < 0 THEN -a.n - j - 1 WHEN a.n + j > 63 THEN 127 - a.n - j ELSE a.n + j END GROUP BY a.vec_id, a.n)"
 
 
 def template_sql(name: str, peaks: str, half: str, source: str = "s") -> str:
@@ -91,12 +92,12 @@ def peaks_amplitude(spark, d):
     return found(spark, d, "amplitude")
 
 
-@query(f"WITH {LONG_SQL}, {mean6_sql('mm', 's')}, {peaks_sql('pk', 'mm', 25, 0.3)}" + FOUND.format(at="n"))
+@query(f"WITH {LONG_SQL}, {mean_sql('mm', 's', 6)}, {peaks_sql('pk', 'mm', 25, 0.3)}" + FOUND.format(at="n"))
 def peaks_smoothed(spark, d):
     return found(spark, d, "smoothed")
 
 
-@query(f"WITH {LONG_SQL}, {DIFF2}, {mean6_sql('mm', 'd2')}, {peaks_sql('pk', 'mm', 25, 0.3)}" + FOUND.format(at="n"))
+@query(f"WITH {LONG_SQL}, {DIFF2}, {mean_sql('mm', 'd2', 6)}, {peaks_sql('pk', 'mm', 25, 0.3)}" + FOUND.format(at="n"))
 def peaks_energy(spark, d):
     return found(spark, d, "energy")
 
@@ -118,17 +119,94 @@ def peaks_bcg_wavelet(spark, d):
 
 
 @query(f"""WITH {LONG_SQL}, {energy_sql(np.geomspace(2, 64, 80)[(19.2 / np.geomspace(2, 64, 80) >= 1.5) & (19.2 / np.geomspace(2, 64, 80) <= 12)], GAUS2, 5)},
-    {peaks_sql('hi', 'e', 25, height=0.7)}, {peaks_sql('lo', 'e', 25, height=0.5)}, nh AS (SELECT vec_id FROM hi GROUP BY vec_id HAVING count(*) >= 4),
+    {peaks_sql('hi', 'e', 25, height='quantile_cont(v, 0.7)')}, {peaks_sql('lo', 'e', 25, height='quantile_cont(v, 0.5)')}, nh AS (SELECT vec_id FROM hi GROUP BY vec_id HAVING count(*) >= 4),
     pk AS (SELECT * FROM hi WHERE vec_id IN (SELECT vec_id FROM nh) UNION ALL SELECT * FROM lo WHERE vec_id NOT IN (SELECT vec_id FROM nh))""" + FOUND.format(at="n"))
 def peaks_bcg_band(spark, d):
     return found(spark, d, "bcg_band")
 
 
-@query(f"WITH {LONG_SQL}, {energy_sql(np.geomspace(2, 60, 100)[(52 / np.geomspace(2, 60, 100) >= 5) & (52 / np.geomspace(2, 60, 100) <= 15)], MORLET, 4)}, {peaks_sql('pk', 'e', 25, height=0.8)}" + FOUND.format(at="n"))
+@query(f"WITH {LONG_SQL}, {energy_sql(np.geomspace(2, 60, 100)[(52 / np.geomspace(2, 60, 100) >= 5) & (52 / np.geomspace(2, 60, 100) <= 15)], MORLET, 4)}, {peaks_sql('pk', 'e', 25, height='quantile_cont(v, 0.8)')}" + FOUND.format(at="n"))
 def peaks_cecg_band(spark, d):
     return found(spark, d, "cecg_band")
 
 
+def filter_sql(order: int, low: float, high: float, source: str = "s") -> str:
+    """y (vec_id, n, v): the windows of ``source``, extended oddly at both ends, through each section forward and then backward by recursion, from
+    the state that a long input of the first sample leaves behind. The coefficients are the library's."""
+    from pulsegrid.functions.dsp import butter_sections
+
+    sections = butter_sections(order, low, high, 64.0)
+    pad = 3 * (2 * len(sections) + 1)
+    last = 63 + 2 * pad
+    out = [f"""x0 AS MATERIALIZED (SELECT a.vec_id, t, CASE WHEN t < {pad} THEN 2 * f.v - a.v WHEN t > {pad + 63} THEN 2 * l.v - a.v ELSE a.v END AS v FROM (SELECT unnest(range({last + 1})) AS t) JOIN {source} a ON a.n = CASE WHEN t < {pad} THEN {pad} - t WHEN t > {pad + 63} THEN 126 - (t - {pad}) ELSE t - {pad} END
+        JOIN {source} f ON f.vec_id = a.vec_id AND f.n = 0 JOIN {source} l ON l.vec_id = a.vec_id AND l.n = 63)"""]
+    now = "x0"
+    for way in ("f", "b"):
+        if way == "b":
+            out.append(f"xb AS MATERIALIZED (SELECT vec_id, {last} - t AS t, v FROM {now})")
+            now = "xb"
+        begin, gain = now, 1.0
+        for j, (b0, b1, b2, _, a1, a2) in enumerate(sections.tolist()):
+            name, dc = f"{way}{j}", (b0 + b1 + b2) / (1 + a1 + a2)
+            z0, z1 = b1 - a1 * dc + b2 - a2 * dc, b2 - a2 * dc
+            b0, b1, b2, a1, a2, z0, z1 = (f"({x!r}e0)" if "e" not in repr(x) else f"({x!r})" for x in (b0, b1, b2, a1, a2, z0 * gain, z1 * gain))
+            out.append(f"""{name}_r AS (SELECT x.vec_id, 0 AS t, {b0} * x.v + {z0} * g.v AS o, {b1} * x.v - {a1} * ({b0} * x.v + {z0} * g.v) + {z1} * g.v AS z0, {b2} * x.v - {a2} * ({b0} * x.v + {z0} * g.v) AS z1 FROM {now} x JOIN {begin} g ON g.vec_id = x.vec_id AND g.t = 0 WHERE x.t = 0
+                UNION ALL SELECT r.vec_id, x.t, {b0} * x.v + r.z0, {b1} * x.v - {a1} * ({b0} * x.v + r.z0) + r.z1, {b2} * x.v - {a2} * ({b0} * x.v + r.z0) FROM {name}_r r JOIN {now} x ON x.vec_id = r.vec_id AND x.t = r.t + 1),
+                {name} AS MATERIALIZED (SELECT vec_id, t, o AS v FROM {name}_r)""")
+            now, gain = name, gain * dc
+    out.append(f"y AS (SELECT vec_id, {last} - t - {pad} AS n, v FROM {now} WHERE {last} - t BETWEEN {pad} AND {pad + 63})")
+    return ", ".join(out)
+
+
+@query(f"WITH RECURSIVE {LONG_SQL}, {filter_sql(2, 5, 15)}, e AS (SELECT vec_id, n, v * v AS v FROM y), {peaks_sql('pk', 'e', 19, height='avg(v) + 0.5e0 * stddev_pop(v)')}" + FOUND.format(at="n"))
+def peaks_r(spark, d):
+    return found(spark, d, "r_peaks")
+
+
+NEAR_TOP = "pk AS (SELECT DISTINCT h.vec_id, arg_max(s.n, (s.v, -s.n)) AS n FROM hits h JOIN s ON s.vec_id = h.vec_id AND s.n BETWEEN h.n - 6 AND h.n + 6 GROUP BY h.vec_id, h.n)"
+INTEGRATED = "dy AS (SELECT vec_id, n, pow(v - coalesce(lag(v) OVER (PARTITION BY vec_id ORDER BY n), v), 2) AS v FROM y), be AS (SELECT a.vec_id, a.n, sum(b.v) / 9 AS v FROM dy a JOIN dy b ON a.vec_id = b.vec_id AND abs(a.n - b.n) <= 4 GROUP BY a.vec_id, a.n)"
+
+
+@query(f"""WITH RECURSIVE {LONG_SQL}, {filter_sql(2, 5, 15)}, {INTEGRATED}, {peaks_sql('cand', 'be', 16)}, seq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n) AS i FROM cand),
+    st AS (SELECT vec_id, 0 AS i, 0.25e0 * max(v) AS sig, 0.5e0 * avg(v) AS noise, CAST(NULL AS BIGINT) AS n FROM be GROUP BY vec_id
+        UNION ALL SELECT st.vec_id, q.i, CASE WHEN q.v > noise + 0.25e0 * (sig - noise) THEN sig + 0.125e0 * (q.v - sig) ELSE sig END, CASE WHEN q.v > noise + 0.25e0 * (sig - noise) THEN noise ELSE noise + 0.125e0 * (q.v - noise) END, CASE WHEN q.v > noise + 0.25e0 * (sig - noise) THEN q.n END FROM st JOIN seq q ON q.vec_id = st.vec_id AND q.i = st.i + 1),
+    hits AS (SELECT vec_id, n FROM st WHERE n IS NOT NULL), {NEAR_TOP}""" + FOUND.format(at="n"))
+def peaks_r_integrated(spark, d):
+    return found(spark, d, "integrated")
+
+
+@query(f"""WITH RECURSIVE {LONG_SQL}, {filter_sql(2, 8, 16)}, dy AS (SELECT vec_id, n, abs(v - coalesce(lag(v) OVER (PARTITION BY vec_id ORDER BY n), 0)) AS v FROM y), {mean_sql('sl', 'dy', 5)}, {peaks_sql('cand', 'sl', 12, rounds=6)}, seq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n) AS i FROM cand),
+    st AS (SELECT vec_id, 0 AS i, [0.5e0 * max(v)] AS beats, [0e0] AS noises, CAST(NULL AS BIGINT) AS n FROM sl GROUP BY vec_id
+        UNION ALL SELECT st.vec_id, q.i, CASE WHEN q.v > list_median(noises) + 0.45e0 * (list_median(beats) - list_median(noises)) THEN list_append(beats, q.v) ELSE beats END, CASE WHEN q.v > list_median(noises) + 0.45e0 * (list_median(beats) - list_median(noises)) THEN noises ELSE list_append(noises, q.v) END,
+            CASE WHEN q.v > list_median(noises) + 0.45e0 * (list_median(beats) - list_median(noises)) THEN q.n END FROM st JOIN seq q ON q.vec_id = st.vec_id AND q.i = st.i + 1),
+    hits AS (SELECT vec_id, n FROM st WHERE n IS NOT NULL), {NEAR_TOP}""" + FOUND.format(at="n"))
+def peaks_r_slopes(spark, d):
+    return found(spark, d, "slopes")
+
+
+GRADIENT = f"""{filter_sql(2, 0.5, 28.8)}, gr AS (SELECT vec_id, n, abs(CASE WHEN n = 0 THEN b - v WHEN n = 63 THEN v - a ELSE (b - a) / 2 END) AS v FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM y WINDOW w AS (PARTITION BY vec_id ORDER BY n))),
+    {mean_sql('ms', 'gr', 6)}, {mean_sql('ml', 'gr', 48)}, ab AS (SELECT ms.vec_id, ms.n, ms.v > 1.5e0 * ml.v AS up FROM ms JOIN ml ON ml.vec_id = ms.vec_id AND ml.n = ms.n),
+    rg AS (SELECT vec_id, n, sum(CAST(NOT up AS INTEGER)) OVER (PARTITION BY vec_id ORDER BY n) AS g, up FROM ab), rz AS (SELECT vec_id, g, min(n) AS a, max(n) + 1 AS b FROM rg WHERE up GROUP BY vec_id, g), rw AS (SELECT *, avg(b - a) OVER (PARTITION BY vec_id) AS mean FROM rz),
+    tp AS (SELECT w.vec_id, w.a, arg_max(s.n, (s.v, -s.n)) AS n FROM rw w JOIN s ON s.vec_id = w.vec_id AND s.n >= w.a AND s.n < w.b WHERE w.b - w.a >= 0.4e0 * w.mean GROUP BY w.vec_id, w.a), seq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY a) AS i FROM tp),
+    st AS (SELECT DISTINCT vec_id, 0 AS i, CAST(-1000 AS BIGINT) AS last, CAST(NULL AS BIGINT) AS n FROM s UNION ALL SELECT st.vec_id, q.i, CASE WHEN q.n - last >= 19.2e0 THEN q.n ELSE last END, CASE WHEN q.n - last >= 19.2e0 THEN q.n END FROM st JOIN seq q ON q.vec_id = st.vec_id AND q.i = st.i + 1),
+    gp AS (SELECT vec_id, n FROM st WHERE n IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {LONG_SQL}, {GRADIENT}, pk AS (SELECT * FROM gp)" + FOUND.format(at="n"))
+def peaks_r_gradient(spark, d):
+    return found(spark, d, "gradient")
+
+
+@query(f"""WITH RECURSIVE {LONG_SQL}, {GRADIENT}, few AS (SELECT s.vec_id FROM s LEFT JOIN gp ON gp.vec_id = s.vec_id AND gp.n = s.n GROUP BY s.vec_id HAVING count(gp.n) < 2),
+    {INTEGRATED.replace("FROM y)", "FROM s)")}, {peaks_sql('fb', 'be', 12, height='0.3e0 * (avg(v) + stddev_pop(v))', rounds=6)}, pk AS (SELECT vec_id, n FROM gp WHERE vec_id NOT IN (SELECT vec_id FROM few) UNION ALL SELECT vec_id, n FROM fb WHERE vec_id IN (SELECT vec_id FROM few))""" + FOUND.format(at="n"))
+def peaks_recording(spark, d):
+    """The gradient detector, and integrated energy where it finds fewer than two beats."""
+    return found(spark, d, "recording")
+
+
+ORACLES["band_pass_filter"] = f"WITH RECURSIVE {LONG_SQL}, {filter_sql(4, 2, 10)} SELECT y.vec_id, round(any_value(b.sd), 6) AS std_before, round(stddev_pop(y.v), 6) AS std_after FROM y JOIN (SELECT vec_id, stddev_pop(v) AS sd FROM s GROUP BY vec_id) b USING (vec_id) GROUP BY y.vec_id"
+
+
 # Transforms, told by moments of their result
 
 
@@ -141,7 +219,7 @@ def transformed(spark: SparkSession, d: str, **columns) -> DataFrame:
     return rounded(y.select("vec_id", *[moment(F.col(k)).alias(k) for k in columns], *[F.size(k).cast("long").alias(f"n_{k}") for k in columns]))
 
 
-@query(f"WITH {LONG_SQL}, {mean6_sql('mm', 's')} SELECT vec_id, round(sum(v * (n + 1)), 6) AS y, count(*) AS n_y FROM mm GROUP BY vec_id")
+@query(f"WITH {LONG_SQL}, {mean_sql('mm', 's', 6)} SELECT vec_id, round(sum(v * (n + 1)), 6) AS y, count(*) AS n_y FROM mm GROUP BY vec_id")
 def moving_average(spark, d):
     return transformed(spark, d, y=udfs.moving_mean(6)(F.col("x")))
 
@@ -245,7 +323,7 @@ ORACLES["signal_block"] = f"""WITH {LONG_SQL}, {C.RAW}, {ACF},
 
 AMPLITUDE = f"{peaks_sql('pa', 's', 25, 0.3)}, pr AS (SELECT vec_id, n, n - lag(n) OVER (PARTITION BY vec_id ORDER BY n) AS rr FROM pa), pn AS (SELECT vec_id, count(*) AS k, quantile_cont(rr, 0.5) AS med, avg(rr) AS mean, max(rr) AS hi, min(rr) AS lo FROM pr GROUP BY vec_id), ph AS (SELECT vec_id, greatest(2, CAST(floor(0.33e0 * med) AS INTEGER)) AS half FROM pn WHERE k >= 3), {template_sql('tp', 'pa', 'ph')}, ts AS (SELECT DISTINCT s.vec_id, CASE WHEN n_rows >= 3 THEN greatest(r, 0) ELSE 0 END AS t FROM s LEFT JOIN tp USING (vec_id))"
 
-ORACLES["sqi_block"] = f"""WITH {LONG_SQL}, {C.CEN}, {AMPLITUDE}, {mean6_sql('mm', 's')}, {peaks_sql('ps', 'mm', 25, 0.3)},
+ORACLES["sqi_block"] = f"""WITH {LONG_SQL}, {C.CEN}, {AMPLITUDE}, {mean_sql('mm', 's', 6)}, {peaks_sql('ps', 'mm', 25, 0.3)},
     ks AS (SELECT vec_id, avg(pow(cv, 4)) / pow(avg(cv * cv), 2) - 3 AS k, avg(cv * cv * cv) / pow(avg(cv * cv), 1.5) AS sk FROM c GROUP BY vec_id), pw AS (SELECT vec_id, sum(psd) FILTER (k >= 0.6 AND k < 3.6) / sum(psd) AS p FROM f GROUP BY vec_id),
     nr AS (SELECT a.vec_id, a.n, arg_min(b.n, (abs(a.n - b.n), b.n)) AS b, min(abs(a.n - b.n)) AS gap FROM pa a JOIN ps b USING (vec_id) GROUP BY a.vec_id, a.n),
     hit AS (SELECT vec_id, count(DISTINCT b) FILTER (gap <= 9.6) AS hits FROM nr GROUP BY vec_id), na AS (SELECT vec_id, count(*) AS na FROM pa GROUP BY vec_id), nb AS (SELECT vec_id, count(*) AS nb FROM ps GROUP BY vec_id)
