@@ -1194,8 +1194,9 @@ def oracle_sql() -> dict[str, str]:
     return ORACLES
 
 
-#: Queries that SQL can't express: learnt models and resampling. Tests hold them against kernels.
+#: Queries without a twin: learnt models, resampling, and whole chains of kernels. Tests hold them against kernels.
 WITHOUT_TWIN = {
+    "extract_windows", "reliability_table", "reference_confidence", "reference_rhythm",
     "gating_net_5_folds", "reliability_gate_5_folds", "errpred_fusion_5_folds", "error_gate", "class_gate", "stacked_meta", "moe_from_fold_cache", "unsup_pca_gate", "gmm_gate",
     "lopo_logreg", "isotonic_fit", "nested_patient_threshold", "bootstrap_ci", "expert_oof", "compare_gates", "tune_expert", "compare_models", "column_ablation", "correctness_probe", "tune_gate", "learned_quality",
 }
