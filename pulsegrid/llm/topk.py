@@ -1,23 +1,26 @@
 """Exact top-k search by distributed histogram selection.
 
-Query classes meet all vectors in blocks. First the blocks only count: per query a histogram of scores between
-two bounds. The summed histograms locate the bin that holds the kth value; it becomes the new interval, until it is
-one integer wide. A last pass keeps the rows that reach that value and breaks ties by id. A block sends at most k bins
-or k rows for a query: what lies below its own kth value can't be above the global one.
+A bounded batch of query classes is sent to all tasks, which score it against their own rows where these lie; no vector is
+shuffled. First the tasks only count: per query a histogram of scores between two bounds. The summed histograms locate the bin that
+holds the last value needed; it becomes the new interval, until it is one integer wide. A last pass keeps the rows that reach that
+value and breaks ties by id. A task sends at most as many bins or rows for a query as it needs: what lies below its own last
+value can't be above the global one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import written
 from pulsegrid.llm.vectors import classes, matrix, ranked, usable
 
-#: Vectors and queries of a block, bins of a histogram, queries scored at once.
-BLOCK, QUERIES, BINS, AT_ONCE = 4096, 4096, 512, 64
+#: Query classes of a batch (as expected: they are dealt by a hash), bins of a histogram, queries scored at once.
+QUERIES, BINS, AT_ONCE = 16_384, 512, 64
 EXACT = 2.0**53
 
 
@@ -27,40 +30,91 @@ def block_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q @ v.T).astype(np.int64) if bound < EXACT else q.astype(np.int64) @ v.astype(np.int64).T
 
 
-def count_block(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """(q, bin, n): the block's histogram from the top down to its own last row that may be needed."""
-    out = []
-    if len(queries) and len(rows):
-        q, v = matrix(queries["v"]), matrix(rows["v"])
-        weight = rows["ids"].map(len).to_numpy(np.int64)
-        ids, lo, hi, rest = (queries[c].to_numpy(np.int64) for c in ("q", "lo", "hi", "rest"))
-        for i in range(0, len(q), AT_ONCE):
-            for j, s in enumerate(block_scores(q[i : i + AT_ONCE], v), i):
-                inside = (s >= lo[j]) & (s < hi[j])
-                n = np.bincount((s[inside] - lo[j]) // width(lo[j], hi[j]), weights=weight[inside], minlength=1).astype(np.int64)
-                full = np.flatnonzero(n)[::-1]
-                upto = np.searchsorted(np.cumsum(n[full]), max(1, rest[j])) + 1
-                out += [(ids[j], int(b), int(n[b])) for b in full[:upto]]
-    return pd.DataFrame(out, columns=["q", "bin", "n"]).astype("int64")
-
-
-def take_block(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """(q, score, ids): the block's entries that reach the last value needed, at most as many, ties to the smaller first id."""
-    out = []
-    if len(queries) and len(rows):
-        rows = rows.sort_values("cid").reset_index(drop=True)
-        q, v = matrix(queries["v"]), matrix(rows["v"])
-        ids, lo, need, lists = queries["q"].to_numpy(), queries["lo"].to_numpy(), queries["need"].to_numpy(), rows["ids"].tolist()
-        for i in range(0, len(q), AT_ONCE):
-            for j, s in enumerate(block_scores(q[i : i + AT_ONCE], v), i):
-                hit = np.flatnonzero(s >= lo[j])
-                hit = hit[np.argsort(-s[hit], kind="stable")[: need[j]]]
-                out += [(int(ids[j]), int(s[x]), lists[x]) for x in hit]
-    return pd.DataFrame(out, columns=["q", "score", "ids"])
-
-
-def width(lo: int, hi: int) -> int:
-    return max(1, -(-(int(hi) - int(lo)) // BINS))
+class Batch:
+    """Query classes of one length on the driver: vectors, the interval lo <= score < hi that holds each one's last value, how many
+    rows are still to be found in it, and how many each needs at all."""
+
+    def __init__(self, queries: pd.DataFrame, longest: float):
+        queries = queries.sort_values("cid").reset_index(drop=True)
+        self.q, self.v, self.need = queries["cid"].to_numpy(np.int64), matrix(queries["v"]), queries["need"].to_numpy(np.int64)
+        bound = np.ceil(np.sqrt((self.v * self.v).sum(axis=1)) * longest).astype(np.int64) + 1
+        self.lo, self.hi, self.rest = -bound, bound + 1, self.need.copy()
+        self.done = np.zeros(len(self.q), bool)
+
+    def width(self) -> np.ndarray:
+        return np.maximum(1, -(-(self.hi - self.lo) // BINS))
+
+    def narrow(self, found: pd.DataFrame) -> None:
+        """Take the bin (and the rows still to be found in it) of each query that has one. Without one everything counts: the lower bound
+        stays and the search is over."""
+        width, live = self.width(), ~self.done
+        self.done |= width == 1
+        at = found["q"].to_numpy(np.int64)
+        has = np.zeros(len(self.q), bool)
+        has[at] = True
+        self.done |= live & ~has
+        low = self.lo[at] + found["bin"].to_numpy(np.int64) * width[at]
+        self.lo[at], self.hi[at], self.rest[at] = low, np.minimum(low + width[at], self.hi[at]), found["rest"].to_numpy(np.int64)
+
+
+def count_rows(batches: Iterator[pd.DataFrame], b: Batch) -> Iterator[pd.DataFrame]:
+    """(q, bin, n): a task's histogram of each open query, from the top down to the last row that may be needed; q: its place in the batch."""
+    live = np.flatnonzero(~b.done)
+    width, n = b.width(), np.zeros((len(live), BINS), np.int64)
+    for rows in batches:
+        if len(rows):
+            v, weight = matrix(rows["v"]), rows["ids"].map(len).to_numpy(np.float64)
+            for i in range(0, len(live), AT_ONCE):
+                own = live[i : i + AT_ONCE]
+                s = block_scores(b.v[own], v)
+                inside = (s >= b.lo[own, None]) & (s < b.hi[own, None])
+                j, x = np.nonzero(inside)
+                cell = j * BINS + (s[j, x] - b.lo[own][j]) // width[own][j]
+                n[i : i + len(own)] += np.bincount(cell, weights=weight[x], minlength=len(own) * BINS).astype(np.int64).reshape(-1, BINS)
+    down = n[:, ::-1].cumsum(axis=1)[:, ::-1]  # rows in a bin or above
+    wanted = (n > 0) & (down - n < b.rest[live, None])
+    j, bin_ = np.nonzero(wanted)
+    yield pd.DataFrame({"q": live[j], "bin": bin_, "n": n[j, bin_]})
+
+
+def take_rows(batches: Iterator[pd.DataFrame], b: Batch) -> Iterator[pd.DataFrame]:
+    """(q, score, ids): a task's entries that reach the last value needed, at most as many as are needed, ties to the smaller first id."""
+    held: list[pd.DataFrame] = []
+    most = int(b.need.max())
+    for rows in batches:
+        if len(rows):
+            v, cid, lists = matrix(rows["v"]), rows["cid"].to_numpy(np.int64), rows["ids"]
+            for i in range(0, len(b.q), AT_ONCE):
+                j, x = np.nonzero((s := block_scores(b.v[i : i + AT_ONCE], v)) >= b.lo[i : i + AT_ONCE, None])
+                held.append(pd.DataFrame({"at": i + j, "score": s[j, x], "cid": cid[x], "ids": lists.iloc[x].to_numpy()}))
+        if sum(map(len, held)) > 4 * most * len(b.q):
+            held = [best_rows(held, b)]
+    if held:
+        out = best_rows(held, b)
+        yield pd.DataFrame({"q": b.q[out["at"]], "score": out["score"], "ids": out["ids"]})
+
+
+def best_rows(parts: list[pd.DataFrame], b: Batch) -> pd.DataFrame:
+    x = pd.concat(parts).sort_values(["at", "score", "cid"], ascending=[True, False, True], kind="stable", ignore_index=True)
+    return x[x.groupby("at").cumcount().to_numpy() < b.need[x["at"]]]
+
+
+def search_batch(table: DataFrame, queries: pd.DataFrame, longest: float) -> DataFrame:
+    """(q, score, ids) of one batch against the rows of its length."""
+    b = Batch(queries, longest)
+    sc = table.sparkSession.sparkContext
+    while not b.done.all():  # log_BINS(range) rounds
+        held = sc.broadcast(b)  # of a fixed size: QUERIES vectors
+        counts = table.mapInPandas(lambda it, held=held: count_rows(it, held.value), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        counts = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("q").orderBy(F.col("bin").desc())))
+        need = table.sparkSession.createDataFrame(pd.DataFrame({"q": np.arange(len(b.q)), "rest": b.rest}))
+        # rest: how many rows are still to be found in the bin, after those above it
+        reach = counts.join(F.broadcast(need), "q").where(F.col("upto") >= F.col("rest"))
+        at = reach.groupBy("q").agg(F.max_by(F.struct("bin", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest")), "bin").alias("x"))
+        b.narrow(at.select("q", "x.*").toPandas())  # one row for each query of the batch
+        held.unpersist()
+    held = sc.broadcast(b)
+    return table.mapInPandas(lambda it: take_rows(it, held.value), "q long, score long, ids array<long>")
 
 
 def exact_top_k(emb: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0) -> DataFrame:
@@ -74,38 +128,17 @@ def exact_top_k(emb: DataFrame, k: int = 20, every: int = 20, scale: float = 64.
     rows = usable(emb, nonzero=False).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
     table, members = classes(rows, every, k)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    size = table.agg(F.count("*").alias("n"), F.count_if("asked").alias("q"), F.max(norm).alias("longest")).first()
-    chunks, blocks = max(1, -(-size["n"] // BLOCK)), max(1, -(-size["q"] // QUERIES))
-    bound = (F.ceil(norm * F.lit(size["longest"] or 0.0)) + 1).cast("long")
-    state = written(table.where("asked").select(F.col("cid").alias("q"), (-bound).alias("lo"), (bound + 1).alias("hi"), F.col("need").cast("long").alias("rest"), F.lit(False).alias("done")), "bounds")
-
-    def spread(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    def grid(queries: DataFrame):
-        left = queries.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("chunk", spread(chunks))
-        right = table.select("cid", "v", "dim", "ids").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.lit(chunks)).cast("int")).withColumn("block", spread(blocks))
-        return left.groupBy("dim", "block", "chunk").cogroup(right.groupBy("dim", "block", "chunk"))
-
-    # Aliases: both sides of the cogroup come from one table.
-    vectors = table.where("asked").select(F.col("cid").alias("q"), *[F.col(c).alias(c) for c in ("v", "dim", "need")])
-    while not state.where("NOT done").isEmpty():  # log_BINS(range) rounds
-        live = vectors.join(state.where("NOT done").drop("done"), "q")
-        counts = grid(live).applyInPandas(count_block, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
-        over = F.sum("n").over(Window.partitionBy("q").orderBy(F.col("bin").desc()))
-        reach = counts.withColumn("upto", over).join(state.select("q", "lo", "hi", "rest"), "q").where(F.col("upto") >= F.col("rest"))
-        # rest: how many rows are still to be found at or above the bin, after those above it
-        at = reach.groupBy("q").agg(F.max_by(F.struct("bin", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest")), "bin").alias("x"))
-        step = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo")) / F.lit(BINS))).cast("long")
-        low = F.col("lo") + F.col("x.bin") * step
-        # Without a kth row everything counts: the lower bound stays and the search is over.
-        nxt = state.join(at, "q", "left").select(
-            "q",
-            F.when(F.col("done") | F.col("x").isNull(), F.col("lo")).otherwise(low).alias("lo"),
-            F.when(F.col("done") | F.col("x").isNull(), F.col("hi")).otherwise(F.least(low + step, F.col("hi"))).alias("hi"),
-            F.when(F.col("done") | F.col("x").isNull(), F.col("rest")).otherwise(F.col("x.rest")).alias("rest"),
-            (F.col("done") | F.col("x").isNull() | (step == 1)).alias("done"),
-        )
-        state = written(nxt, "bounds", instead_of=state)
-    found = grid(vectors.join(state.select("q", "lo"), "q")).applyInPandas(take_block, "q long, score long, ids array<long>")
+    sizes = table.groupBy("dim").agg(F.count_if("asked").alias("q"), F.max(norm).alias("longest")).where("q > 0").orderBy("dim").collect()  # one row a length
+    found = None
+    for r in sizes:
+        batches = -(-r["q"] // QUERIES)
+        same = table.where(F.col("dim") == r["dim"])
+        batch = F.pmod(F.xxhash64("cid"), F.lit(batches))
+        for i in range(batches):
+            queries = same.where(F.col("asked") & (batch == i)).select("cid", "v", "need").toPandas()
+            if len(queries):
+                one = search_batch(same.select("cid", "v", "ids"), queries, r["longest"])
+                one = written(one, "found") if batches > 1 else one
+                found = one if found is None else found.unionByName(one)
+    found = found if found is not None else emb.sparkSession.createDataFrame([], "q long, score long, ids array<long>")
     return ranked(found, members, k, "long")
