@@ -15,37 +15,47 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import forget, fresh, quoted, written
+from pulsegrid.llm.textcode import parts
+from pulsegrid.llm.xxh import hashes
 
 BITS, SHINGLE, BUDGET, SEED = 64, 4, 4, 42
+#: Of each byte its eight bits as bytes of their own, the highest first.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8")[:, 0]
+#: Texts whose shingles are hashed at a time (fewer if they are long).
+MOST_TEXTS = 1000
 #: Distinct fingerprints expected in one task group, and from how many on a group is cut into parts.
 PER_GROUP, SPLIT = 4096, 1 << 15
 #: Node pairs of a trie held at once, and leaf pairs that are compared directly.
 FRONTIER, LEAF = 400_000, 16
 
 
-def fingerprint_of(text: str | None, width: int = SHINGLE) -> int:
-    """The fingerprint of one text. A text without a word, or null, has 0."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    norm = b" ".join(words)
-    ends = np.append(np.flatnonzero(np.frombuffer(norm, np.uint8) == 32), len(norm))
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(ends) > width:
-        ends, starts = ends[width - 1 :], starts[: 1 - width]
-    else:
-        ends, starts = ends[-1:], starts[:1]
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(norm[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], ">u8", len(ends))
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(h), 4096):
-        ones += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+def fingerprints_of(texts: list[str | None], width: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each text, unsigned; all shingles of the texts are hashed together. A text without a word, or null, has 0."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    data = b" ".join([b" ".join(w) for w in words if w])
+    end = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 32), len(data))
+    begin = np.concatenate([[0], end[:-1] + 1])
+    shingles = np.where(n > 0, np.maximum(n - width + 1, 1), 0)
+    first = np.cumsum(shingles) - shingles
+    out = np.zeros(len(texts), np.uint64)
+    has = np.flatnonzero(n > 0)
+    if len(has):
+        word = np.arange(int(shingles.sum())) + np.repeat(np.cumsum(n) - n - first, shingles)
+        last = word + np.repeat(np.minimum(n, width), shingles) - 1
+        h = hashes(data, begin[word], end[last], SEED).astype(">u8")
+        # A sum holds eight counters of a byte each, so it takes 255 hashes at most.
+        n_sums = -(-shingles[has] // 255)
+        first_sum = np.cumsum(n_sums) - n_sums
+        begin_sum = np.repeat(first[has], n_sums) + 255 * (np.arange(int(n_sums.sum())) - np.repeat(first_sum, n_sums))
+        sums = np.add.reduceat(SPREAD[h.view(np.uint8).reshape(-1, 8)], begin_sum, axis=0)
+        ones = np.add.reduceat(sums.view(np.uint8).reshape(-1, BITS), first_sum, axis=0, dtype=np.int64)
+        out[has] = np.packbits(2 * ones > shingles[has, None], axis=1).view(">u8")[:, 0]
+    return out
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, more: dict[str, Column] | None = None) -> DataFrame:
@@ -54,7 +64,8 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, more: dict[str, Column]
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series(np.array([fingerprint_of(t, width) for t in b], np.uint64).view(np.int64))
+            found = [fingerprints_of([None if t is None or t != t else t for t in part], width) for part in parts(list(b), MOST_TEXTS)]
+            yield pd.Series(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), fp(text).alias("fp"), *[c.alias(k) for k, c in (more or {}).items()])
