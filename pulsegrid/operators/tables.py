@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.metrics import auc, cuts, quantiles, zero_null
+from pulsegrid.operators.metrics import auc, cuts, quantiles, running, zero_null
 
 # Key and channel names.
 KEY = ("patient", "win_idx")
@@ -91,17 +91,43 @@ def with_valid_target(df: DataFrame, modality: str, target: str) -> DataFrame:
     return df.where(F.coalesce(F.col(f"rel_{modality}_valid"), F.lit(False)) & e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
 
 
-def with_sentinel(df: DataFrame, columns: Sequence[str], fold: str | None = None, q: float = 0.95) -> DataFrame:
-    """Missing errors become the q-quantile of the learning rows (of the other folds if ``fold`` names a column, else of all); 1 without any.
+#: Ranks of a bucket, by which a rank finds its value.
+BUCKET = 4096
+
+
+def others_quantile(df: DataFrame, column: str, fold: str, q: float) -> DataFrame:
+    """(fold, value): for each fold the exact linear q-quantile of the column over the rows of all other folds; null without any.
 
-    Fold quantiles: each fold's learning rows are all rows of the others; the number of folds is checked."""
-    own = [F.percentile(c, q).alias(f"_{c}") for c in columns]
+    No row is copied to other folds. All values are ranked once; the k-th value of the others has the rank k + m, where m counts the fold's
+    own values with fewer than k of the others' before them, and is read where that rank lies."""
+    one = df.select(F.col(fold).alias("f"), F.col(column).alias("v"))
+    own = one.where("v IS NOT NULL AND f IS NOT NULL").groupBy("f", "v").agg(F.count("*").alias("n"))
+    every = running(one.where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("m")), [], "v", ["m"])
+    ties = Window.partitionBy("v").orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
+    x = running(own, ["f"], "v", ["n"]).join(every.select("v", "m_before"), "v")
+    x = x.select("f", "n", (F.col("m_before") + F.coalesce(F.sum("n").over(ties), F.lit(0)) - F.col("n_before")).alias("before"))
+    total = every.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("total"))  # one row
+    folds = one.where("f IS NOT NULL").groupBy("f").agg(F.count("v").alias("own")).crossJoin(F.broadcast(total))
+    at = F.when(F.col("total") > F.col("own"), q * (F.col("total") - F.col("own") - 1))
+    folds = folds.withColumns({"w": at - F.floor(at), "low": F.floor(at) + 1, "high": F.ceil(at) + 1}).where("low IS NOT NULL")
+    under = lambda k: F.sum(F.when(F.col("before") < F.col(k), F.col("n")).otherwise(F.lit(0)))
+    moved = folds.join(x, "f", "left").groupBy("f", "w", "low", "high").agg((F.col("low") + F.coalesce(under("low"), F.lit(0)) - 1).alias("a"), (F.col("high") + F.coalesce(under("high"), F.lit(0)) - 1).alias("b"))
+    wanted = moved.select("f", "w", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("a").alias("rank")), F.struct(F.lit(1).alias("end"), F.col("b").alias("rank")))).alias("e")).select("f", "w", "e.*").withColumn("bucket", F.floor(F.col("rank") / BUCKET))
+    spans = every.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("m_before") / BUCKET), F.floor((F.col("m_before") + F.col("m") - 1) / BUCKET))))
+    got = wanted.join(spans, "bucket").where((F.col("rank") >= F.col("m_before")) & (F.col("rank") < F.col("m_before") + F.col("m")))
+    ends = got.groupBy("f", "w").agg(*[F.max(F.when(F.col("end") == i, F.col("v"))).alias(k) for i, k in enumerate("ab")])
+    return ends.select(F.col("f").alias(fold), (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("value"))
+
+
+def with_sentinel(df: DataFrame, columns: Sequence[str], fold: str | None = None, q: float = 0.95) -> DataFrame:
+    """Missing errors become the q-quantile of the learning rows (of the other folds if ``fold`` names a column, else of all); 1 without any."""
     if fold is None:
         x = df.crossJoin(F.broadcast(cuts(df, {f"_{c}": (c, q) for c in columns})))  # one row
     else:
-        others = F.explode(F.filter(F.array(*[F.lit(v) for v in fold_values(df, fold)]), lambda v: v != F.col(fold)))
-        s = df.withColumn("_f", others).groupBy("_f").agg(*own)
-        x = df.join(F.broadcast(s), F.col(fold) == F.col("_f"), "left").drop("_f")  # one row for each fold
+        x = df
+        for c in columns:
+            s = others_quantile(df, c, fold, q).select(F.col(fold).alias("_f"), F.col("value").alias(f"_{c}"))
+            x = x.join(s, F.col(fold) == F.col("_f"), "left").drop("_f")
     return x.withColumns({c: F.coalesce(c, f"_{c}", F.lit(1.0)) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 

@@ -116,6 +116,26 @@ def test_valid_targets_and_coverage(spark):
     assert got == {1: (1 / 3, 3), 2: (1.0, 4)}
 
 
+@pytest.mark.parametrize("bucket", [3, 4096])
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
+def test_quantile_of_the_other_folds(spark, monkeypatch, q, bucket):
+    """With ties, a fold of half the rows, a fold without a value, a missing fold, and values of one fold only."""
+    monkeypatch.setattr(T, "BUCKET", bucket)
+    rng = np.random.default_rng(5)
+    n = 240
+    t = pd.DataFrame({"f": np.where(rng.random(n) < 0.5, 0, rng.integers(1, 7, n)), "e": np.round(rng.normal(size=n), 1)})
+    t.loc[t["f"] == 3, "e"] = np.nan
+    rows = [(None if i < 5 else int(f), None if np.isnan(e) else float(e)) for i, (f, e) in enumerate(t.itertuples(index=False))]
+    df = spark.createDataFrame(rows, "f int, e double").repartition(4)
+    got = {r["f"]: r["value"] for r in T.others_quantile(df, "e", "f", q).collect()}
+    want = {f: np.quantile([e for g, e in rows if e is not None and g != f], q) for f in range(7)}
+    assert got.keys() == want.keys() and all(np.isclose(got[f], want[f]) for f in want)
+    filled = T.with_sentinel(df, ["e"], "f", q).collect()
+    assert len(filled) == n and all(r["e"] is not None for r in filled) and all(np.isclose(r["e"], want[3]) for r in filled if r["f"] == 3)
+    lone = spark.createDataFrame([(1, 2.0), (1, None)], "f int, e double")
+    assert [r["e"] for r in T.with_sentinel(lone, ["e"], "f", q).orderBy("e").collect()] == [1.0, 2.0]
+
+
 def every_second(x, fs):
     return np.arange(0, len(x), 2 * int(fs))
 
