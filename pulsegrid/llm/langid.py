@@ -181,27 +181,27 @@ def viterbi(score: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.
     end = np.full(len(doc), -1, np.int64)  # the state at the run's end, where it is known
     long = np.flatnonzero(n_runs > 1)
     if len(long):
-        of_long = np.flatnonzero(n_runs[doc] > 1)
-        order = of_long[np.argsort(-size[of_long], kind="stable")]
+        at = np.cumsum(n_runs) - n_runs
+        opening = steps(score, begin[at[long]], size[at[long]], start[at[long]].copy(), switch)
+        later = np.flatnonzero(nth > 0)
+        later = later[np.argsort(-size[later], kind="stable")]
         leap = np.where(np.eye(k, dtype=bool), 0, -np.float32(switch))  # from the state before to the run's first word
-        matrix = steps(score, begin[order], size[order], leap[None] + score[begin[order]][:, None], switch)
+        matrix = steps(score, begin[later], size[later], leap[None] + score[begin[later]][:, None], switch)
         row = np.zeros(len(doc), np.int64)
-        row[order] = np.arange(len(order))
-        at = np.cumsum(n_runs) - n_runs
-        for d in long:
-            runs = range(int(at[d]), int(at[d] + n_runs[d]))
-            v = steps(score, begin[runs[0] : runs[0] + 1], size[runs[0] : runs[0] + 1], start[runs[0] : runs[0] + 1].copy(), switch)[0]
+        row[later] = np.arange(len(later))
+        for d, v in zip(long.tolist(), opening, strict=True):
+            runs = range(int(at[d]) + 1, int(at[d] + n_runs[d]))
             back = []
-            for r in runs[1:]:
+            for r in runs:
                 both = v[:, None] + matrix[row[r]]
                 back.append(both.argmax(axis=0))
                 v = both.max(axis=0)
             state = int(v.argmax())
-            for r, b in zip(reversed(runs[1:]), reversed(back), strict=True):
+            for r, b in zip(reversed(runs), reversed(back), strict=True):
                 end[r] = state
                 state = int(b[state])
                 start[r] = leap[state] + score[begin[r]]
-            end[runs[0]] = state
+            end[runs[0] - 1] = state
     order = np.argsort(-size, kind="stable")
     begin, size = begin[order], size[order]
     came = np.zeros((n, k), np.int16)
