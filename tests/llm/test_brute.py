@@ -62,6 +62,37 @@ def test_parts_are_whole_and_bounded():
     assert list(parts([], 3, 10)) == []
 
 
+# the shared folder
+
+
+def test_shared_folder_is_never_local_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    def session(master, setting=None, dir_=None):
+        return N(conf=N(get=lambda k, d=None: setting), sparkContext=N(master=master, getConf=lambda: N(get=lambda k: None), getCheckpointDir=lambda: dir_))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_folder(session("spark://host:7077"))
+    one = session("local[2]")
+    assert common.shared_folder(one).startswith("file://") and common.shared_folder(one) == common.shared_folder(one)
+    assert common.shared_folder(session("yarn", "hdfs://a/b")) == "hdfs://a/b" and common.shared_folder(session("yarn", None, "hdfs://c")) == "hdfs://c"
+
+
+def test_former_tables_are_removed(spark, tmp_path, monkeypatch):
+    """What a run leaves in the shared folder: no round of the labels but the last, no edges; the session's settings are as before."""
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(common, "shared_folder", lambda s: f"file://{tmp_path}")
+    fps = [0]
+    for k in range(15):
+        fps.append(fps[-1] | 0b1111 << (4 * k))
+    got = simhash.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), len(fps)))
+    left = lambda: sorted(p.name for p in tmp_path.glob("pulsegrid/*/*/*"))
+    assert got.count() == len(fps) and left() == ["label"]
+    simhash.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet")).count()
+    assert left() == ["by_fp", "fingerprints", "label", "label"]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+
+
 # clashing names
 
 
@@ -690,6 +721,20 @@ def test_top_k_equals_brute_force(spark):
     assert topk.exact_top_k(few, 20, 1).count() == 12
 
 
+def test_top_k_in_batches_and_many_tasks(spark, monkeypatch):
+    """Small batches of queries, rows dealt to many tasks, and sums beyond 2^53 give the same as brute force."""
+    rows = odd_vectors(200)
+    score = lambda a, b: int(sum(int(x) * int(y) for x, y in zip(np.floor(64 * a), np.floor(64 * b), strict=True)))
+    want = brute(rows, 7, 5, score, False)
+    monkeypatch.setattr(topk, "QUERIES", 6)
+    monkeypatch.setattr(topk, "AT_ONCE", 4)
+    df = vectors_of(spark, rows).repartition(13)
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.exact_top_k(df, 5, 7).collect()} == want
+    large = [(i, [x * 2.0**22 for x in v] if v and i is not None and i < 100 else v, 0) for i, v, _ in rows]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.exact_top_k(vectors_of(spark, large), 5, 7).collect()}
+    assert got == brute(large, 7, 5, score, False)
+
+
 def test_multi_index_recall_and_scores(spark):
     emb = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = multi_index.nearest(emb).toPandas()
@@ -754,6 +799,25 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_hashes_equal_the_library():
+    from pulsegrid.llm import xxh
+
+    rng = np.random.default_rng(8)
+    data = rng.integers(0, 256, 5000, dtype=np.uint8).tobytes()
+    size = np.concatenate([np.arange(0, 130), rng.integers(0, 700, 300), [256, 257, 0]])
+    start = rng.integers(0, 5000 - size + 1)
+    for seed in (0, 42):
+        assert xxh.hashes(data, start, start + size, seed).tolist() == [xxhash.xxh64_intdigest(data[a : a + n], seed) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+    assert len(xxh.hashes(b"", start[:0], start[:0], 1)) == 0
+
+
+def test_fingerprints_of_many_texts_together():
+    rng = np.random.default_rng(5)
+    texts = [None, "", " \t\x0b", "one", "One  TWO", "a b c", "a b c d", "É ü\u00a0x y\x1cz", "w" * 5000 + " x y z q", *(" ".join(f"w{x}" for x in rng.integers(0, 99, n)) for n in (253, 254, 257, 258, 259, 513, 1025, 5)), None, "again again again again again"]
+    assert simhash.fingerprints_of(texts).tolist() == [plain_fingerprint(t) for t in texts]
+    assert len(simhash.fingerprints_of([])) == 0 and simhash.fingerprints_of([None, ""]).tolist() == [0, 0]
+
+
 def plain_components(fps: dict) -> dict:
     root = {i: i for i in fps}
 
