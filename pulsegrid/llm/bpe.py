@@ -13,6 +13,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 import regex
@@ -63,7 +64,8 @@ class Vocabulary:
         self.pairs: dict[int, bool] = {}
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
-        self.words: dict[str, str] = {}
+        self.specials = {s: str(i) for s, i in special.items()}
+        self.words: dict[str, str] = dict(self.specials)
         self.letters = 0  # of all words remembered
         self.piece = {str(i): b for i, b in self.text.items()}
 
@@ -137,20 +139,28 @@ class Vocabulary:
             before = w
         return out
 
+    def cut(self, text: str | None) -> list[str]:
+        """The words of a text; special strings stay whole, and no word equals one, as every place of one is cut out first."""
+        words = self.pattern.findall
+        if not text or not any(x in text for x in self.special):
+            return words(text or "")
+        return [w for k, x in enumerate(self.split.split(text)) for w in ([x] if k % 2 else words(x))]
+
     def encode(self, texts: list[str | None]) -> list[str]:
         """The ids of each text, joined by commas. Special strings are ids of their own; null is the empty text."""
-        cut, words = self.pattern.findall, self.words
-        parts = [self.split.split(t or "") if self.split and t and any(s in t for s in self.special) else [t or ""] for t in texts]
-        pieces = [[[x] if k % 2 else cut(x) for k, x in enumerate(p)] for p in parts]
-        new = {w for p in pieces for k, ws in enumerate(p) if not k % 2 for w in ws if w not in words}
+        cuts, words = [self.cut(t) for t in texts], self.words
+        every = set(chain.from_iterable(cuts))
+        new = every.difference(words)
         size = sum(map(len, new)) + PER_WORD * len(new)
         if self.letters + size > MOST_LETTERS:
             words.clear()
-            new = {w for p in pieces for k, ws in enumerate(p) if not k % 2 for w in ws}
+            words.update(self.specials)
+            new = every.difference(words)
             self.letters, size = 0, sum(map(len, new)) + PER_WORD * len(new)
         self.letters += size
         words.update(self.encode_words(list(new)))
-        return [",".join([words[w] if not k % 2 else str(self.special[w]) for k, ws in enumerate(p) for w in ws]) for p in pieces]
+        ids = words.__getitem__
+        return [",".join(map(ids, ws)) for ws in cuts]
 
     def decode(self, ids: str) -> str:
         """The text of comma-joined ids; bytes that aren't UTF-8 become U+FFFD."""
