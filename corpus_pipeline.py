@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import langid, packing, simhash, toxicity
-from pulsegrid.llm.common import documents, quoted, written
+from pulsegrid.llm.common import documents, quoted, small_batches, written
 
 #: Least score (share of the letters in spans of the leading language, times its posterior) of a text that is kept.
 LEAST_LANG = 0.3
@@ -56,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = before = written(stage(spark, docs, sf_dir), name, instead_of=before)
+        with small_batches(spark):
+            docs = before = written(stage(spark, docs, sf_dir), name, instead_of=before)
     return STAGES[-1][1](spark, docs, sf_dir)
