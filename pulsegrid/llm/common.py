@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: Learning rows are those whose crc32 of the id, written as text, has a remainder other than 0.
 FOLDS = 5
@@ -60,6 +62,19 @@ def forget(table: DataFrame) -> None:
     fs.delete(p, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Inside, what runs at once hands at most ``rows`` rows to Python at a time, so that whole texts take little memory beside the JVM;
+    afterwards the session's setting is as it was."""
+    before = spark.conf.get(BATCH_KEY)
+    if int(before) > rows:
+        spark.conf.set(BATCH_KEY, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, before)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

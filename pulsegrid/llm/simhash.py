@@ -18,19 +18,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import forget, fresh, quoted, written
+from pulsegrid.llm.common import forget, fresh, quoted, small_batches, written
 from pulsegrid.llm.textcode import parts
 from pulsegrid.llm.xxh import hashes
 
 BITS, SHINGLE, BUDGET, SEED = 64, 4, 4, 42
 #: Of each byte its eight bits as bytes of their own, the highest first.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8")[:, 0]
-#: Texts whose shingles are hashed at a time (fewer if they are long).
-MOST_TEXTS = 1000
+#: Texts whose shingles are hashed at a time, and their letters (unless one text has more).
+MOST_TEXTS, MOST_LETTERS = 1000, 250_000
 #: Distinct fingerprints expected in one task group, and from how many on a group is cut into parts.
 PER_GROUP, SPLIT = 4096, 1 << 15
 #: Node pairs of a trie held at once, and leaf pairs that are compared directly.
-FRONTIER, LEAF = 400_000, 16
+FRONTIER, LEAF = 100_000, 16
 
 
 def fingerprints_of(texts: list[str | None], width: int = SHINGLE) -> np.ndarray:
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, more: dict[str, Column]
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            found = [fingerprints_of([None if t is None or t != t else t for t in part], width) for part in parts(list(b), MOST_TEXTS)]
+            found = [fingerprints_of([None if t is None or t != t else t for t in part], width) for part in parts(list(b), MOST_TEXTS, MOST_LETTERS)]
             yield pd.Series(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))
 
     text = F.col("text").cast("string")
@@ -237,7 +237,8 @@ def components(edges: DataFrame) -> DataFrame:
 def rooted(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE, more: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """The fingerprints of all rows (with columns ``more``), and (fp, root, component_id) of each distinct one: its component's smallest
     fingerprint and doc_id. The texts are read once."""
-    fps = written(fingerprints(docs, width, more), "fingerprints")
+    with small_batches(docs.sparkSession):
+        fps = written(fingerprints(docs, width, more), "fingerprints")
     own = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     root = components(links(own.select("fp"), own.count(), budget))
     named = own.join(root, own["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
