@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, chat, langid, licenses, multi_index, packing, ring, simhash, topk, toxicity
+from pulsegrid.llm import bpe, chat, decontaminate, langid, licenses, multi_index, packing, repair, ring, simhash, topk, toxicity
 from pulsegrid.llm.common import documents, fold
 
 SHARDS = 16
@@ -73,13 +73,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = repair.audited(repair.repair_conversations(repair.damaged(turns)))
+    out = turns.select("conv_id").distinct().alias("all").join(found.alias("found"), F.col("all.conv_id").eqNullSafe(F.col("found.conv_id")), "left")
+    counts = [F.coalesce(f"found.{c}", F.lit(0)).cast("long").alias(c) for c in ("gaps", *repair.FAULTS, "illegal", "cost")]
+    return out.select("all.conv_id", *counts, F.coalesce("found.audit", F.lit("")).alias("audit"), F.coalesce("found.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_bounded_ring, op3_chat_format, op4_toxicity, op5_language, op6_bpe, op7_license_scan, op8_multi_index, op9_exact_top_k, op10_simhash, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_bounded_ring, op3_chat_format, op4_toxicity, op5_language, op6_bpe, op7_license_scan, op8_multi_index, op9_exact_top_k, op10_simhash, op11_structure_repair, op12_decontamination, pipeline)}
 
 RX = r"[a-z0-9]+(?:\.[0-9]+)*"
 
@@ -117,7 +132,84 @@ def license_sql() -> str:
         FROM up3 u LEFT JOIN best b USING (doc_id) LEFT JOIN given g3 ON g3.dir = d3 LEFT JOIN given g2 ON g2.dir = d2 LEFT JOIN given g1 ON g1.dir = d1"""
 
 
+def repair_sql() -> str:
+    """The repair in SQL: crc32 by its table, faults by windows, costs to the end by a recursion over rows from the last, the audit by one from the first.
+
+    ``way`` lists all ways over a row: grammar states 0 begin, 1 primed, 2 asked, 3 answered; up to two inserted turns, then one of D, K, R."""
+    made = {0: ("u", 2), 1: ("u", 2), 2: ("a", 3), 3: ("u", 2)}
+    ways = []
+    for q in range(4):
+        put, at = "", q
+        for k in range(3):
+            ways += [(q, "I" * k + "D", put, 2 * k + 3, 0, "", at), (q, "I" * k + "R", put + made[at][0].upper(), 2 * k + 2, 1, "", made[at][1])]
+            ways += [(q, "I" * k + "K", put + "k", 2 * k, 1, i, to) for i, to in [made[at]] + [("s", 1)] * (at == 0)]
+            put, at = put + made[at][0], made[at][1]
+    values = ", ".join(map(str, ways))
+    return rf"""
+        WITH RECURSIVE crc_table AS (
+            SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS tbl FROM range(256) r(b)),
+        src AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS said FROM conversations),
+        kinds AS (
+            SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(said, lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda c, x: xor(c >> 8, tbl[xor(c, x) % 256 + 1])), 4294967295) % 20 AS kind FROM src, crc_table),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM (SELECT * FROM kinds UNION ALL SELECT * FROM kinds WHERE kind = 3) WHERE kind <> 0),
+        ordered AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+                rtrim(text, E' \t\n\v\f\r') AS bare FROM damaged),
+        r AS (
+            SELECT coalesce(conv_id, -9223372036854775807) AS c, conv_id, turn, role, text, i, n, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS former,
+                CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM ordered),
+        way(q, labels, put, cost, stays, need, q2) AS (VALUES {values}),
+        ok AS (
+            SELECT c, i, q, labels, put, q2, cost + CASE WHEN stays = 1 AND fault = 'truncated' THEN 1 ELSE 0 END AS cost
+            FROM r JOIN way ON (stays = 0 OR fault IS NULL OR fault = 'truncated') AND (need = '' OR need = ini)),
+        back(c, i, w) AS (
+            SELECT DISTINCT c, n + 1, [0, 4, 2, 0] FROM r
+            UNION ALL
+            SELECT b.c, b.i - 1, list_transform([0, 1, 2, 3], lambda s: list_min(list_transform(list_filter(e.arcs, lambda a: a.q = s), lambda a: a.cost + b.w[a.q2 + 1])))
+            FROM back b JOIN (SELECT c, i, list({{'q': q, 'q2': q2, 'cost': cost}}) AS arcs FROM ok GROUP BY c, i) e ON e.c = b.c AND e.i = b.i - 1),
+        chosen AS (
+            SELECT ok.c, ok.i, q, min_by({{'labels': labels, 'put': put, 'q2': q2, 'cost': cost}}, {{'total': ok.cost + w[q2 + 1], 'labels': labels}}) AS best
+            FROM ok JOIN back b ON b.c = ok.c AND b.i = ok.i + 1 GROUP BY ALL),
+        forth(c, i, q, audit, cost, said) AS (
+            SELECT DISTINCT c, CAST(1 AS BIGINT), 0, '', CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM r
+            UNION ALL
+            SELECT f.c, f.i + 1, best.q2, f.audit || best.labels, f.cost + best.cost,
+                f.said || list_transform(string_split(best.put, ''), lambda p: CASE p WHEN 'k' THEN r.role || ':' || r.text WHEN 'U' THEN 'user:' || r.text WHEN 'A' THEN 'assistant:' || r.text WHEN 'u' THEN 'user:' WHEN 'a' THEN 'assistant:' END)
+            FROM forth f JOIN chosen ON chosen.c = f.c AND chosen.i = f.i AND chosen.q = f.q JOIN r ON r.c = f.c AND r.i = f.i),
+        ended AS (
+            SELECT f.c, audit || CASE q WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit, f.cost + CASE q WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END AS cost,
+                array_to_string(list_filter(said, lambda x: x IS NOT NULL) || CASE q WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END, chr(10)) AS told
+            FROM forth f JOIN (SELECT DISTINCT c, n FROM r) e ON e.c = f.c AND f.i = e.n + 1),
+        counts AS (
+            SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND former || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY c)
+        SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+            coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts ON counts.c = coalesce(a.conv_id, -9223372036854775807) LEFT JOIN ended ON ended.c = counts.c"""
+
+
+ITEM_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op11_structure_repair": repair_sql(),
+    "op12_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({ITEM_WORDS}, []) AS w FROM documents),
+        b AS (SELECT item_id, {ITEM_WORDS} AS w FROM benchmark),
+        win AS (
+            SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS said
+            FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS s FROM b WHERE len(w) > 0)),
+        spots AS (SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d JOIN (SELECT DISTINCT n FROM win) ON n <= len(w)),
+        seen AS (SELECT rid, s, a.n, item_id FROM (SELECT rid, n, s, array_to_string(w[s : s + n - 1], ' ') AS said FROM spots) a JOIN win ON win.n = a.n AND win.said = a.said),
+        hits AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(s, s + n - 1)) AS p FROM seen) GROUP BY rid),
+        named AS (SELECT rid, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT rid, item_id FROM seen WHERE item_id IS NOT NULL) GROUP BY rid)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid)""",
     "op7_license_scan": license_sql(),
     "op3_chat_format": """
         WITH turns AS (
