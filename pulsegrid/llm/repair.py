@@ -134,11 +134,11 @@ def same(a: object, b: object) -> bool:
 
 
 def with_faults(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text (null role or text: one space), initial, fault."""
+    """conv_id, turn, role, text (null role or text: one space), times (the how-manieth row of its role and text), initial, fault."""
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text")).repartition("conv_id")
     bare = F.rtrim("text", F.lit(WHITE))
-    again = F.row_number().over(Window.partitionBy("conv_id", "role", "text").orderBy("turn")) > 1
-    fault = F.when(bare == "", "blank").when(again, "duplicate").when(~F.substring(bare, -1, 1).isin(".", "!", "?"), "truncated")
+    t = t.withColumn("times", F.row_number().over(Window.partitionBy("conv_id", "role", "text").orderBy("turn")))
+    fault = F.when(bare == "", "blank").when(F.col("times") > 1, "duplicate").when(~F.substring(bare, -1, 1).isin(".", "!", "?"), "truncated")
     return t.select("*", F.substring("role", 1, 1).alias("initial"), fault.alias("fault"))
 
 
@@ -155,7 +155,7 @@ def repair_conversations(turns: DataFrame, grammar: Grammar | None = None, costs
     g, c = grammar or Grammar(), costs or Costs()
     Lattice(g, c).end()  # a grammar that can't be used is an error here
     faulty = with_faults(turns)
-    later = [F.col("conv_id").desc(), F.col("turn").desc_nulls_last(), F.col("role").desc(), F.col("text").desc(), (F.col("fault") == "duplicate").desc_nulls_last()]
+    later = [F.col("conv_id").desc(), F.col("turn").desc_nulls_last(), F.col("role").desc(), F.col("text").desc(), F.col("times").desc()]
     plan = T.StructType([*faulty.schema.fields, T.StructField("ways", T.ArrayType(T.IntegerType())), T.StructField("last", T.BooleanType())])
 
     def backwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def repair_conversations(turns: DataFrame, grammar: Grammar | None = None, costs
             yield pa.RecordBatch.from_arrays([*[b[x] for x in own], *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], [*own, *[n for n, _ in out_fields]])
 
     planned = faulty.sortWithinPartitions(*later).mapInArrow(backwards, plan)
-    earlier = [F.col("conv_id").asc(), F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("text").asc(), (F.col("fault") == "duplicate").asc_nulls_first()]
+    earlier = [F.col("conv_id").asc(), F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("text").asc(), F.col("times").asc()]
     return planned.sortWithinPartitions(*earlier).mapInArrow(forwards, result)
 
 
