@@ -219,7 +219,7 @@ def oracle_pick(df: DataFrame, p: Sequence[str], label: str) -> DataFrame:
 
 def loo_means(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Per key: mean and population deviation of each column over all other keys, from totals less the key's own sums."""
-    own = df.groupBy(key).agg(*[f for c in columns for f in (F.count(c).alias(f"n_{c}"), F.sum(c).alias(f"s_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"q_{c}"))])
+    own = df.groupBy(key).agg(*[f for c in columns for f in (F.count(c).alias(f"n_{c}"), F.coalesce(F.sum(c), F.lit(0)).alias(f"s_{c}"), F.coalesce(F.sum(F.col(c) * F.col(c)), F.lit(0)).alias(f"q_{c}"))])
     tot = own.agg(*[F.sum(f"{k}_{c}").alias(f"t{k}_{c}") for c in columns for k in "nsq"])
     x = own.crossJoin(F.broadcast(tot))  # one row
     out = [key]

@@ -1184,7 +1184,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from pulsegrid.plans import files, kernels  # noqa: F401  these add theirs
+    from pulsegrid.plans import files, kernels, scheduled  # noqa: F401  these add theirs
 
     return QUERIES
 

@@ -44,8 +44,8 @@ def verify(expected: str, actual: str) -> None:
         raise ValueError(f"the cache belongs to other data: {expected} is not {actual}")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, gone when the session's JVM ends: inside ``spark.checkpoint.dir`` or the context's checkpoint
+def folder(spark: SparkSession) -> str:
+    """A new path that driver and executors share, for what shall stay: inside ``spark.checkpoint.dir`` or the context's checkpoint
     folder; only a single machine without either takes its own temporary folder."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
@@ -53,7 +53,12 @@ def scratch(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
-    path = f"{root.rstrip('/')}/pulsegrid/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/pulsegrid/{uuid.uuid4().hex}"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder as ``folder`` gives, gone when the session's JVM ends."""
+    path = folder(spark)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(p)

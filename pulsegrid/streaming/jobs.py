@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid.sources.packets import read_realtime
 
+EPISODE = "patient long, win_start timestamp, score double, hits int, alarm boolean, episode_start timestamp, first_alarm timestamp"
 ALARM = "patient long, win_start timestamp, score double, hits int, alarm boolean, first_alarm timestamp"
 
 
@@ -50,14 +55,84 @@ def alarms(scores: DataFrame, threshold: float, k: int = 2, m: int = 3) -> DataF
     return scores.groupBy("patient").applyInPandasWithState(step, ALARM, "past array<int>, first timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
+class Episodes(StatefulProcessor):
+    """The K-of-M alarm of one patient with a memory that ends: after ``horizon_ms`` without a window the history is forgotten, and the next window
+    begins a new episode. State: the last m - 1 flags, the episode's start, its first alarm and last window. A timer clears it once the
+    watermark has passed the horizon; whether it has or not, a window beyond the horizon begins anew, so results don't depend on when timers run."""
+
+    def __init__(self, threshold: float, k: int, m: int, horizon_ms: int):
+        self.threshold, self.k, self.m, self.horizon_ms = threshold, k, m, horizon_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.history = handle.getValueState("history", "flags array<int>, start timestamp, first timestamp, last_ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        past, start, first, last = self.history.get() if self.history.exists() else ([], None, None, None)
+        past, out = list(past), []
+        for r in pd.concat(list(rows)).sort_values("win_start").itertuples():
+            now: datetime = r.win_start.to_pydatetime()
+            if last is None or r.at_ms - last > self.horizon_ms:
+                past, start, first = [], now, None
+            past, last = [*past, int(not math.isnan(r.score) and r.score >= self.threshold)][-self.m :], int(r.at_ms)
+            alarm = sum(past) >= self.k
+            first = now if alarm and first is None else first
+            out.append((key[0], now, None if math.isnan(r.score) else r.score, sum(past), alarm, start, first))
+        self.history.update((past, start, first, last))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(last + self.horizon_ms + 1)
+        yield pd.DataFrame(out, columns=["patient", "win_start", "score", "hits", "alarm", "episode_start", "first_alarm"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.history.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def alarm_episodes(scores: DataFrame, threshold: float, k: int = 2, m: int = 3, horizon_s: float = 7 * 86400) -> DataFrame:
+    """Per scored window of (patient, win_start, score) with a watermark: hits among the patient's last m windows of the episode, the alarm, when the episode
+    began and when the alarm first rose in it. A missing score is no hit. Windows must come in order of time between batches, as closed windows do.
+
+    Needs the RocksDB state store (``state_store``)."""
+    timed = scores.select("patient", "win_start", F.col("score").cast("double").alias("score"), F.unix_millis("win_start").alias("at_ms"))
+    return timed.groupBy("patient").transformWithStateInPandas(Episodes(threshold, k, m, int(horizon_s * 1000)), EPISODE, "append", "EventTime")
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; the session's setting is put back afterwards."""
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def realtime_packets(spark: SparkSession, folder: str, files: str = "*.bin") -> DataFrame:
     """Packets of arriving binary chunks; no state."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     return read_realtime(spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", files).load(folder))
 
 
-def run_available(df: DataFrame, table: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run over all that is there, into an in-memory table; for tests and backfills of moderate size."""
-    q = df.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def into_files(df: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()):
+    """Run an appending stream over all that is there into Parquet files; the ended query. What a batch wrote counts once its commit is in the sink's log,
+    so a run that was cut off is taken up again from the checkpoint and leaves neither gaps nor repeats."""
+    writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    q = (writer.partitionBy(*partition_by) if partition_by else writer).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(table)
+    return q
+
+
+def run_available(df: DataFrame, table: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run over all that is there, into files beside the checkpoint, read back; in complete mode each batch replaces what was there."""
+    path = f"{checkpoint.rstrip('/')}-{table}"
+    if mode == "append":
+        into_files(df, path, checkpoint)
+    else:
+        q = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
