@@ -1,6 +1,6 @@
 """Fold machinery: leave-one-group-out and grouped k-fold; mixtures of experts and their evaluation.
 
-A task reads all rows, as the window tables that experts learn from fit one machine, and fits the folds dealt to it. Statistics that need no model take the
+Logistic experts are fitted from sums (``learn.sums``), for which no row moves. For all other learners a task reads all rows, as the window tables that experts learn from fit one machine, and fits the folds dealt to it. Statistics that need no model take the
 closed form of ``operators.tables.loo_means`` instead, and single large fits go through ``learn.pipelines``.
 """
 
@@ -10,10 +10,14 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pulsegrid.learn import gates as G
+from pulsegrid.learn import sums
 from pulsegrid.learn.models import Boosted, Isotonic, Logistic, make_classifier, rank_auc
 from pulsegrid.operators.tables import fold_values
 from pulsegrid.sources import cache
@@ -21,7 +25,9 @@ from pulsegrid.sources import cache
 
 def group_folds(groups: np.ndarray, y: np.ndarray, k: int = 5, seed: int = 42) -> np.ndarray:
     """Fold of each row: whole groups, heaviest first (equal ones in seeded order), each to the fold that then has the most even class counts."""
-    names, inverse = np.unique(groups, return_inverse=True)
+    inverse, names = pd.factorize(groups, sort=True)
+    if (inverse < 0).any():  # rows of a null group are one more group
+        inverse, names = np.where(inverse < 0, len(names), inverse), [*names, None]
     count = np.stack([np.bincount(inverse, weights=(y == c)) for c in (0, 1)], axis=1)
     tie = np.random.default_rng(seed).permutation(len(names))
     order = sorted(range(len(names)), key=lambda g: (-count[g].sum(), tie[g]))
@@ -39,22 +45,36 @@ def group_folds(groups: np.ndarray, y: np.ndarray, k: int = 5, seed: int = 42) -
 WORKERS = 256
 
 
-def by_fold(df: DataFrame, fold: str, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """run(train, test) for each value of ``fold``; rows without a fold learn in all and are tested in none.
+def frame(table: pa.Table) -> pd.DataFrame:
+    """The table in pandas; whole numbers with nulls stay whole numbers, whatever their size."""
+    out = table.to_pandas()
+    for f in table.schema:
+        if pa.types.is_integer(f.type) and table[f.name].null_count and f.name in ("patient", "win_idx"):
+            out[f.name] = table[f.name].to_pandas(types_mapper={f.type: pd.Int64Dtype()}.get)
+    return out
+
+
+def by_fold(df: DataFrame, fold: str, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, label: str | None = None) -> DataFrame:
+    """run(train, test) for each value of ``fold``; rows without a fold learn in all and are tested in none, rows without a ``label`` learn in none and are tested.
 
-    Folds are dealt to as many tasks as run at a time. Every row goes to each task once, not to each fold, so leaving one of a thousand
+    Folds are numbered in Spark and dealt to as many tasks as run at a time. Every row goes to each task once, not to each fold, so leaving one of a thousand
     groups out moves no more rows than leaving one of ten out. Meant for tables that fit a task; what comes back doesn't depend on the dealing."""
     values = fold_values(df, fold)
+    named = df.sparkSession.createDataFrame(list(enumerate(values)), T.StructType([T.StructField("_fold", T.IntegerType()), T.StructField("_id", df.schema[fold].dataType)]))
+    df = df.join(named, F.col(fold) == F.col("_id"), "left").withColumn("_fold", F.coalesce("_fold", F.lit(-1))).drop("_id")
     n = max(1, min(len(values), df.sparkSession.sparkContext.defaultParallelism, WORKERS))
     x = df.withColumn("_worker", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    target = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = values[int(pdf["_worker"].iloc[0]) :: n]
-        pdf = pdf.drop(columns="_worker").sort_values([c for c in ("patient", "win_idx") if c in pdf]).reset_index(drop=True)
-        out = [run(pdf[~test], pdf[test]) for test in (pdf[fold] == f for f in own)]
-        return pd.concat(out, ignore_index=True) if out else run(pdf.iloc[:0], pdf.iloc[:0])
+    def task(table: pa.Table) -> pa.Table:
+        own = range(len(values))[table["_worker"][0].as_py() :: n]
+        pdf = frame(table.drop_columns("_worker")).sort_values([c for c in ("patient", "win_idx") if c in table.column_names]).reset_index(drop=True)
+        at, learns = pdf.pop("_fold").to_numpy(), pdf[label].notna().to_numpy() if label else np.ones(len(pdf), bool)
+        out = [run(pdf[(at != f) & learns], pdf[at == f].assign(**({fold: values[f]} if fold not in ("patient", "win_idx") else {}))) for f in own]
+        got = pd.concat(out, ignore_index=True) if out else run(pdf.iloc[:0], pdf.iloc[:0])
+        return pa.Table.from_arrays([pa.array(got[f.name], type=f.type, from_pandas=True) for f in target], schema=target)
 
-    return x.groupBy("_worker").applyInPandas(task, schema)
+    return x.groupBy("_worker").applyInArrow(task, schema)
 
 
 def fit_predict(spec, columns: Sequence[str], label: str) -> Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]:
@@ -70,8 +90,17 @@ def fit_predict(spec, columns: Sequence[str], label: str) -> Callable[[pd.DataFr
     return run
 
 
+def logistic_strength(spec) -> float | None:
+    """C of a plain logistic learner, None for any other."""
+    name, params = spec if isinstance(spec, tuple) else (spec, {})
+    return float(params.get("c", 1.0)) if name == "LR" and not set(params) - {"c"} else None
+
+
 def lopo_predictions(df: DataFrame, columns: Sequence[str], label: str, spec="LR", fold: str = "patient") -> DataFrame:
-    """(patient, win_idx, y, p): out-of-fold scores, each window once."""
+    """(patient, win_idx, y, p): out-of-fold scores, each window once. Unlabelled rows learn nothing and are scored."""
+    if (c := logistic_strength(spec)) is not None:
+        need = list(dict.fromkeys(["patient", "win_idx", label, fold, *columns]))
+        return sums.lopo_scores(df.select(*need), {"": columns}, label, fold, c).select("patient", "win_idx", F.col(label).alias("y"), F.col("p_").alias("p"))
     score = fit_predict(spec, columns, label)
 
     def run(tr: pd.DataFrame, te: pd.DataFrame) -> pd.DataFrame:
@@ -79,11 +108,14 @@ def lopo_predictions(df: DataFrame, columns: Sequence[str], label: str, spec="LR
 
     kinds = dict(df.dtypes)
     need = dict.fromkeys(["patient", "win_idx", label, fold, *columns])
-    return by_fold(df.select(*need), fold, run, f"patient {kinds['patient']}, win_idx {kinds['win_idx']}, y {kinds[label]}, p double")
+    return by_fold(df.select(*need), fold, run, f"patient {kinds['patient']}, win_idx {kinds['win_idx']}, y {kinds[label]}, p double", label)
 
 
 def expert_oof(df: DataFrame, experts: dict[str, Sequence[str]], label: str, spec="LR", fold: str = "patient") -> DataFrame:
-    """(patient, win_idx, y, p_<expert>): out-of-fold scores of each expert on its own columns."""
+    """(patient, win_idx, y, p_<expert>): out-of-fold scores of each expert on its own columns. Unlabelled rows learn nothing and are scored."""
+    if (c := logistic_strength(spec)) is not None:
+        need = list(dict.fromkeys(["patient", "win_idx", label, fold, *[x for cs in experts.values() for x in cs]]))
+        return sums.lopo_scores(df.select(*need), experts, label, fold, c).select("patient", "win_idx", F.col(label).alias("y"), *[f"p_{m}" for m in experts])
 
     def run(tr: pd.DataFrame, te: pd.DataFrame) -> pd.DataFrame:
         own = {f"p_{m}": fit_predict(spec, c, label)(tr, te) for m, c in experts.items()}
@@ -91,7 +123,7 @@ def expert_oof(df: DataFrame, experts: dict[str, Sequence[str]], label: str, spe
 
     kinds = dict(df.dtypes)
     need = dict.fromkeys(["patient", "win_idx", label, fold, *[c for cs in experts.values() for c in cs]])
-    return by_fold(df.select(*need), fold, run, f"patient {kinds['patient']}, win_idx {kinds['win_idx']}, y {kinds[label]}, " + ", ".join(f"p_{m} double" for m in experts))
+    return by_fold(df.select(*need), fold, run, f"patient {kinds['patient']}, win_idx {kinds['win_idx']}, y {kinds[label]}, " + ", ".join(f"p_{m} double" for m in experts), label)
 
 
 def precompute_folds(df: DataFrame, experts: dict[str, Sequence[str]], label: str, spec="LR", fold: str = "patient", inner: int = 5, seed: int = 42) -> DataFrame:
@@ -112,7 +144,7 @@ def precompute_folds(df: DataFrame, experts: dict[str, Sequence[str]], label: st
     kinds = dict(df.dtypes)
     need = dict.fromkeys(["patient", "win_idx", label, fold, *[c for cs in experts.values() for c in cs]])
     schema = f"fold {kinds[fold]}, patient {kinds['patient']}, win_idx {kinds['win_idx']}, split string, y {kinds[label]}, " + ", ".join(f"p_{m} double" for m in experts)
-    return by_fold(df.select(*need), fold, lambda a, b: run(a, b)[[c.split()[0] for c in schema.split(", ")]], schema)
+    return by_fold(df.select(*need), fold, lambda a, b: run(a, b)[[c.split()[0] for c in schema.split(", ")]], schema, label)
 
 
 def cached_folds(df: DataFrame, experts: dict[str, Sequence[str]], label: str, folder: str, spec="LR", fold: str = "patient", inner: int = 5, seed: int = 42, force: bool = False) -> DataFrame:
@@ -252,7 +284,7 @@ def evaluate_moe(table: DataFrame, experts: Sequence[str], columns: Sequence[str
     kinds = dict(table.dtypes)
     schema = f"patient {kinds['patient']}, win_idx {kinds['win_idx']}, y {kinds['y']}, p double, call boolean, threshold double, " + ", ".join(f"w_{m} double" for m in experts)
     if cache is None:
-        return by_fold(table.select(*dict.fromkeys(["patient", "win_idx", "y", fold, *p, *[f"e_{m}" for m in experts], *columns])), fold, run, schema)
+        return by_fold(table.select(*dict.fromkeys(["patient", "win_idx", "y", fold, *p, *[f"e_{m}" for m in experts], *columns])), fold, run, schema, "y")
     rest = table.select("patient", "win_idx", *dict.fromkeys([*[f"e_{m}" for m in experts], *columns]))
     joined = cache.join(rest, ["patient", "win_idx"], "left")
 
@@ -310,7 +342,7 @@ def nested_evaluation(df: DataFrame, columns: Sequence[str], label: str, spec="L
     kinds = dict(df.dtypes)
     schema = f"patient {kinds['patient']}, win_idx long, y {kinds[label]}, p double, threshold double, call boolean"
     need = dict.fromkeys(["patient", "win_idx", label, fold, *cols, *([weight] if weight else [])])
-    out = by_fold(df.select(*need), fold, run, schema)
+    out = by_fold(df.select(*need), fold, run, schema, label)
     if mode != "patient_pooled":
         return out
     from pulsegrid.operators.metrics import choose_threshold

@@ -901,7 +901,7 @@ def gt_summary(spark, d):
 def expert_oof(spark, d):
     from pulsegrid.learn.folds import expert_oof as oof
 
-    return rounded(oof(folded(spark, d), {"a": ["p_cecg", "q_cecg"], "b": ["p_ppg", "q_ppg"]}, "y", "LR", "fold"))
+    return rounded(oof(folded(spark, d), {"a": ["p_cecg", "q_cecg"], "b": ["p_ppg", "q_ppg"], "c": ["p_bcg", "q_bcg"]}, "y", "LR", "fold"))
 
 
 @query()
@@ -1184,7 +1184,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from pulsegrid.plans import files, kernels, scheduled  # noqa: F401  these add theirs
+    from pulsegrid.plans import files, kernels, learned, scheduled  # noqa: F401  these add theirs
 
     return QUERIES
 
@@ -1198,5 +1198,5 @@ def oracle_sql() -> dict[str, str]:
 WITHOUT_TWIN = {
     "extract_windows", "reliability_table", "reference_confidence", "reference_rhythm",
     "gating_net_5_folds", "reliability_gate_5_folds", "errpred_fusion_5_folds", "error_gate", "class_gate", "stacked_meta", "moe_from_fold_cache", "unsup_pca_gate", "gmm_gate",
-    "lopo_logreg", "isotonic_fit", "nested_patient_threshold", "bootstrap_ci", "expert_oof", "compare_gates", "tune_expert", "compare_models", "column_ablation", "correctness_probe", "tune_gate", "learned_quality",
+    "isotonic_fit", "nested_patient_threshold", "bootstrap_ci", "compare_gates", "tune_expert", "compare_models", "column_ablation", "correctness_probe", "tune_gate", "learned_quality",
 }

@@ -182,3 +182,67 @@ def test_pipelines(spark):
     mine = M.Logistic(1.0).fit(X, Y).predict(X)
     theirs = S.fit(df, ["f_cecg", "f_ppg", "f_bcg"], "y", "LR").transform(df).orderBy("patient", "win_idx").toPandas()["p"]
     assert np.abs(mine - theirs).max() < 0.02
+
+
+# Fits from sums, and awkward ids and labels
+
+
+def awkward(spark):
+    """Ids beyond doubles, a null patient, missing and infinite values, rows without a label, a patient of one window."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(240):
+        p = [2**53 + 1, 2**53 + 2, 5, 6, None, 7][i % 6] if i else 8
+        a, b = rng.normal(), rng.normal()
+        y = int(a + 0.5 * b + rng.normal() > 0)
+        rows.append((p, 2**60 + i, None if i % 17 == 3 else y, None if i % 11 == 0 else a, float("inf") if i == 20 else b, 1.5))
+    return spark.createDataFrame(rows, "patient long, win_idx long, y int, a double, b double, flat double")
+
+
+@pytest.mark.parametrize("spec", ["LR", ("LR", {"c": 0.05})])
+def test_fits_from_sums_equal_fits_of_frames(spark, monkeypatch, spec):
+    x = awkward(spark)
+    got = {(r.patient, r.win_idx): (r.y, r.p) for r in L.lopo_predictions(x, ["a", "b", "flat"], "y", spec).collect()}
+    monkeypatch.setattr(L, "logistic_strength", lambda _: None)
+    want = {(r.patient, r.win_idx): (r.y, r.p) for r in L.lopo_predictions(x, ["a", "b", "flat"], "y", spec).collect()}
+    keys = {(r.patient, r.win_idx) for r in x.where("patient IS NOT NULL").collect()}
+    assert got.keys() == want.keys() == keys
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in keys)
+    assert any(v[0] is None for v in got.values()) and all(v[1] is not None for v in got.values())
+
+
+def test_fits_from_sums_of_several_models_at_once(spark):
+    x = awkward(spark)
+    both = {(r.patient, r.win_idx): (r.p_m, r.p_n) for r in L.expert_oof(x, {"m": ["a"], "n": ["b", "a"]}, "y").collect()}
+    for i, cols in enumerate((["a"], ["b", "a"])):
+        alone = {(r.patient, r.win_idx): r.p for r in L.lopo_predictions(x, cols, "y").collect()}
+        assert all(abs(both[k][i] - v) < 1e-9 for k, v in alone.items()) and alone.keys() == both.keys()
+
+
+def test_fits_from_sums_with_one_class_or_no_rows(spark):
+    x = spark.createDataFrame([("a", 1, 1, 0.1), ("a", 2, 1, 0.3), ("b", 3, 1, 0.2), ("c", 4, 0, 0.9), ("c", 5, None, 0.4)], "patient string, win_idx int, y int, v double")
+    got = {r.win_idx: r.p for r in L.lopo_predictions(x, ["v"], "y").collect()}
+    assert got[4] == got[5] == 1.0 and 0 < got[1] < 1 and len(got) == 5
+    assert L.lopo_predictions(x.where("y > 5"), ["v"], "y").collect() == []
+    alone = L.lopo_predictions(x.where("patient = 'a'"), ["v"], "y").collect()
+    assert [r.p for r in alone] == [0.5, 0.5]
+
+
+def test_fits_from_sums_move_no_row_to_a_fold(spark):
+    """The fit's pass has one exchange, of sums, and no row is spread over folds."""
+    from pulsegrid.learn import sums
+
+    x, values = sums.numbered(awkward(spark), ["a", "b"], "y", "patient")
+    s = sums.statistics(x, ["a", "b"], values)
+    run = sums.logistic_sums([([0, 1], s, np.zeros((len(values), 3)))], True)
+    got = sums.passed(x.where("_y IS NOT NULL").repartition(7), ["a", "b"], len(values), run)
+    pdf = x.where("_y IS NOT NULL").toPandas()
+    want = run(pdf[["a", "b"]].to_numpy(float), pdf["_y"].to_numpy(float), pdf["_fold"].to_numpy())
+    assert np.allclose(got, want, atol=1e-9) and got.shape == (len(values), 3 + 6)
+
+
+def test_other_learners_score_unlabelled_rows_and_keep_ids(spark):
+    x = awkward(spark).na.fill(0.0, ["a"])
+    got = L.lopo_predictions(x, ["a", "b"], "y", ("GB", {"rounds": 3})).collect()
+    assert {(r.patient, r.win_idx) for r in got} == {(r.patient, r.win_idx) for r in x.where("patient IS NOT NULL").collect()}
+    assert all(r.p is not None and not np.isnan(r.p) for r in got)
