@@ -18,13 +18,23 @@ def zero_null(x: Column) -> Column:
     return F.nullif(x, F.lit(0.0))
 
 
+def joined(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner", equal: Sequence[str] = ()) -> DataFrame:
+    """``a`` with ``b``'s other columns, joined on ``keys``, of which null is a value like any other, and on the columns ``equal``, of which it isn't."""
+    on, renamed = F.lit(True), {k: f"_b_{k}" for k in (*keys, *equal)}
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(renamed[k]))
+    for k in equal:
+        on = on & (F.col(k) == F.col(renamed[k]))
+    return a.join(b.withColumnsRenamed(renamed), on, how).drop(*renamed.values())
+
+
 def with_bins(df: DataFrame, keys: Sequence[str], order: str, bins: int = BINS) -> DataFrame:
     """``df`` with _bin: how many of ``bins`` - 1 approximate quantiles of ``order`` (of each key) lie under the row's value. Only the balance of
     the bins depends on how good these are. A row looks at the coarse ones first."""
     step = max(2, round(bins**0.5))
     cut = df.groupBy(*keys).agg(F.percentile_approx(order, [i / bins for i in range(1, bins)], 1000).alias("_cuts"))
     cut = cut.withColumn("_coarse", F.filter("_cuts", lambda _, i: i % step == step - 1))
-    x = df.join(cut, list(keys)) if keys else df.crossJoin(F.broadcast(cut))  # one row
+    x = joined(df, cut, keys) if keys else df.crossJoin(F.broadcast(cut))  # one row
     x = x.withColumn("_at", F.size(F.filter("_coarse", lambda c: c < F.col(order))) * step)
     fine = F.size(F.filter(F.slice("_cuts", F.col("_at") + 1, F.lit(step)), lambda c: c < F.col(order)))
     return x.withColumn("_bin", F.col("_at") + fine).drop("_cuts", "_coarse", "_at")
@@ -41,7 +51,7 @@ def running(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[st
     before = before.orderBy(direct("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*keys, "_bin", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in columns])
     inside = Window.partitionBy(*keys, "_bin").orderBy(direct(order)).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.join(per, [*keys, "_bin"])
+    x = joined(x, per, keys, equal=["_bin"])
     return x.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_{c}") for c in columns}).drop("_bin", *[f"_{c}" for c in columns])
 
 
@@ -63,7 +73,7 @@ def roc(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> Data
     r = running(by_score(df, score, label, keys), keys, "score", ["pos", "neg"], descending=True)
     total = r.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     r = r.select(*keys, F.col("score").alias("threshold"), (F.col("pos_before") + F.col("pos")).alias("tp"), (F.col("neg_before") + F.col("neg")).alias("fp"))
-    return r.join(total, list(keys)) if keys else r.crossJoin(F.broadcast(total))  # total is one row
+    return joined(r, total, keys) if keys else r.crossJoin(F.broadcast(total))  # total is one row
 
 
 def choose_threshold(df: DataFrame, score: str, label: str, min_spec: float = 0.8, keys: Sequence[str] = ()) -> DataFrame:
@@ -112,7 +122,7 @@ def quantiles(df: DataFrame, column: str, qs: Sequence[float], keys: Sequence[st
     d = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("v")).agg(F.count("*").alias("n"))
     total = d.groupBy(*keys).agg(F.sum("n").alias("total"))
     r = running(d, keys, "v", ["n"])
-    r = r.join(total, list(keys)) if keys else r.crossJoin(F.broadcast(total))  # one row
+    r = joined(r, total, keys) if keys else r.crossJoin(F.broadcast(total))  # one row
     at = r.select(*keys, "v", "n_before", "n", "total", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")).withColumn("at", F.col("q") * (F.col("total") - 1))
     lo, hi = F.floor("at"), F.ceil("at")
     inside = lambda k: (k >= F.col("n_before")) & (k < F.col("n_before") + F.col("n"))
@@ -130,11 +140,11 @@ def cuts(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
 
 
 def midranks(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """``df`` with rk_<c>: midranks inside the keys. Distinct values are ranked by ``running`` and joined back, so one key may hold the whole table."""
+    """``df`` with rk_<c>: midranks inside the keys, null for a missing value. Distinct values are ranked by ``running`` and joined back, so one key may hold the whole table."""
     for c in columns:
-        d = df.groupBy(*keys, c).agg(F.count("*").alias("_n"))
+        d = df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("_n"))
         r = running(d, keys, c, ["_n"]).select(*keys, c, (F.col("_n_before") + (F.col("_n") + 1) / 2.0).alias(f"rk_{c}"))
-        df = df.join(r, [*keys, c])
+        df = joined(df, r, keys, "left", [c])
     return df
 
 

@@ -1093,8 +1093,27 @@ def lopo_logreg(spark, d):
     return rounded(lopo_predictions(folded(spark, d), list(QUAL), "y", "LR", "fold"))
 
 
-@query()
+ISOTONIC_SQL = f"""WITH {X_SQL}, x AS (SELECT patient, win_idx, y, patient % 5 AS fold, floor(p_cecg * 1000) / 1000e0 AS s FROM ex),
+    d AS (SELECT g, s, count(*) AS n, sum(y) AS k FROM x, (SELECT DISTINCT fold AS g FROM x) WHERE fold <> g GROUP BY ALL),
+    c AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(k) OVER w AS ck FROM d WINDOW w AS (PARTITION BY g ORDER BY s)),
+    low AS (SELECT a.g, b.i, b.s, min((b.ck - a.ck + a.k) / CAST(b.cn - a.cn + a.n AS DOUBLE)) OVER (PARTITION BY a.g, a.i ORDER BY b.i DESC) AS v FROM c a JOIN c b ON a.g = b.g AND b.i >= a.i),
+    fit AS (SELECT g, s, max(v) AS v FROM low GROUP BY g, s),
+    r AS (SELECT x.*, a.s AS s0, a.v AS v0 FROM x ASOF LEFT JOIN fit a ON a.g = x.fold AND x.s >= a.s),
+    q AS (SELECT r.*, b.s AS s1, b.v AS v1 FROM r ASOF LEFT JOIN fit b ON b.g = r.fold AND r.s <= b.s)
+    SELECT patient, win_idx, y, round(CASE WHEN s0 IS NULL THEN v1 WHEN s1 IS NULL OR s1 = s0 THEN v0 ELSE v0 + (v1 - v0) * (s - s0) / (s1 - s0) END, 6) AS p FROM q"""
+
+
+@query(ISOTONIC_SQL)
 def isotonic_fit(spark, d):
+    """One expert's scores, calibrated for each fifth of the patients by the isotonic regression of all others; twin by its max-min formula."""
+    from pulsegrid.operators.isotonic import calibrated_apart
+
+    x = experts(spark, d).select("patient", "win_idx", "y", (F.col("patient") % 5).alias("fold"), (F.floor(F.col("p_cecg") * 1000) / 1000).alias("s"))
+    return rounded(calibrated_apart(x, "s", "y", "fold", "p").drop("fold", "s"))
+
+
+@query()
+def calibrated_logreg(spark, d):
     from pulsegrid.learn.folds import lopo_predictions
 
     return rounded(lopo_predictions(folded(spark, d), ["p_cecg"], "y", "LR+cal", "fold"))
@@ -1198,5 +1217,5 @@ def oracle_sql() -> dict[str, str]:
 WITHOUT_TWIN = {
     "extract_windows", "reliability_table", "reference_confidence", "reference_rhythm",
     "gating_net_5_folds", "reliability_gate_5_folds", "errpred_fusion_5_folds", "error_gate", "class_gate", "stacked_meta", "moe_from_fold_cache", "unsup_pca_gate", "gmm_gate",
-    "isotonic_fit", "nested_patient_threshold", "bootstrap_ci", "compare_gates", "tune_expert", "compare_models", "column_ablation", "correctness_probe", "tune_gate", "learned_quality",
+    "calibrated_logreg", "nested_patient_threshold", "bootstrap_ci", "compare_gates", "tune_expert", "compare_models", "column_ablation", "correctness_probe", "tune_gate", "learned_quality",
 }

@@ -154,3 +154,50 @@ def test_own_detector(spark):
     assert E.told(cfg)["sources"] == {"cecg": f"{__name__}.every_second", "ppg1": "prominence"}
     with pytest.raises(ValueError, match="unknown source"):
         E.ExtractConfig(sources={"cecg": "nope"}).checked()
+
+
+def test_ranks_of_null_keys_and_null_values(spark):
+    rows = [(g, None if i == 7 else float(i % 5), int(i % 3 == 0)) for g in ("a", None) for i in range(20)]
+    df = spark.createDataFrame(rows, "g string, v double, y int")
+    pdf = pd.DataFrame(rows[:20], columns=["g", "v", "y"]).dropna()
+    auc = {r.g: r.auc for r in M.auc(df, "v", "y", ["g"]).collect()}
+    rank = pdf["v"].rank()
+    n1, n0 = (pdf["y"] == 1).sum(), (pdf["y"] != 1).sum()
+    assert auc == {g: pytest.approx((rank[pdf["y"] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)) for g in ("a", None)}
+    assert {(r.g, r.q): r.value for r in M.quantiles(df, "v", [0.25, 0.9], ["g"]).collect()} == {(g, q): pytest.approx(pdf["v"].quantile(q)) for g in ("a", None) for q in (0.25, 0.9)}
+    got = M.midranks(df, ["v"], ["g"]).collect()
+    assert len(got) == 40 and sorted(r.rk_v for r in got if r.g is None and r.v is not None) == sorted(rank) and [r.rk_v for r in got if r.v is None] == [None, None]
+    assert len(M.roc(df, "v", "y", ["g"]).where("g IS NULL").collect()) == 5 and M.choose_threshold(df, "v", "y", 0.5, ["g"]).count() == 2
+
+
+@pytest.mark.parametrize("name", SHAPES)
+def test_isotonic_regression_of_any_distribution(spark, name):
+    from pulsegrid.learn.models import Isotonic
+    from pulsegrid.operators import isotonic as I
+
+    v = SHAPES[name]
+    y = (RNG.random(len(v)) < 0.3 + 0.4 * (pd.Series(v).rank(pct=True).to_numpy())).astype(int)
+    rows = [(i, k, float(a), int(b)) for k in ("a", None) for i, (a, b) in enumerate(zip(v, y, strict=True))]
+    df = spark.createDataFrame([*rows, (-1, "a", None, 1), (-2, "a", float(v[0]), None), (-3, "b", 1.0, None)], "i int, k string, v double, y int").repartition(5)
+    steps = I.isotonic(df, "v", "y", ["k"])
+    want = Isotonic().fit(v, y.astype(float))
+    got = {(r.k, r.i): r.p for r in I.calibrated(df, "v", steps, ["k"], "p").collect()}
+    assert len(got) == len(rows) + 3 and got["a", -1] is None and got["b", -3] is None and got["a", -2] is not None
+    fit = want.predict(v)
+    assert all(np.isclose(got[k, i], fit[i], atol=1e-9) for k in ("a", None) for i in range(len(v)))
+    values = [r.value for r in steps.where("k IS NULL").orderBy("low").collect()]
+    assert all(a < b for a, b in zip(values, values[1:], strict=False))
+
+
+def test_isotonic_regression_between_and_outside_the_stretches(spark):
+    from pulsegrid.learn.models import Isotonic
+    from pulsegrid.operators import isotonic as I
+
+    v, y = np.array([1.0, 2, 3, 4, 5, 6]), np.array([0, 1, 0, 1, 0, 1])
+    learn = spark.createDataFrame(list(zip(v.tolist(), y.tolist(), strict=True)), "v double, y int")
+    ask = np.array([0.0, 1.0, 1.5, 2.5, 3.5, 5.9, 7.0, 7.0])
+    got = sorted((r.v, r.calibrated) for r in I.calibrated(spark.createDataFrame([(float(a),) for a in ask], "v double"), "v", I.isotonic(learn, "v", "y")).collect())
+    assert np.allclose([b for _, b in got], Isotonic().fit(v, y.astype(float)).predict(ask))
+    apart = spark.createDataFrame([(1, 0.1, 0), (1, 0.9, 1), (2, 0.2, 1), (2, 0.8, 0), (None, 0.5, 1)], "f int, v double, y int")
+    rows = {(r.f, r.v): r.calibrated for r in I.calibrated_apart(apart, "v", "y", "f").collect()}
+    assert len(rows) == 5 and rows[None, 0.5] is None and rows[1, 0.1] == pytest.approx(2 / 3) and rows[2, 0.2] == pytest.approx(1 / 4)
