@@ -3,11 +3,11 @@
 A window is ``width`` consecutive words of an item (an item of fewer words is one window). Its tokens are its shingles, in the order of
 their rarity among the documents. A text that holds at least a share ``containment`` of a window's m shingles at their places holds one of the
 m - ceil(containment m) + 1 rarest: only these necessary prefix tokens are joined. A posting at word p whose shingle stands at word j of an item
-lies on the diagonal p - j; lengths and places bound which windows of the item can lie there. What is left is verified word by word,
-over windows as long as the item's.
+lies on the diagonal p - j; lengths and places bound which windows of the item can lie there. What is left is verified: all shingles of the
+window, each at its place, overlap in all its words.
 
-Only shingles of the benchmark leave the texts, so what is shuffled grows with what the two share; a text goes by the hash of its letters, which
-names candidates only: each row's own words decide.
+No text is shuffled: what leaves it are postings of shingles that the benchmark has, so the work after the scan grows with what the two
+share. Texts and shingles go by hashes of 128 bits; equal texts are one.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pulsegrid.llm.common import fresh, quoted, with_results, written
 WIDTH, SHINGLE, CONTAINMENT = 10, 5, 1.0
 #: What stands between words: all of ASCII but digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word of a text whose letters aren't lower-cased yet.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -30,10 +32,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, BETWEEN), "")
 
 
+def n_words(text: Column) -> Column:
+    """How many words a text has; capitals count as letters here, so nothing is rewritten."""
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0))
+
+
 def shingles(w: Column, k: int) -> Column:
-    """A hash of each k consecutive words, in order."""
-    at = F.sequence(F.lit(0), F.size(w) - k)
-    return F.when(F.size(w) >= k, F.transform(at, lambda i: F.xxhash64(F.lit(k), *[F.get(w, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
+    """array<struct<gram, proof>>: two hashes of each k consecutive words, in order."""
+
+    def hashed(i: Column) -> Column:
+        run = [F.get(w, i + j) for j in range(k)]
+        return F.struct(F.xxhash64(F.lit(k), *run).alias("gram"), F.xxhash64(*run, F.lit(k)).alias("proof"))
+
+    none = F.array().cast("array<struct<gram:bigint,proof:bigint>>")
+    return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), hashed)).otherwise(none)
 
 
 def once(c: Column, use) -> Column:
@@ -42,65 +54,69 @@ def once(c: Column, use) -> Column:
 
 
 def item_classes(benchmark: DataFrame, width: int, shingle: int) -> DataFrame:
-    """One row for each distinct sequence of words: cls, words, items (the distinct non-null item_ids, ascending), wide (words of a window), k (words of a shingle)."""
+    """One row for each distinct sequence of words: cls, words, n, items (the distinct non-null item_ids), wide (words of a window), k (words of a shingle)."""
     w = benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    n = F.least(F.lit(width), F.size("words"))
     by = w.withColumn("cls", F.sha2(F.array_join("words", " "), 256)).groupBy("cls")
-    return by.agg(F.first("words").alias("words"), F.array_sort(F.collect_set("item_id")).alias("items")).withColumns({"wide": n, "k": F.least(F.lit(shingle), n)})
+    out = by.agg(F.first("words").alias("words"), F.collect_set("item_id").alias("items")).withColumn("n", F.size("words"))
+    return out.withColumn("wide", F.least(F.lit(width), "n")).withColumn("k", F.least(F.lit(shingle), "wide"))
+
+
+def item_shingles(classes: DataFrame, widths: list[int]) -> DataFrame:
+    """cls, n, wide, m (shingles of a window), j, gram, proof: each shingle of each item class, which begins at word j."""
+    of = F.array().cast("array<struct<gram:bigint,proof:bigint>>")
+    for k in widths:
+        of = F.when(F.col("k") == k, shingles(F.col("words"), k)).otherwise(of)
+    each = classes.select("cls", "n", "wide", (F.col("wide") - F.col("k") + 1).alias("m"), F.posexplode(of).alias("j", "of"))
+    return each.select("cls", "n", "wide", "m", "j", "of.gram", "of.proof")
+
 
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("string")))
 
-def postings(docs: DataFrame, grams: DataFrame, widths: list[int]) -> DataFrame:
-    """(key, n_words, pos, gram): where a distinct text has a shingle of ``grams``."""
-    of = once(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), F.array(*[shingles(w, k) for k in widths]).alias("grams")))
-    spread = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("key"), of.alias("of")).select("key", "of.n_words", F.explode("of.grams").alias("grams"))
-    return spread.select("key", "n_words", F.posexplode("grams").alias("pos", "gram")).join(grams, "gram").distinct()
 
+def postings(docs: DataFrame, known: DataFrame, widths: list[int]) -> DataFrame:
+    """(key, n_words, pos, gram, proof): where a distinct text has a shingle of ``known``."""
+    of = once(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), F.array(*[shingles(w, k) for k in widths]).alias("runs")))
+    spread = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), of.alias("of")).select("key", "of.n_words", F.explode("of.runs").alias("run"))
+    at = spread.select("key", "n_words", F.posexplode("run").alias("pos", "of")).select("key", "n_words", "pos", "of.gram", "of.proof")
+    return at.join(known, ["gram", "proof"]).select("key", "n_words", "pos", "gram", "proof").distinct()
 
-def prefixes(classes: DataFrame, found: DataFrame, containment: float) -> DataFrame:
-    """(gram, cls, wide, j, low, high): the necessary shingles of each window that any text holds, at word j of their item, for the windows from low to high."""
-    each = classes.select("cls", "wide", "k", F.size("words").alias("n"), F.posexplode(grams_of("words", "k")).alias("j", "gram"))
-    rare = found.groupBy("gram").agg(F.count("*").alias("times"))
-    m = F.col("wide") - F.col("k") + 1
-    starts = F.sequence(F.greatest(F.lit(0), F.col("j") - m + 1), F.least("j", F.col("n") - F.col("wide")))
-    ranked = each.join(rare, "gram", "left").withColumns({"times": F.coalesce("times", F.lit(0)), "s": F.explode(starts)})
-    order = F.row_number().over(Window.partitionBy("cls", "s").orderBy("times", "gram", "j"))
-    kept = ranked.withColumn("r", order).where((F.col("r") <= m - F.ceil(m * F.lit(containment)) + 1) & (F.col("times") > 0))
-    return kept.groupBy("gram", "cls", "wide", "j").agg(F.min("s").alias("low"), F.max("s").alias("high"))
 
+def starts(low: Column, high: Column) -> Column:
+    return F.explode(F.when(low <= high, F.sequence(low, high)))
 
-def grams_of(w: str, k: str) -> Column:
-    """The shingles of an item, whose shingle has as many words as its column ``k`` says."""
-    out = F.array().cast("array<bigint>")
-    for size in range(SHINGLE, 0, -1):
-        out = F.when(F.col(k) == size, shingles(F.col(w), size)).otherwise(out)
-    return out
 
+def prefixes(each: DataFrame, found: DataFrame, containment: float) -> DataFrame:
+    """The necessary shingles of each window that any text holds: (gram, proof, cls, n, wide, m, j) and s, the window's start in the item."""
+    rare = found.groupBy("gram", "proof").agg(F.count("*").alias("times"))
+    ranked = each.join(rare, ["gram", "proof"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    ranked = ranked.withColumn("s", starts(F.greatest(F.lit(0), F.col("j") - F.col("m") + 1), F.least("j", F.col("n") - F.col("wide"))))
+    order = F.row_number().over(Window.partitionBy("cls", "s").orderBy("times", "gram", "proof", "j"))
+    return ranked.withColumn("r", order).where((F.col("r") <= F.col("m") - F.ceil(F.col("m") * F.lit(containment)) + 1) & (F.col("times") > 0)).drop("r", "times")
 
-def candidates(found: DataFrame, prefix: DataFrame, classes: DataFrame) -> DataFrame:
-    """key and ``near``: an array of (words, items, wide, k, diagonals), one for each item class some window of which may lie in the text."""
-    at = F.col("pos") - F.col("j")
-    fits = F.greatest("low", -at) <= F.least("high", F.col("n_words") - F.col("wide") - at)
-    lines = found.join(prefix, "gram").where(fits).select("key", "cls", at.alias("at")).distinct()
-    each = lines.groupBy("key", "cls").agg(F.collect_list("at").alias("diagonals")).join(classes, "cls")
-    return each.groupBy("key").agg(F.collect_list(F.struct("words", "items", "wide", "k", "diagonals")).alias("near"))
 
+def occurrences(found: DataFrame, each: DataFrame, containment: float) -> DataFrame:
+    """(key, cls, first, last): the windows that texts hold, by their first and last word in the text."""
+    d = F.col("pos") - F.col("j")
+    near = found.join(prefixes(each, found, containment), ["gram", "proof"]).withColumn("d", d)
+    near = near.where((F.col("d") + F.col("s") >= 0) & (F.col("d") + F.col("s") + F.col("wide") <= F.col("n_words"))).select("key", "cls", "d", "s").distinct()
+    # each candidate's shingles at their places in the text
+    wanted = near.join(each, "cls").where((F.col("j") >= F.col("s")) & (F.col("j") < F.col("s") + F.col("m")))
+    wanted = wanted.select("key", "cls", "d", "s", "wide", "m", (F.col("d") + F.col("j")).alias("pos"), "gram", "proof")
+    held = wanted.join(found.drop("n_words"), ["key", "pos", "gram", "proof"]).groupBy("key", "cls", "d", "s", "wide", "m").count()
+    whole = held.where(F.col("count") >= F.ceil(F.col("m") * F.lit(containment)))
+    first = F.col("d") + F.col("s")
+    return whole.select("key", "cls", first.alias("first"), (first + F.col("wide") - 1).alias("last")).distinct()
 
-def occurrences(w: Column, c: Column, containment: float) -> Column:
-    """array<struct<first, last>>: the windows of the candidate item ``c`` that the words ``w`` hold."""
 
-    def holds(d: Column, s: Column) -> Column:
-        if containment >= 1:
-            return F.slice(w, d + s + 1, c["wide"]) == F.slice(c["words"], s + 1, c["wide"])
-        m = c["wide"] - c["k"] + 1
-        same = F.filter(F.sequence(F.lit(0), m - 1), lambda j: F.slice(w, d + s + j + 1, c["k"]) == F.slice(c["words"], s + j + 1, c["k"]))
-        return F.size(same) >= F.ceil(m * F.lit(containment))
+def covered(windows: Column) -> Column:
+    """How many words lie in any of the ascending windows."""
 
-    def along(d: Column) -> Column:
-        low, high = F.greatest(F.lit(0), -d), F.least(F.size(c["words"]) - c["wide"], F.size(w) - c["wide"] - d)
-        starts = F.when(low <= high, F.filter(F.sequence(low, high), lambda s: holds(d, s))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda s: F.struct((d + s).alias("first"), (d + s + c["wide"] - 1).alias("last")))
+    def step(a: Column, x: Column) -> Column:
+        new = x["last"] - F.greatest(x["first"] - 1, a["end"])
+        return F.struct((a["n"] + F.greatest(F.lit(0), new)).alias("n"), F.greatest(a["end"], x["last"]).alias("end"))
 
-    return F.flatten(F.transform(c["diagonals"], along))
+    return F.aggregate(windows, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end")), step)["n"]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
@@ -109,42 +125,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shi
 
     ``benchmark``: item_id, text. A null text has no words, no hits and null items no windows; an item without a word has no window; items of equal words share
     their windows. A null item_id marks words, and is in no list. Repeated rows of ``docs`` have equal results, and repeated items count once.
-    An empty benchmark hits nothing, an empty table of documents gives an empty one. ``shingle`` is 1 to 5. ``containment`` below 1 also takes windows of
+    An empty benchmark hits nothing, an empty table of documents gives an empty one. ``containment`` below 1 also takes windows of
     which so large a share of shingles stands at its places.
     """
-    if not (1 <= shingle <= min(SHINGLE, width) and 0 < containment <= 1):
-        raise ValueError("a shingle has 1 to 5 words, no more than a window; containment is over 0 and at most 1")
+    if not (1 <= shingle <= width and 0 < containment <= 1):
+        raise ValueError("a shingle has no more words than a window; containment is over 0 and at most 1")
     classes = written(item_classes(benchmark, width, shingle), "items")
-    ids = classes.schema["items"].dataType.simpleString()
-    widths = sorted(r[0] for r in classes.select("k").distinct().collect())  # five at most
-    key, near, told = fresh(docs, "key"), fresh(docs, "near"), fresh(docs, "told")
-    if widths:
-        grams = written(classes.select(F.explode(grams_of("words", "k")).alias("gram")).distinct(), "grams")
-        found = written(postings(docs, grams, widths), "postings")
-        close = written(candidates(found, prefixes(classes, found, containment), classes), "candidates")
-        keyed = docs.withColumn(key, F.xxhash64("text")).join(close.select(F.col("key").alias(key), F.col("near").alias(near)), key, "left")
-    else:
-        keyed = docs.withColumn(near, F.lit(None).cast(f"array<struct<words:array<string>,items:{ids},wide:int,k:int,diagonals:array<int>>>"))
-
-    def covered(windows: Column) -> Column:
-        start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end"))
-
-        def step(a: Column, x: Column) -> Column:
-            new = x["last"] - F.greatest(x["first"] - 1, a["end"])
-            return F.struct((a["n"] + F.greatest(F.lit(0), new)).alias("n"), F.greatest(a["end"], x["last"]).alias("end"))
-
-        return F.aggregate(windows, start, step)["n"]
-
-    def result(w: Column) -> Column:
-        each = F.transform(F.col(near), lambda c: F.struct(occurrences(w, c, containment).alias("windows"), c["items"].alias("items")))
-        return once(F.filter(each, lambda h: F.size(h["windows"]) > 0), lambda hit: summed(F.size(w), hit))
-
-    def summed(n_words: Column, hit: Column) -> Column:
-        windows = F.coalesce(F.flatten(F.transform(hit, lambda h: h["windows"])), F.array().cast("array<struct<first:int,last:int>>"))
-        items = F.coalesce(F.flatten(F.transform(hit, lambda h: h["items"])), F.array().cast(ids))
-        said = F.array_sort(F.array_distinct(items)).alias("items")
-        return once(F.array_sort(F.array_distinct(windows)), lambda ws: F.struct(n_words.alias("n_words"), covered(ws).alias("n_hit"), ws.alias("windows"), said))
-
-    kept = [F.col(quoted(c)) for c in docs.columns]
-    out = keyed.select(*kept, once(words(F.col("text")), result).alias(told))
-    return with_results(out, F.col(told), ["n_words", "n_hit", "windows", "items"]).drop(told)
+    widths = sorted(r[0] for r in classes.select("k").distinct().collect())  # as many as a shingle has words, at most
+    each = written(item_shingles(classes, widths), "shingles")
+    known = written(each.select("gram", "proof").distinct(), "known")
+    found = written(postings(docs, known, widths or [shingle]), "postings")
+    seen = written(occurrences(found, each, containment), "occurrences")
+    spans = seen.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("windows"))
+    named = seen.select("key", "cls").distinct().join(classes.select("cls", F.explode("items").alias("item")), "cls")
+    told = spans.join(named.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items")), "key", "left")
+    told = written(told.select("key", covered(F.col("windows")).alias("n_hit"), "windows", "items"), "told")
+
+    key, n, hit, windows, items = (fresh(docs, x) for x in ("key", "n", "hit", "windows", "items"))
+    renamed = told.select(F.col("key").alias(key), F.col("n_hit").alias(hit), F.col("windows").alias(windows), F.col("items").alias(items))
+    out = docs.withColumn(key, text_key(F.col("text"))).withColumn(n, n_words(F.col("text"))).join(renamed, key, "left")
+    nothing = {c: F.array().cast(told.schema[k].dataType) for c, k in ((windows, "windows"), (items, "items"))}
+    result = F.struct(F.col(n).alias("n_words"), F.coalesce(hit, F.lit(0)).alias("n_hit"), *[F.coalesce(c, x).alias(k) for (c, x), k in zip(nothing.items(), ("windows", "items"), strict=True)])
+    at = fresh(docs, "told")
+    kept = out.select(*[F.col(quoted(c)) for c in docs.columns], result.alias(at))
+    return with_results(kept, F.col(at), ["n_words", "n_hit", "windows", "items"]).drop(at)

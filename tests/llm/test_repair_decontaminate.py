@@ -222,7 +222,7 @@ def test_decontamination_without_items_or_documents_and_clashes(spark):
     assert [(r.doc_id, r.n_hit, r["items"]) for r in D.decontaminate(docs, one).orderBy("doc_id").collect()] == [(None, 0, []), (1, 1, [4])]
     assert D.decontaminate(docs.limit(0), one).collect() == []
     with pytest.raises(ValueError, match="shingle"):
-        D.decontaminate(docs, one, shingle=6)
+        D.decontaminate(docs, one, shingle=11)
 
 
 def test_the_whole_decontamination_query(spark):
