@@ -22,8 +22,6 @@ from pulsegrid.llm.common import fresh, quoted, with_results, written
 WIDTH, SHINGLE, CONTAINMENT = 10, 5, 1.0
 #: What stands between words: all of ASCII but digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word of a text whose letters aren't lower-cased yet.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -32,11 +30,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, BETWEEN), "")
 
 
-def n_words(text: Column) -> Column:
-    """How many words a text has; capitals count as letters here, so nothing is rewritten."""
-    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0))
-
-
 def shingles(w: Column, k: int) -> Column:
     """array<struct<gram, proof>>: two hashes of each k consecutive words, in order."""
 
@@ -74,9 +67,15 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("string")))
 
 
+#: A posting that every text has, so that its number of words is known wherever its postings are.
+EVERY = 0
+
+
 def postings(docs: DataFrame, known: DataFrame, widths: list[int]) -> DataFrame:
-    """(key, n_words, pos, gram, proof): where a distinct text has a shingle of ``known``."""
-    of = once(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), F.array(*[shingles(w, k) for k in widths]).alias("runs")))
+    """(key, n_words, pos, gram, proof): where a distinct text has a shingle of ``known``, and one row of EVERY for each text."""
+    every = F.array(F.struct(F.lit(EVERY).cast("long").alias("gram"), F.lit(EVERY).cast("long").alias("proof")))
+    of = once(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), F.array(every, *[shingles(w, k) for k in widths]).alias("runs")))
+    known = known.unionByName(known.sparkSession.range(1).select(F.lit(EVERY).cast("long").alias("gram"), F.lit(EVERY).cast("long").alias("proof")))
     spread = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), of.alias("of")).select("key", "of.n_words", F.explode("of.runs").alias("run"))
     at = spread.select("key", "n_words", F.posexplode("run").alias("pos", "of")).select("key", "n_words", "pos", "of.gram", "of.proof")
     return at.join(known, ["gram", "proof"]).select("key", "n_words", "pos", "gram", "proof").distinct()
@@ -134,18 +133,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shi
     widths = sorted(r[0] for r in classes.select("k").distinct().collect())  # as many as a shingle has words, at most
     each = written(item_shingles(classes, widths), "shingles")
     known = written(each.select("gram", "proof").distinct(), "known")
-    found = written(postings(docs, known, widths or [shingle]), "postings")
-    seen = written(occurrences(found, each, containment), "occurrences")
+    held = written(postings(docs, known, widths), "postings")
+    marks = (F.col("gram") == EVERY) & (F.col("proof") == EVERY)
+    seen = written(occurrences(held.where(~marks), each, containment), "occurrences")
     spans = seen.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("windows"))
     named = seen.select("key", "cls").distinct().join(classes.select("cls", F.explode("items").alias("item")), "cls")
     told = spans.join(named.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items")), "key", "left")
-    told = written(told.select("key", covered(F.col("windows")).alias("n_hit"), "windows", "items"), "told")
+    told = told.select("key", covered(F.col("windows")).alias("n_hit"), "windows", "items")
+    told = written(held.where(marks).select("key", "n_words").join(told, "key", "left"), "told")
 
     key, n, hit, windows, items = (fresh(docs, x) for x in ("key", "n", "hit", "windows", "items"))
-    renamed = told.select(F.col("key").alias(key), F.col("n_hit").alias(hit), F.col("windows").alias(windows), F.col("items").alias(items))
-    out = docs.withColumn(key, text_key(F.col("text"))).withColumn(n, n_words(F.col("text"))).join(renamed, key, "left")
+    renamed = told.select(F.col("key").alias(key), F.col("n_words").alias(n), F.col("n_hit").alias(hit), F.col("windows").alias(windows), F.col("items").alias(items))
+    out = docs.withColumn(key, text_key(F.col("text"))).join(renamed, key, "left")
     nothing = {c: F.array().cast(told.schema[k].dataType) for c, k in ((windows, "windows"), (items, "items"))}
-    result = F.struct(F.col(n).alias("n_words"), F.coalesce(hit, F.lit(0)).alias("n_hit"), *[F.coalesce(c, x).alias(k) for (c, x), k in zip(nothing.items(), ("windows", "items"), strict=True)])
+    result = F.struct(F.coalesce(n, F.lit(0)).alias("n_words"), F.coalesce(hit, F.lit(0)).alias("n_hit"), *[F.coalesce(c, x).alias(k) for (c, x), k in zip(nothing.items(), ("windows", "items"), strict=True)])
     at = fresh(docs, "told")
     kept = out.select(*[F.col(quoted(c)) for c in docs.columns], result.alias(at))
     return with_results(kept, F.col(at), ["n_words", "n_hit", "windows", "items"]).drop(at)
