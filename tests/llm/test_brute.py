@@ -627,6 +627,16 @@ USUAL = [
     ("Licensed under the Apache License, Version 9.0", None),
     ("This is not released under the MIT License.", None),
     ("It was never licensed under the GNU General Public License, version 3.", None),
+    ("This project is licensed under the terms of the MIT license.", "MIT"),
+    ("Dual licensed under MIT or Apache-2.0.", "MIT OR Apache-2.0"),
+    ("// SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"),
+    ("# SPDX-License-Identifier: Apache-2.0 OR GPL-2.0", "Apache-2.0 OR GPL-2.0"),
+    ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("Distributed under GPLv3", "GPL-3.0"),
+    ("CC0 1.0 Universal", "CC0-1.0"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice.", "BSD-2-Clause"),
+    ("It must not be distributed under the terms of the MIT license.", None),
+    ("It may not be released under the MIT License.", None),
     ("This file isn't distributed under the terms of the MIT license, it is Licensed under CC BY 4.0.", None),
     ("The text is not new.\nReleased under the MIT License.", "MIT"),
     ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\nCopyright (C) 1989, 1991 A", "GPL-2.0"),
