@@ -1080,7 +1080,7 @@ def moe_from_fold_cache(spark, d):
     from pulsegrid.learn.folds import run_moe
     from pulsegrid.sources.cache import scratch
 
-    x, folder = folded(spark, d, 5), scratch(spark)
+    x, folder = folded(spark, d), scratch(spark)
     x = x.drop(*P).withColumns({f"x_{m}": F.col(f"q_{m}") * (1 + F.col("conf")) for m in EX3})
     run_moe(x, {m: [f"x_{m}", f"q_{m}"] for m in EX3}, QUAL, "y", "equal", folder, fold="fold")
     return rounded(run_moe(x, {m: [f"x_{m}", f"q_{m}"] for m in EX3}, QUAL, "y", "ridge", folder, fold="fold"))
@@ -1150,7 +1150,7 @@ def column_ablation(spark, d):
 def correctness_probe(spark, d):
     from pulsegrid.learn.reports import correctness_probe as report
 
-    return rounded(report(folded(spark, d), {"cecg": "p_cecg", "ppg": "p_ppg"}, list(QUAL), "y", "fold"))
+    return rounded(report(folded(spark, d), {m: f"p_{m}" for m in EX3}, list(QUAL), "y", "fold"))
 
 
 @query()
@@ -1217,5 +1217,5 @@ def oracle_sql() -> dict[str, str]:
 WITHOUT_TWIN = {
     "extract_windows", "reliability_table", "reference_confidence", "reference_rhythm",
     "gating_net_5_folds", "reliability_gate_5_folds", "errpred_fusion_5_folds", "error_gate", "class_gate", "stacked_meta", "moe_from_fold_cache", "unsup_pca_gate", "gmm_gate",
-    "calibrated_logreg", "nested_patient_threshold", "bootstrap_ci", "compare_gates", "tune_expert", "compare_models", "column_ablation", "correctness_probe", "tune_gate", "learned_quality",
+    "calibrated_logreg", "nested_patient_threshold", "bootstrap_ci", "compare_gates", "tune_expert", "compare_models", "tune_gate",
 }

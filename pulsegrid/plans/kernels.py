@@ -473,3 +473,41 @@ def weights_decay_keep_zero(spark, d):
     x = C.experts(spark, d).withColumns({e: F.when(F.col(e) <= 4.5, F.col(e)) for e in C.ERR})
     w = N.decay_weights(C.ERR, 1.5, 0.5, zero="keep")
     return rounded(x.select("patient", "win_idx", *[c.alias(f"w{i}") for i, c in enumerate(w)]))
+
+
+# Artefacts of raw windows
+
+
+def noise_sql(kind: str) -> str:
+    md5 = "md5(s.vec_id || ':' || {} || ':7')"
+    u = "((CAST('0x' || substr({}, {}, 8) AS BIGINT) + 0.5e0) / 4294967296e0)"
+    gauss = lambda d: f"(sqrt(-2 * ln({u.format(d, 1)})) * cos(2 * pi() * {u.format(d, 9)}))"
+    if kind == "white":
+        return gauss(md5.format("CAST(s.n AS VARCHAR)"))
+    out = f"sin(2 * pi() * (0.1e0 + 0.4e0 * {u.format(md5.format(chr(39) + 'sine' + chr(39)), 1)}) * s.n / 64e0 + 2 * pi() * {u.format(md5.format(chr(39) + 'sine' + chr(39)), 9)})"
+    for b in range(3):
+        start = f"floor({u.format(md5.format(f'{chr(39)}burst {b}{chr(39)}'), 1)} * greatest(len_ - 64, 1))"
+        out += f" + CASE WHEN s.n >= {start} AND s.n < {start} + 64 THEN 2e0 * {gauss(md5.format(f'{chr(39)}burst {b}:{chr(39)} || s.n'))} ELSE 0 END"
+    return out
+
+
+def corrupt_sql() -> str:
+    parts = [f"SELECT '{k}' AS kind, s.vec_id, s.n, s.v, {noise_sql(k)} AS e FROM (SELECT *, count(*) OVER (PARTITION BY vec_id) AS len_ FROM long_s) s" for k in ("white", "motion")]
+    return f"""WITH long_s AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS n, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), x AS ({' UNION ALL '.join(parts)}),
+        c AS (SELECT *, v + e * sqrt(var_pop(v) OVER w / pow(10, 0.5e0) / avg(e * e) OVER w) AS y FROM x WINDOW w AS (PARTITION BY kind, vec_id))
+        SELECT kind, vec_id, round(10 * log10(var_pop(v) / avg((y - v) * (y - v))), 6) AS snr_db, round(sum(y), 6) AS total, round(max(y), 6) AS top, round(arg_min(y, n), 6) AS first FROM c GROUP BY kind, vec_id"""
+
+
+@query(corrupt_sql())
+def corrupt_raw_window(spark, d):
+    """Every window with white noise and with a motion artefact at 5 dB: the measured ratio, and the window's sum, top and first sample."""
+    from pulsegrid.functions import noise
+
+    x = samples(spark, d).select("vec_id", "x")
+    out = None
+    for kind in ("white", "motion"):
+        y = x.select(F.lit(kind).alias("kind"), "vec_id", "x", noise.corrupted(F.col("x"), F.col("vec_id"), 64.0, kind, 5.0, 7).alias("y"))
+        out = y if out is None else out.unionByName(y)
+    gap = F.zip_with("y", "x", lambda a, b: a - b)
+    ratio = 10 * F.log10(S.moments(F.col("x"))["m2"] / S.mean_of(F.transform(gap, lambda v: v * v)))
+    return rounded(out.select("kind", "vec_id", ratio.alias("snr_db"), S.added(F.col("y")).alias("total"), F.array_max("y").alias("top"), F.get("y", F.lit(0)).alias("first")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pulsegrid.plans.catalog import ORACLES, X_SQL
+from pulsegrid.plans.catalog import EX3, ORACLES, QUAL, X_SQL, P, auc_sql
 
 #: Newton steps of a twin: from zero, on standardised columns, they have settled to far more than six places by then.
 STEPS = 14
@@ -32,13 +32,13 @@ def eliminated(a: list[list[str]], b: list[str], name: str, source: str) -> tupl
     return ctes, [f"{name}_s{i}" for i in range(n)]
 
 
-def logistic_ctes(name: str, columns: Sequence[str], c: float = 1.0) -> list[str]:
-    """CTEs from x(f, y, columns) to <name>_w(f, m, s and w of each column, the intercept last): leave-one-fold-out class-balanced logistic fits."""
+def logistic_ctes(name: str, columns: Sequence[str], label: str = "y", c: float = 1.0) -> list[str]:
+    """CTEs from x(f, label, columns) to <name>_w(f, m, s and w of each column, the intercept last): leave-one-fold-out class-balanced logistic fits."""
     p = len(columns) + 1
     own = ", ".join(f"sum({k}) AS t{i}, sum({k} * {k}) AS q{i}" for i, k in enumerate(columns))
     rest = ", ".join(f"(sum(t{i}) OVER () - t{i}) / n AS m{i}, (sum(q{i}) OVER () - q{i}) / n AS v{i}" for i in range(p - 1))
     ctes = [
-        f"{name}_own AS (SELECT f, sum(y) AS y1, count(*) AS n_own, {own} FROM x GROUP BY f)",
+        f"{name}_own AS (SELECT f, sum({label}) AS y1, count(*) AS n_own, {own} FROM x GROUP BY f)",
         f"{name}_rest AS (SELECT f, n1, n - n1 AS n0, n, {rest} FROM (SELECT *, sum(y1) OVER () - y1 AS n1, CAST(sum(n_own) OVER () - n_own AS DOUBLE) AS n FROM {name}_own))",
         f"{name}_w0 AS MATERIALIZED (SELECT f, n, n1, n0, {', '.join(f'm{i}, sqrt(v{i} - m{i} * m{i}) AS d{i}' for i in range(p - 1))}, {', '.join(f'0e0 AS w{i}' for i in range(p))} FROM {name}_rest)",
     ]
@@ -47,11 +47,11 @@ def logistic_ctes(name: str, columns: Sequence[str], c: float = 1.0) -> list[str
         z = ", ".join(f"(x.{k} - m{i}) / d{i} AS z{i}" for i, k in enumerate(columns))
         lin = " + ".join([*[f"w{i} * z{i}" for i in range(p - 1)], f"w{p - 1}"])
         zs = [*[f"z{i}" for i in range(p - 1)], "1e0"]
-        sums = [f"sum(s * (q - y) * {zs[i]}) AS g{i}" for i in range(p)] + [f"sum(s * greatest(q * (1 - q), 1e-9) * {zs[i]} * {zs[j]}) AS h{i}_{j}" for i in range(p) for j in range(i + 1)]
+        sums = [f"sum(s * (q - {label}) * {zs[i]}) AS g{i}" for i in range(p)] + [f"sum(s * greatest(q * (1 - q), 1e-9) * {zs[i]} * {zs[j]}) AS h{i}_{j}" for i in range(p) for j in range(i + 1)]
         at = f"{name}_n{r}"
         ctes.append(
-            f"{at} AS (SELECT f, any_value(COLUMNS('^(n|n1|n0|m[0-9]+|d[0-9]+|w[0-9]+)$')), {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({lin}))) AS q, n / (2 * CASE WHEN y = 1 THEN n1 ELSE n0 END) AS s"
-            f" FROM (SELECT x.y, w.*, {z} FROM x JOIN {name}_w{r} w ON x.f <> w.f)) GROUP BY f)"
+            f"{at} AS (SELECT f, any_value(COLUMNS('^(n|n1|n0|m[0-9]+|d[0-9]+|w[0-9]+)$')), {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({lin}))) AS q, n / (2 * CASE WHEN {label} = 1 THEN n1 ELSE n0 END) AS s"
+            f" FROM (SELECT x.{label}, w.*, {z} FROM x JOIN {name}_w{r} w ON x.f <> w.f)) GROUP BY f)"
         )
         reg = [1 / c] * (p - 1) + [1e-9]
         a = [[f"(h{max(i, j)}_{min(i, j)}" + (f" + {reg[i]!r})" if i == j else ")") for j in range(p)] for i in range(p)]
@@ -63,16 +63,32 @@ def logistic_ctes(name: str, columns: Sequence[str], c: float = 1.0) -> list[str
     return ctes
 
 
-def score(name: str, columns: Sequence[str], alias: str) -> str:
+def score(name: str, columns: Sequence[str]) -> str:
     lin = " + ".join([*[f"{name}_w.w{i} * (x.{k} - {name}_w.m{i}) / {name}_w.d{i}" for i, k in enumerate(columns)], f"{name}_w.w{len(columns)}"])
-    return f"round(1 / (1 + exp(-({lin}))), 6) AS {alias}"
+    return f"1 / (1 + exp(-({lin})))"
 
 
 def lopo_sql(models: dict[str, Sequence[str]], aliases: dict[str, str]) -> str:
     ctes = [c for m, cs in models.items() for c in logistic_ctes(m, cs)]
     joins = " ".join(f"JOIN {m}_w ON {m}_w.f = x.f" for m in models)
-    return f"WITH {FOLDED}, {', '.join(ctes)} SELECT x.patient, x.win_idx, x.y, {', '.join(score(m, cs, aliases[m]) for m, cs in models.items())} FROM x {joins}"
+    return f"WITH {FOLDED}, {', '.join(ctes)} SELECT x.patient, x.win_idx, x.y, {', '.join(f'round({score(m, cs)}, 6) AS {aliases[m]}' for m, cs in models.items())} FROM x {joins}"
+
+
+#: Beside each window, whether an expert is right.
+RIGHT = FOLDED.replace("x AS (SELECT patient", "x AS (SELECT " + ", ".join(f"CAST(CAST(p_{m} >= 0.5 AS INTEGER) = y AS INTEGER) AS right_{m}" for m in EX3) + ", patient")
+
+
+def auc_of_models_sql(name: str, models: dict[str, tuple[Sequence[str], str]]) -> str:
+    """(name, auc, n_pos, n_neg): out-of-fold AUC of each model, given as columns and label."""
+    ctes, parts = [], []
+    for i, (said, (columns, label)) in enumerate(models.items()):
+        ctes += logistic_ctes(f"m{i}", columns, label)
+        parts.append(f"SELECT '{said}' AS {name}, x.{label} AS ok, {score(f'm{i}', columns)} AS v FROM x JOIN m{i}_w ON m{i}_w.f = x.f")
+    return f"WITH {RIGHT}, {', '.join(ctes)}, l AS ({' UNION ALL '.join(parts)}) SELECT {name}, round(auc, 6) AS auc, n_pos, n_neg FROM {auc_sql(name)}"
 
 
 ORACLES["lopo_logreg"] = lopo_sql({"l": ["q_cecg", "q_ppg", "q_bcg"]}, {"l": "p"})
 ORACLES["expert_oof"] = lopo_sql({"a": ["p_cecg", "q_cecg"], "b": ["p_ppg", "q_ppg"], "c": ["p_bcg", "q_bcg"]}, {"a": "p_a", "b": "p_b", "c": "p_c"})
+ORACLES["column_ablation"] = auc_of_models_sql("columns", {"all": (P, "y"), "without cecg": (P[1:], "y"), "ppg": (P[1:2], "y")})
+ORACLES["correctness_probe"] = auc_of_models_sql("expert", {m: (QUAL, f"right_{m}") for m in EX3})
+ORACLES["learned_quality"] = f"WITH {RIGHT}, {', '.join(logistic_ctes('r', QUAL, 'right_cecg'))} SELECT x.patient, x.win_idx, right_cecg AS y, round({score('r', QUAL)}, 6) AS p FROM x JOIN r_w ON r_w.f = x.f"

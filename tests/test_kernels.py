@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pulsegrid.functions import detectors as D
 from pulsegrid.functions import dsp
@@ -287,3 +288,26 @@ def test_extra_indices():
     assert W.beat_count_ok(x, FS) == 1 and W.rr_plausibility(x, FS) > 0.95 and W.cor_sqi(x, FS) > 0.9 and 0 < W.peak_snr(x, FS) <= 1 and 0 <= W.spectral_concentration(x, FS) <= 1
     flat = np.zeros(3840)
     assert W.peak_snr(flat, FS) == W.rr_plausibility(flat, FS) == W.cor_sqi(flat, FS) == W.spectral_concentration(flat, FS) == 0
+
+
+@pytest.mark.parametrize("kind", ["white", "motion"])
+def test_counted_noise_has_its_ratio_and_no_state(spark, kind):
+    from pulsegrid.functions import noise
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=256)]) for i in range(12)] + [(12, [1.0] * 50), (13, []), (14, None), (15, [1.0, None, 3.0, 2.0])]
+    df = spark.createDataFrame(rows, "id int, x array<double>")
+    run = lambda t, seed=3, db=10.0: {r.id: r.y for r in t.select("id", noise.corrupted(F.col("x"), F.col("id"), 64.0, kind, db, seed).alias("y")).collect()}
+    got = run(df)
+    for i, x in rows[:12]:
+        x, e = np.array(x), np.array(got[i]) - np.array(x)
+        assert abs(10 * np.log10(x.var() / (e**2).mean()) - 10) < 0.1 and np.abs(e).max() > 0
+    assert got[12] == [1.0] * 50 and got[13] == [] and got[14] is None and got[15][1] is None and len(got[15]) == 4
+    assert run(df.repartition(7)) == got and run(df, seed=4)[0] != got[0]
+
+
+def test_counted_noise_is_normal(spark):
+    from pulsegrid.functions import noise
+
+    v = np.array(spark.range(1).select(noise.white(F.array_repeat(F.lit(0.0), 20_000), F.lit("w"), 1).alias("v")).first()["v"])
+    assert abs(v.mean()) < 0.03 and abs(v.std() - 1) < 0.03 and abs(np.mean(np.abs(v) < 1) - 0.6827) < 0.02 and abs(np.corrcoef(v[1:], v[:-1])[0, 1]) < 0.03
