@@ -189,7 +189,8 @@ def bootstrap(df: DataFrame, score: str, label: str, cluster: str | None, draws:
     units = base.select(key).distinct()
     order = numbered(units, key, seed)
     n = units.count()
-    picks = df.sparkSession.range(draws).withColumnRenamed("id", "draw").select("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_j"))
+    # Picks are counted off one by one, never as one draw's list.
+    picks = df.sparkSession.range(draws * n).select(F.expr(f"id div {max(n, 1)}").alias("draw"), F.expr(f"id % {max(n, 1)}").alias("_j"))
     picks = picks.select("draw", F.pmod(F.xxhash64("draw", "_j", F.lit(seed)), F.lit(n)).alias("_u")).groupBy("draw", "_u").agg(F.count("*").alias("_times"))
     if legacy_subset:
         picks = picks.withColumn("_times", F.lit(1).cast("long"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pulsegrid.plans.catalog import EX3, ORACLES, QUAL, X_SQL, P, auc_sql
+from pyspark.sql import functions as F
+
+from pulsegrid.plans.catalog import EX3, ORACLES, QUAL, X_SQL, P, auc_sql, folded, query, rounded
 
 #: Newton steps of a twin: from zero, on standardised columns, they have settled to far more than six places by then.
 STEPS = 14
@@ -92,3 +94,66 @@ ORACLES["expert_oof"] = lopo_sql({"a": ["p_cecg", "q_cecg"], "b": ["p_ppg", "q_p
 ORACLES["column_ablation"] = auc_of_models_sql("columns", {"all": (P, "y"), "without cecg": (P[1:], "y"), "ppg": (P[1:2], "y")})
 ORACLES["correctness_probe"] = auc_of_models_sql("expert", {m: (QUAL, f"right_{m}") for m in EX3})
 ORACLES["learned_quality"] = f"WITH {RIGHT}, {', '.join(logistic_ctes('r', QUAL, 'right_cecg'))} SELECT x.patient, x.win_idx, right_cecg AS y, round({score('r', QUAL)}, 6) AS p FROM x JOIN r_w ON r_w.f = x.f"
+
+
+# Components
+
+
+def component_ctes(m: str, columns: Sequence[str], squarings: int = 22) -> list[str]:
+    """CTEs from x(f, columns) to <m>_c(f, m, d, w of each column, lo, hi): the leave-one-fold-out first component by repeated squaring of the correlations,
+    turned to rise with the first column, and its 5th and 95th percentile over the other rows."""
+    d = len(columns)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    at = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+    own = ", ".join([*[f"sum({k}) AS t{i}" for i, k in enumerate(columns)], *[f"sum({columns[i]} * {columns[j]}) AS q{i}{j}" for i, j in pairs]])
+    rest = ", ".join([*[f"(sum(t{i}) OVER () - t{i}) / n AS m{i}" for i in range(d)], *[f"(sum(q{i}{j}) OVER () - q{i}{j}) / n AS e{i}{j}" for i, j in pairs]])
+    ctes = [
+        f"{m}_o AS (SELECT f, count(*) AS k, {own} FROM x GROUP BY f)",
+        f"{m}_r AS (SELECT f, {rest} FROM (SELECT *, CAST(sum(k) OVER () - k AS DOUBLE) AS n FROM {m}_o))",
+        f"{m}_d AS (SELECT *, {', '.join(f'sqrt(e{i}{i} - m{i} * m{i}) AS d{i}' for i in range(d))} FROM {m}_r)",
+        f"{m}_k AS (SELECT *, {', '.join(f'(e{i}{j} - m{i} * m{j}) / (d{i} * d{j}) AS r{i}{j}' for i, j in pairs)} FROM {m}_d)",
+        f"{m}_s0 AS (SELECT f, {', '.join(f'r{i}{j} AS c{i}{j}' for i, j in pairs)} FROM {m}_k)",
+    ]
+    for step in range(squarings):
+        trace = " + ".join(f"{at(i, j)} * {at(i, j)}" for i in range(d) for j in range(d))
+        square = ", ".join(f"({' + '.join(f'{at(i, k)} * {at(k, j)}' for k in range(d))}) / ({trace}) AS c{i}{j}" for i, j in pairs)
+        ctes.append(f"{m}_s{step + 1} AS (SELECT f, {square} FROM {m}_s{step})")
+    top = f"greatest({', '.join(f'c{i}{i}' for i in range(d))})"
+    # the column of the largest diagonal is the component times its largest loading: that loading's sign is plus there
+    pick = lambda i: "CASE " + " ".join(f"WHEN c{k}{k} = {top} THEN {at(k, i)} / sqrt(c{k}{k})" for k in range(d)) + " END"
+    ctes += [
+        f"{m}_v AS (SELECT f, {', '.join(f'{pick(i)} AS v{i}' for i in range(d))} FROM {m}_s{squarings})",
+        f"{m}_w AS MATERIALIZED (SELECT f, {', '.join(f'm{i}, d{i}' for i in range(d))}, {', '.join(f'v{i} * CASE WHEN ' + ' + '.join(f'v{j} * r0{j}' for j in range(d)) + f' < 0 THEN -1 ELSE 1 END AS w{i}' for i in range(d))} FROM {m}_v JOIN {m}_k USING (f))",
+        f"{m}_q AS (SELECT w.f, quantile_cont({raw('w', columns)}, [0.05, 0.95]) AS q FROM x JOIN {m}_w w ON x.f <> w.f GROUP BY w.f)",
+        f"{m}_c AS (SELECT w.*, q[1] AS lo, q[2] AS hi FROM {m}_w w JOIN {m}_q USING (f))",
+    ]
+    return ctes
+
+
+def raw(w: str, columns: Sequence[str]) -> str:
+    return " + ".join(f"{w}.w{i} * (x.{k} - {w}.m{i}) / {w}.d{i}" for i, k in enumerate(columns))
+
+
+def components_sql() -> str:
+    groups = {m: [f"q_{m}", f"p_{m}", "conf"] for m in EX3}
+    ctes = [c for m, cs in groups.items() for c in component_ctes(m, cs)]
+    unit = {m: f"least(greatest(({raw(f'{m}_c', cs)} - {m}_c.lo) / ({m}_c.hi - {m}_c.lo), 0), 1)" for m, cs in groups.items()}
+    joins = " ".join(f"JOIN {m}_c ON {m}_c.f = x.f" for m in groups)
+    total = " + ".join(f"exp(4 * k_{m})" for m in groups)
+    base = FOLDED.replace("x AS (SELECT patient", "x AS (SELECT conf, patient")
+    weights = {m: f"(0.85e0 * exp(4 * k_{m}) / ({total}) + 0.05e0)" for m in groups}
+    return (
+        f"WITH {base}, {', '.join(ctes)}, u AS (SELECT x.patient, x.win_idx, x.p_cecg, x.p_ppg, x.p_bcg, {', '.join(f'{v} AS k_{m}' for m, v in unit.items())} FROM x {joins})"
+        f" SELECT patient, win_idx, {', '.join(f'round(k_{m}, 6) AS quality_{m}, round({v}, 6) AS w_{m}' for m, v in weights.items())}, round({' + '.join(f'{v} * p_{m}' for m, v in weights.items())}, 6) AS p FROM u"
+    )
+
+
+@query(components_sql())
+def component_quality(spark, d):
+    """Each expert's quality by the first component of three columns, learnt from all other patients, and the fusion by its weights."""
+    from pulsegrid.learn.components import lopo_components
+
+    x = folded(spark, d)
+    out = lopo_components(x, {m: [f"q_{m}", f"p_{m}", "conf"] for m in EX3}, {m: f"q_{m}" for m in EX3}, "fold")
+    fused = sum(F.col(f"w_{m}") * F.col(f"p_{m}") for m in EX3)
+    return rounded(out.select("patient", "win_idx", *[f"{k}_{m}" for k in ("quality", "w") for m in EX3], fused.alias("p")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.learn import folds as L
 from pulsegrid.learn import gates as G
@@ -246,3 +247,33 @@ def test_other_learners_score_unlabelled_rows_and_keep_ids(spark):
     got = L.lopo_predictions(x, ["a", "b"], "y", ("GB", {"rounds": 3})).collect()
     assert {(r.patient, r.win_idx) for r in got} == {(r.patient, r.win_idx) for r in x.where("patient IS NOT NULL").collect()}
     assert all(r.p is not None and not np.isnan(r.p) for r in got)
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_components_from_sums_equal_those_of_frames(spark, shared):
+    from pulsegrid.learn import components as C
+
+    rng = np.random.default_rng(8)
+    n = 180
+    base = rng.normal(size=n)
+    x = np.column_stack([base + rng.normal(size=n) * s for s in (0.5, 1.0, 2.0)] + [-base + rng.normal(size=n), rng.normal(size=n)])
+    x[::13, 1] = np.nan
+    x[5, 4] = np.inf
+    who = [[3, 4, 2**53 + 1, None][i % 4] if i else 8 for i in range(n)]
+    rows = [(w, i, *[None if np.isnan(v) else float(v) for v in r]) for i, (w, r) in enumerate(zip(who, x, strict=True))]
+    df = spark.createDataFrame(rows, "patient long, win_idx int, a double, b double, c double, d double, e double")
+    groups, anchors = {"m": ["a", "b", "c"], "n": ["d", "e"]}, {"m": "a", "n": "d"}
+    got = {r.win_idx: r for r in C.lopo_components(df, groups, anchors, shared=shared).collect()}
+    assert len(got) == n
+    places = [[0, 1, 2], [3, 4]]
+    for p in (3, 4, 2**53 + 1, 8):
+        te = np.array([w == p for w in who])
+        gate = G.UnsupervisedGate(places, [0, 3], "shared" if shared else "own").fit(x[~te])
+        want, weights = gate.quality(x[te]), gate.weights(x[te])
+        for k, i in enumerate(np.flatnonzero(te)):
+            r = got[int(i)]
+            assert np.allclose([r.quality_m, r.quality_n], want[k], atol=1e-8) and np.allclose([r.w_m, r.w_n], weights[k], atol=1e-8)
+    assert all(got[i].quality_m is None for i, w in enumerate(who) if w is None)
+    assert C.lopo_components(df.limit(0), groups, anchors).collect() == []
+    flat = C.lopo_components(df.withColumns({c: F.lit(1.0) for c in "abcde"}), groups, anchors).where("patient = 3").first()
+    assert flat.quality_m == 0.5 and flat.w_m == pytest.approx(0.5)
