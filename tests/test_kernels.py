@@ -311,3 +311,17 @@ def test_counted_noise_is_normal(spark):
 
     v = np.array(spark.range(1).select(noise.white(F.array_repeat(F.lit(0.0), 20_000), F.lit("w"), 1).alias("v")).first()["v"])
     assert abs(v.mean()) < 0.03 and abs(v.std() - 1) < 0.03 and abs(np.mean(np.abs(v) < 1) - 0.6827) < 0.02 and abs(np.corrcoef(v[1:], v[:-1])[0, 1]) < 0.03
+
+
+def test_coefficients_of_the_twins_are_butterworth_band_passes():
+    """By the magnitude 1 / sqrt(1 + ((w^2 - w0^2) / (b w))^(2 n)) at warped frequencies, and by stable poles; the library isn't asked."""
+    from pulsegrid.plans.kernels import SECTIONS
+
+    f = np.linspace(0.3, 31, 400)
+    warp = lambda x: np.tan(np.pi * np.asarray(x, float) / 64)
+    for (order, low, high), sections in SECTIONS.items():
+        z = np.exp(-2j * np.pi * f / 64)
+        got = np.prod([np.abs((b0 + b1 * z + b2 * z * z) / (1 + a1 * z + a2 * z * z)) for b0, b1, b2, _, a1, a2 in sections], axis=0)
+        a, b = warp(low), warp(high)
+        want = 1 / np.sqrt(1 + ((warp(f) ** 2 - a * b) / ((b - a) * warp(f))) ** (2 * order))
+        assert np.allclose(got, want, atol=1e-9) and all(a2 < 1 and abs(a1) < 1 + a2 for *_, a1, a2 in sections)
