@@ -41,8 +41,23 @@ def section_state(s: np.ndarray) -> np.ndarray:
     return np.array([b1 - a1 * y + b2 - a2 * y, b2 - a2 * y])
 
 
+#: Fewer rows than this are filtered one by one.
+FEW = 16
+
+
+def recursion(b0: float, b1: float, b2: float, a1: float, a2: float, z0: float, z1: float, x: list[float]) -> list[float]:
+    """One section over one row."""
+    y = []
+    for v in x:
+        o = b0 * v + z0
+        z0 = b1 * v - a1 * o + z1
+        z1 = b2 * v - a2 * o
+        y.append(o)
+    return y
+
+
 def run_sections(sections: np.ndarray, x: np.ndarray, steady: bool) -> np.ndarray:
-    """Filter the rows of x. The recursion runs over time once, for all rows at a time."""
+    """Filter the rows of x. The recursion runs over time once, for all rows at a time; a few rows go one by one, in plain numbers, which are faster then."""
     x = np.atleast_2d(x).astype(float)
     first = x[:, :1]
     for s in sections:
@@ -50,6 +65,9 @@ def run_sections(sections: np.ndarray, x: np.ndarray, steady: bool) -> np.ndarra
         z = section_state(s)[None] * first if steady else np.zeros((len(x), 2))
         if steady:
             first = first * ((b0 + b1 + b2) / (1 + a1 + a2))
+        if len(x) < FEW:
+            x = np.array([recursion(*map(float, (b0, b1, b2, a1, a2)), *map(float, d), v.tolist()) for d, v in zip(z, x, strict=True)]).reshape(x.shape)
+            continue
         z0, z1 = z[:, 0].copy(), z[:, 1].copy()
         y = np.empty_like(x)
         for t in range(x.shape[1]):
