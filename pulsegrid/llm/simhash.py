@@ -31,6 +31,8 @@ MOST_TEXTS, MOST_LETTERS = 1000, 250_000
 PER_GROUP, SPLIT = 4096, 1 << 15
 #: Node pairs of a trie held at once, and leaf pairs that are compared directly.
 FRONTIER, LEAF = 100_000, 16
+#: Bits (a power of 2) of the map of keys that is sent to whole rows.
+FILTER = 25
 
 
 def fingerprints_of(texts: list[str | None], width: int = SHINGLE) -> np.ndarray:
@@ -258,13 +260,28 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE)
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
 
 
+def place(names: list[str]) -> Column:
+    """The bit of a key among 2^FILTER."""
+    return F.pmod(F.xxhash64(*names), F.lit(1 << FILTER))
+
+
+def perhaps_among(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with _perhaps: false if their key (columns ``names``, never null) is surely not among ``keys``. No row travels: what is sent is a
+    bitmap of 2^FILTER bits at most, whatever the number of keys."""
+    bits = keys.select(place(names).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    at = F.bitmap_bit_position(place(names))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_part", F.bitmap_bucket_number(place(names))).join(F.broadcast(bits), "_part", "left")  # 4 MB at most
+    return found.withColumn("_perhaps", F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0, F.lit(False))).drop("_part", "_bits")
+
+
 def one_of_each(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE) -> DataFrame:
     """One row of each component, all columns: that of the smallest (doc_id, text_hash), nulls last; of several rows with both equal, the
     smallest by a hash of the row.
 
-    Whole rows don't travel for their duplicates' sake: the keys of rows that go are taken from the fingerprints and written, and
-    Spark broadcasts that table as long as its files are within its own limit. Rows of a repeated key that stays, if there are any, are reduced
-    before their shuffle, so a group of any size stays small."""
+    Whole rows don't travel for their duplicates' sake: the keys of rows that go, and of those that repeat, are taken from the fingerprints and written, and
+    a bitmap of fixed size of these keys is sent to the rows. A row whose bit is clear stays where it is; only the others meet the keys themselves.
+    Rows of a repeated key that stays, if there are any, are reduced before their shuffle, so a group of any size stays small."""
     key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_hash": F.xxhash64(F.col("text").cast("string"))}
     names = list(key)
     fps, by_fp = rooted(docs, budget, width)
@@ -273,13 +290,15 @@ def one_of_each(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE) ->
     best = held.groupBy("root").agg(F.min(F.struct("r", "n")).alias("b")).select("root", "b.r", "b.n")
     stays = best.select(F.col("root").alias("of"), F.col("r").alias("best"))
     gone = held.join(stays, held["root"] == stays["of"]).where(F.col("r") != F.col("best")).select("r.*").distinct()
-    gone = written(gone, "gone")
-    many = written(best.where("n > 1").select("r.*"), "many")
+    marked = written(gone.withColumn("_goes", F.lit(True)).unionByName(best.where("n > 1").select("r.*", F.lit(False).alias("_goes"))), "marked")
     row = fresh(docs, "row")
     whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias(row), *[c.alias(k) for k, c in key.items()])
-    kept = whole.join(gone, names, "left_anti")
-    if many.isEmpty():
-        return kept.select(f"{row}.*")
+    whole = perhaps_among(whole, marked, names)
+    apart = whole.where("NOT _perhaps").select(f"{row}.*")
+    met = whole.where("_perhaps").join(marked, names, "left")
+    kept = apart.union(met.where("_goes IS NULL").select(f"{row}.*"))
+    if marked.where("NOT _goes").isEmpty():
+        return kept
     order = F.xxhash64(*[F.col(f"{row}.{quoted(f.name)}") for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    first = kept.join(many, names, "left_semi").groupBy(*names).agg(F.min_by(row, order).alias(row))
-    return kept.join(many, names, "left_anti").select(f"{row}.*").union(first.select(f"{row}.*"))
+    first = met.where("NOT _goes").groupBy(*names).agg(F.min_by(row, order).alias(row))
+    return kept.union(first.select(f"{row}.*"))
