@@ -35,6 +35,27 @@ def aligned_windows(recordings: DataFrame, fs: int, fs_ref: int, window_s: float
     return out.select(*rest, "win_idx", (F.col("win_idx") * hop / fs).alias("t_start_s"), *[F.slice(c, F.col("win_idx") * hop + 1, F.lit(size)).alias(c) for c in channels], F.slice(reference, at + 1, F.lit(ref_size)).alias(reference))
 
 
+def sample_windows(samples: DataFrame, columns: Sequence[str], size: int, hop: int, ratio: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(patient, win_idx, columns as arrays) of every complete window of rows (patient, n, total, columns) for samples: window i begins at i * hop * ratio, rounded
+    down. A sample goes to its windows, so no recording meets in one task; a window does."""
+    up, down = ratio
+    begin = lambda i: F.floor(i * (hop * up) / down)
+    n = F.col("n")
+    low = F.greatest(F.floor((n - size) * down / (hop * up)) - 1, F.lit(0))
+    near = F.filter(F.sequence(low, F.greatest(F.floor(n * down / (hop * up)) + 1, low)), lambda i: (begin(i) <= n) & (n < begin(i) + size) & (begin(i) + size <= F.col("total")))
+    x = samples.select("patient", F.explode(near).alias("win_idx"), F.struct("n", *columns).alias("s"))
+    w = x.groupBy("patient", "win_idx").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return w.select("patient", F.col("win_idx").cast("int").alias("win_idx"), *[F.col(f"s.{c}").alias(c) for c in columns])
+
+
+def aligned_sample_windows(device: DataFrame, reference: DataFrame, fs: int, fs_ref: int, window_s: float, hop_s: float, channels: Sequence[str], gt: str) -> DataFrame:
+    """As ``aligned_windows``, of rows (patient, n, total, channels) for samples of both tables: patient, win_idx, t_start_s, channels, reference."""
+    size, hop, ref_size = int(window_s * fs), int(hop_s * fs), int(window_s * fs_ref)
+    a = sample_windows(device, channels, size, hop)
+    b = sample_windows(reference, [gt], ref_size, hop, (fs_ref, fs))
+    return a.join(b, ["patient", "win_idx"]).select("patient", "win_idx", (F.col("win_idx") * hop / fs).alias("t_start_s"), *channels, gt)
+
+
 def event_windows(events: DataFrame, keys: Sequence[str], size: str, slide: str | None = None, ts: str = "ts") -> DataFrame:
     """``events`` with win_start, one row for each window that holds the event (epoch-aligned; slide None: tumbling)."""
     w = F.window(F.col(ts).cast("timestamp"), size, slide) if slide else F.window(F.col(ts).cast("timestamp"), size)
