@@ -1,87 +1,20 @@
 """Quality learnt without labels for every left-out group at once: first principal components from sums of products, their scales from counts.
 
-A fold's correlations are those of all rows less its own, so one pass gives the components of all folds; missing values take the fold's median inside the
-sums, by products with the flags of what is missing. The 5th and 95th percentile of a fold's scores over all other rows have no closed form: they are
-found by passes that only count, each narrowing all folds' percentiles at once. No row moves.
+A fold's correlations are those of all rows less its own, so its components are solved where its sums lie; missing values take the fold's median inside the
+sums, by products with the flags of what is missing. The 5th and 95th percentile of a fold's scores over all other rows lie in a narrow band of all rows' scores
+(``learn.nearby``), which alone each fold scores. The driver holds the band and the sums of all rows, nothing for each fold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pulsegrid.functions import native
-from pulsegrid.learn.sums import Folds, finite, numbered, passed, statistics
-
-#: Parts into which a pass cuts the range of a percentile, and the passes: together 2^-45 of the range is left.
-PARTS, PASSES = 32, 9
-
-
-def correlations(x: DataFrame, columns: Sequence[str], s: Folds) -> np.ndarray:
-    """(folds, columns, columns) of each fold's other rows, missing values taken as the fold's median."""
-    n, d = len(s.values), len(columns)
-
-    def products(v: np.ndarray, y: np.ndarray, of: np.ndarray) -> np.ndarray:
-        e = np.column_stack([np.where(np.isnan(v), 0, v), np.isnan(v), np.ones(len(v))])
-        out = np.zeros((n + 1, (2 * d + 1) ** 2))
-        for f in np.unique(of):
-            out[f if f >= 0 else n] = (e[of == f].T @ e[of == f]).ravel()
-        return out
-
-    own = passed(x, columns, n + 1, products).reshape(n + 1, 2 * d + 1, 2 * d + 1)
-    rest = own.sum(axis=0) - own[:n]
-    fill = np.concatenate([np.broadcast_to(np.eye(d), (n, d, d)), np.eye(d) * s.median[:, None, :]], axis=1)
-    rows = np.maximum(rest[:, -1, -1], 1)[:, None, None]
-    mean = (np.swapaxes(fill, 1, 2) @ rest[:, : 2 * d, -1:]) / rows
-    cov = np.swapaxes(fill, 1, 2) @ rest[:, : 2 * d, : 2 * d] @ fill / rows - mean @ np.swapaxes(mean, 1, 2)
-    return cov / (s.std[:, :, None] * s.std[:, None, :])
-
-
-def directions(c: np.ndarray, groups: Sequence[Sequence[int]], anchors: Sequence[int], shared: bool) -> np.ndarray:
-    """(folds, groups, columns): each group's first component (or, shared, its part of the one over all columns), turned to rise with its anchor."""
-    out = np.zeros((len(c), len(groups), c.shape[1]))
-    for f, whole in enumerate(c):
-        for k, (g, a) in enumerate(zip(groups, anchors, strict=True)):
-            at = np.arange(len(whole)) if shared else np.asarray(g)
-            v = np.linalg.eigh(whole[np.ix_(at, at)])[1][:, -1]
-            w = np.zeros(len(whole))
-            w[at] = v * np.sign(v[np.abs(v).argmax()])
-            w = np.where(np.isin(np.arange(len(whole)), g), w, 0)
-            out[f, k] = w * (-1.0 if w @ whole[:, a] < 0 else 1.0)
-    return out
-
-
-def percentiles(x: DataFrame, columns: Sequence[str], s: Folds, w: np.ndarray, rows: np.ndarray, ends: np.ndarray, qs: Sequence[float]) -> np.ndarray:
-    """(folds, groups, qs): exact linear percentiles of w . z over each fold's other rows. ``ends``: least and largest value of each column."""
-    n, m = w.shape[:2]
-    at = np.maximum(rows - 1, 0)[:, None] * np.asarray(qs)  # (folds, qs)
-    rank = np.stack([np.floor(at), np.ceil(at)], axis=2)[:, None].repeat(m, axis=1)  # (folds, groups, qs, 2), from 0
-    z = w[:, :, None, :] * ((np.minimum(np.maximum(ends, -1e300), 1e300)[None] - s.mean[:, None]) / s.std[:, None])[:, None]
-    low = np.broadcast_to((z.min(axis=2).sum(axis=2) - 1)[:, :, None, None], rank.shape).copy()
-    high = np.broadcast_to((z.max(axis=2).sum(axis=2) + 1)[:, :, None, None], rank.shape).copy()
-    step = np.arange(1, PARTS + 1) / PARTS
-    for _ in range(PASSES):
-        cut = low[..., None] + (high - low)[..., None] * step
-
-        def count(v: np.ndarray, y: np.ndarray, of: np.ndarray, cut: np.ndarray = cut) -> np.ndarray:
-            out = np.zeros((n, cut[0].size))
-            gap = np.isnan(v)
-            for f in range(n):
-                z = ((np.where(gap, s.median[f], v) - s.mean[f]) / s.std[f])[of != f] @ w[f].T
-                out[f] = np.concatenate([np.searchsorted(np.sort(z[:, k]), cut[f, k].ravel(), "right") for k in range(m)])
-            return out
-
-        below = passed(x, columns, n, count).reshape(cut.shape)
-        i = np.minimum((below <= rank[..., None]).sum(axis=-1), PARTS - 1)[..., None]
-        top = np.take_along_axis(cut, i, -1)[..., 0]
-        low = np.where(i[..., 0] > 0, np.take_along_axis(cut, np.maximum(i - 1, 0), -1)[..., 0], low)
-        high = top
-    part = (at - np.floor(at))[:, None]
-    return high[..., 0] + (high[..., 1] - high[..., 0]) * part
+from pulsegrid.learn import nearby
+from pulsegrid.learn.sums import finite
 
 
 def lopo_components(df: DataFrame, groups: Mapping[str, Sequence[str]], anchors: Mapping[str, str], fold: str = "patient", shared: bool = False, beta: float = 4.0, floor: float = 0.05) -> DataFrame:
@@ -91,28 +24,22 @@ def lopo_components(df: DataFrame, groups: Mapping[str, Sequence[str]], anchors:
     folds and have no quality. An empty table gives an empty one.
     """
     columns = list(dict.fromkeys([c for cs in groups.values() for c in cs] + list(anchors.values())))
-    x, values = numbered(df.withColumn("_one", F.lit(1)), columns, "_one", fold)
-    x = x.persist()
+    t = nearby.rows_of(df.withColumn("_one", F.lit(1)), columns, "_one", fold)
     try:
-        s = statistics(x, columns, values)
-        ends = np.array([[float("nan") if v is None else v for v in x.agg(*[f(c) for c in columns]).first()] for f in (F.min, F.max)])
-        ends = np.where(np.isnan(ends), 0, ends)
-        ends = np.stack([np.minimum(ends[0], s.median.min(axis=0, initial=0)), np.maximum(ends[1], s.median.max(axis=0, initial=0))])
-        w = directions(correlations(x, columns, s), [[columns.index(c) for c in cs] for cs in groups.values()], [columns.index(anchors[m]) for m in groups], shared)
-        scale = percentiles(x, columns, s, w, s.positives, ends, [0.05, 0.95]) if values else np.zeros((0, len(groups), 2))
+        fits, _ = nearby.components(t, [[columns.index(c) for c in cs] for cs in groups.values()], [columns.index(anchors[m]) for m in groups], shared)
+        fits = fits.select(F.col("_f").alias("_g"), "_theta").localCheckpoint()
     finally:
-        x.unpersist()
-    kind = T.StructType([T.StructField(fold, df.schema[fold].dataType), *[T.StructField(f"_{k}", T.ArrayType(T.DoubleType())) for k in ("median", "mean", "std")], *[T.StructField(f"_w_{m}", T.ArrayType(T.DoubleType())) for m in groups]])
-    rows = [(v, s.median[f].tolist(), s.mean[f].tolist(), s.std[f].tolist(), *[[*w[f, k].tolist(), *scale[f, k].tolist()] for k in range(len(groups))]) for f, v in enumerate(values)]
-    out = df.join(df.sparkSession.createDataFrame(rows, kind), fold, "left")
+        t.release()
+    u, d = t.basis.of([finite(c) for c in columns]), len(t.basis.top)
+    out = df.join(fits, F.col(fold) == F.col("_g"), "left")
 
-    def quality(m: str):
+    def quality(k: int):
         raw = F.lit(0.0)
-        for i, c in enumerate(columns):
-            raw = raw + F.get(f"_w_{m}", F.lit(i)) * (F.coalesce(finite(c), F.get("_median", F.lit(i))) - F.get("_mean", F.lit(i))) / F.get("_std", F.lit(i))
-        low, high = (F.get(f"_w_{m}", F.lit(len(columns) + j)) for j in (0, 1))
+        for i, v in enumerate(u):
+            raw = raw + F.get("_theta", F.lit(k * d + i)) * v
+        low, high = (F.get("_theta", F.lit(len(groups) * d + 2 * k + j)) for j in (0, 1))
         return F.when(high > low, F.least(F.greatest((raw - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).when(high.isNotNull(), F.lit(0.5))
 
-    out = out.select(*df.columns, *[quality(m).alias(f"quality_{m}") for m in groups])
+    out = out.select(*df.columns, *[quality(k).alias(f"quality_{m}") for k, m in enumerate(groups)])
     weights = native.quality_weights([f"quality_{m}" for m in groups], beta, floor)
     return out.select("*", *[w.alias(f"w_{m}") for m, w in zip(groups, weights, strict=True)])
