@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import DataFrame
 
+from pulsegrid.learn import folds as L
 from pulsegrid.learn import gates as G
 from pulsegrid.learn import nearby
 
@@ -57,3 +58,23 @@ def test_components_of_many_folds_stay_off_the_driver(spark, monkeypatch, few_ro
         x = ["q_a", "p_a", "q_b"]
         want = G.Quality().fit(tr[x].to_numpy(), tr["q_a"].to_numpy()).predict(te[x].to_numpy())
         assert np.abs(want - [got[i] for i in te["win_idx"]]).max() < 1e-8
+
+
+@pytest.mark.parametrize(("kind", "options", "limit"), [("ridge", {"map": "decay", "e0": 0.5, "tau": 1.0}, 300), ("ridge", {"freeze": True}, 1000), ("unsup_pca", {"groups": [[0], [2]], "anchors": [0, 2]}, 300)])
+def test_gates_of_many_folds_equal_those_of_frames(spark, monkeypatch, kind, options, limit):
+    t = table()
+    df, experts = framed(spark, t), EXPERTS if kind == "ridge" else ("a", "c")
+    want = {}
+    for f in (0, 33):
+        tr, te = t[t["patient"] != f], t[t["patient"] == f]
+        wa, wb = L.gate_weights(tr, te, experts, QUAL, kind, options)
+        p = [f"p_{m}" for m in experts]
+        cut = L.threshold((wa * tr[p].to_numpy()).sum(axis=1), tr["y"].to_numpy(float))
+        want |= {i: (a, *w, cut) for i, a, w in zip(te["win_idx"], (wb * te[p].to_numpy()).sum(axis=1), wb, strict=True)}
+    monkeypatch.setattr(L, "by_fold", lambda *a: pytest.fail("the table was sent to a task for its folds"))
+    monkeypatch.setattr(nearby, "LIMIT", limit)
+    made = L.evaluate_moe(df, experts, QUAL, kind, options).collect()
+    assert len(made) == len(t)
+    got = {r["win_idx"]: (r["p"], *[r[f"w_{m}"] for m in experts], r["threshold"], r["call"]) for r in made}
+    for i, w in want.items():
+        assert np.allclose(got[i][:-1], w, atol=1e-7) and got[i][-1] == (got[i][0] >= got[i][-2])
