@@ -36,3 +36,20 @@ def test_modes_share_the_fits_and_equal_each_mode_alone(spark, monkeypatch):
 def test_workers_have_a_partition_each(spark, n):
     df = spark.createDataFrame([(k,) for k in L.apart(spark, n)], "k int").repartition(n, "k")
     assert sorted(df.rdd.mapPartitions(lambda rows: [len(list(rows))]).collect()) == [1] * n
+
+
+def test_compare_gates_takes_all_gates_with_their_calls(spark, monkeypatch):
+    told = {}
+    monkeypatch.setattr(L, "compare", lambda df, experts, columns, variants, fold: told.update(variants) or df)
+    catalog.queries()["compare_gates"](spark, SF)
+    assert {"equal", "ridge", "gb", "mlp"} <= {kind for kind, _ in told.values()} and ("ridge", {"freeze": True}) in told.values()
+
+
+def test_compare_tells_calls_and_thresholds(spark):
+    df = spark.createDataFrame(TAB)
+    got = {r["variant"]: r for r in L.compare(df, EXPERTS, QUAL, {"equal": ("equal", {}), "gb": ("gb", {"params": {"rounds": 3}})}).collect()}
+    for name, (kind, options) in {"equal": ("equal", {}), "gb": ("gb", {"params": {"rounds": 3}})}.items():
+        one = L.evaluate_moe(df, EXPERTS, QUAL, kind, options).toPandas()
+        r = got[name]
+        assert (r["tp"], r["tn"]) == (int((one["call"] & (one["y"] == 1)).sum()), int((~one["call"] & (one["y"] == 0)).sum()))
+        assert r["threshold"] == pytest.approx(one.groupby("patient")["threshold"].min().mean(), abs=1e-9)
