@@ -1,10 +1,11 @@
-"""What a fold costs: isotonic maps and logistic fits are the plain ones, without a step of Python for each row."""
+"""What a fold costs: isotonic maps, logistic fits and dealing of groups are the plain ones, without a step of Python for each row."""
 
 from __future__ import annotations
 
 import numpy as np
 import pytest
 
+from pulsegrid.learn import folds as L
 from pulsegrid.learn import models as M
 
 
@@ -63,3 +64,17 @@ def test_a_bad_beginning_is_left_for_zero(monkeypatch):
     got = M.Logistic().fit(x, y).w
     monkeypatch.setattr(M, "LARGE", 10**6)
     assert np.allclose(got, M.Logistic().fit(x, y).w, atol=1e-9)
+
+
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_groups_are_dealt_as_by_deviations(k):
+    rng = np.random.default_rng(k)
+    for high in (2, 80):
+        count = rng.integers(0, high, (150, 2)).astype(float)
+        tie = np.random.default_rng(42).permutation(150)
+        total, want, scale = np.zeros((k, 2)), np.zeros(150, int), np.maximum(count.sum(axis=0), 1)
+        for g in sorted(range(150), key=lambda g: (-count[g].sum(), tie[g])):
+            cost = [(((total + (np.arange(k) == f)[:, None] * count[g]) / scale).std(axis=0).sum(), total[f].sum(), f) for f in range(k)]
+            want[g] = min(cost)[2]
+            total[want[g]] += count[g]
+        assert (L.dealt(count, k) == want).all()
